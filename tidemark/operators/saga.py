@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import fixed, schemas
 from tidemark.functions.columns import JSON_TIME, derived_id, whole_units
+from tidemark.sources.records import parsed_once
 
 OUTCOME_CONFIRMED = "CONFIRMED"
 OUTCOME_REFUNDED = "INVENTORY_UNAVAILABLE"
@@ -201,6 +203,7 @@ def envelope_json(df: DataFrame) -> DataFrame:
     metadata = F.struct(
         *[F.col("metadata")[f.name].alias(schemas.camel(f.name)) for f in schemas.METADATA]
     )
+    # the payload already is JSON
     value = F.concat(
         F.lit('{"metadata":'),
         F.to_json(metadata, JSON_TIME),
@@ -211,126 +214,119 @@ def envelope_json(df: DataFrame) -> DataFrame:
     return df.withColumn("value", value)
 
 
-def read_envelopes(records: DataFrame) -> DataFrame:
-    """``metadata`` and ``payload`` (JSON text) of wrapped events."""
-    shape = schemas.wire(schemas.METADATA).simpleString()
-    parsed = F.from_json("value", f"metadata {shape}, payload string")
-    metadata = F.struct(
-        *[F.col("_e.metadata")[schemas.camel(f.name)].alias(f.name) for f in schemas.METADATA]
-    )
-    return (
-        records.withColumn("_e", parsed)
-        .withColumn("metadata", metadata)
-        .withColumn("payload", F.col("_e.payload"))
-        .drop("_e")
-    )
+def _metadata(struct: Column) -> Column:
+    return F.struct(*[struct[schemas.camel(f.name)].alias(f.name) for f in schemas.METADATA])
 
 
-def event_log(saga: DataFrame) -> DataFrame:
-    """All events of all topics, in the order of their steps (``seq``).
-
-    One row per order becomes up to five: no shuffle and one read of the orders.
-    """
+def read_envelopes(records: DataFrame) -> DataFrame:
+    """``metadata`` and ``payload`` (JSON text) of wrapped events."""
+    shape = T.StructType(
+        [
+            T.StructField("metadata", schemas.wire(schemas.METADATA)),
+            T.StructField("payload", T.StringType()),
+        ]
+    )
+    return parsed_once(records, F.from_json("value", shape)).withColumn(
+        "metadata", _metadata(F.col("metadata"))
+    )
+
+
+# The events of one order by outcome, as step numbers.
+_COURSES = {
+    OUTCOME_FAILED: [1, 2],
+    OUTCOME_CONFIRMED: [1, 2, 3],
+    OUTCOME_REFUNDED: [1, 2, 3, 4, 5],
+}
+_SENDERS = {
+    fixed.ORDER_PLACED: (fixed.TOPIC_ORDERS, fixed.ORDER_SERVICE),
+    fixed.PAYMENT_PROCESSED: (fixed.TOPIC_PAYMENTS, fixed.PAYMENT_SERVICE),
+    fixed.INVENTORY_RESERVED: (fixed.TOPIC_INVENTORY, fixed.INVENTORY_SERVICE),
+    fixed.PAYMENT_REFUNDED: (fixed.TOPIC_PAYMENTS, fixed.PAYMENT_SERVICE),
+    fixed.ORDER_CANCELLED: (fixed.TOPIC_ORDERS, fixed.ORDER_SERVICE),
+}
+
+
+def _payload_fields(event_type: str) -> dict[str, Column]:
+    """Where the payload of an event comes from in a :func:`run_saga` row."""
     at = F.col("step_at")
-    transaction = F.col("transaction_id")
-    stocked = F.col("stock_status").isNotNull()
-    refunded = _is(OUTCOME_REFUNDED)
-    order_id = F.col("order_id")
-
-    def entry(event_type, topic, source, fields):
-        return F.struct(
-            F.lit(fixed.SAGA_STEPS.index(event_type) + 1).alias("seq"),
-            F.lit(topic).alias("topic"),
-            order_id.alias("key"),
-            envelope(event_type, source, transaction, at).alias("metadata"),
-            payload_json(fields).alias("payload"),
-        )
-
-    placed = entry(
-        fixed.ORDER_PLACED,
-        fixed.TOPIC_ORDERS,
-        fixed.ORDER_SERVICE,
-        {f.name: F.col(f.name) for f in schemas.PAYLOADS[fixed.ORDER_PLACED]},
-    )
-    charged = entry(
-        fixed.PAYMENT_PROCESSED,
-        fixed.TOPIC_PAYMENTS,
-        fixed.PAYMENT_SERVICE,
-        {
-            "payment_id": F.col("payment_id"),
-            "order_id": order_id,
-            "customer_id": F.col("customer_id"),
+    renamed = {
+        fixed.PAYMENT_PROCESSED: {
             "amount": F.col("total_amount"),
             "status": F.col("payment_result"),
             "processed_at": at,
         },
-    )
-    reserved = entry(
-        fixed.INVENTORY_RESERVED,
-        fixed.TOPIC_INVENTORY,
-        fixed.INVENTORY_SERVICE,
-        {
-            "reservation_id": F.col("reservation_id"),
-            "order_id": order_id,
+        fixed.INVENTORY_RESERVED: {
             "product_id": F.lit(fixed.DEFAULT_PRODUCT),
             "quantity": F.col("stock_quantity"),
             "status": F.col("stock_status"),
             "reserved_at": at,
         },
-    )
-    refund = entry(
-        fixed.PAYMENT_REFUNDED,
-        fixed.TOPIC_PAYMENTS,
-        fixed.PAYMENT_SERVICE,
-        {
-            "payment_id": F.col("payment_id"),
-            "order_id": order_id,
-            "amount": F.col("total_amount"),
-            "refunded_at": at,
-        },
-    )
-    cancel = entry(
-        fixed.ORDER_CANCELLED,
-        fixed.TOPIC_ORDERS,
-        fixed.ORDER_SERVICE,
-        {
-            "order_id": order_id,
+        fixed.PAYMENT_REFUNDED: {"amount": F.col("total_amount"), "refunded_at": at},
+        fixed.ORDER_CANCELLED: {
             "reason": F.lit(fixed.REASON_PAYMENT_REFUNDED),
             "cancelled_at": at,
         },
+    }.get(event_type, {})
+    return {f.name: renamed.get(f.name, F.col(f.name)) for f in schemas.PAYLOADS[event_type]}
+
+
+def event_log(saga: DataFrame) -> DataFrame:
+    """All events of all topics, in the order of their steps (``seq``).
+
+    An order is repeated once per step it took and the event columns are filled in by
+    step: one read of the orders, no shuffle, and no JSON for a reader that does not ask
+    for the payload.
+    """
+    courses = [
+        F.when(_is(outcome), F.array(*[F.lit(n) for n in steps]))
+        for outcome, steps in _COURSES.items()
+    ]
+    steps = saga.withColumn("seq", F.explode(F.coalesce(*courses)))
+
+    def by_step(value):
+        chosen = F.when(F.col("seq") == 1, value(fixed.SAGA_STEPS[0]))
+        for n, event_type in enumerate(fixed.SAGA_STEPS[1:], start=2):
+            chosen = chosen.when(F.col("seq") == n, value(event_type))
+        return chosen
+
+    return steps.select(
+        "seq",
+        by_step(lambda e: F.lit(_SENDERS[e][0])).alias("topic"),
+        F.col("order_id").alias("key"),
+        F.struct(
+            by_step(F.lit).alias("event_type"),
+            F.lit(fixed.EVENT_VERSION).alias("event_version"),
+            by_step(lambda e: F.lit(_SENDERS[e][1])).alias("source"),
+            "transaction_id",
+            F.col("step_at").alias("timestamp"),
+        ).alias("metadata"),
+        by_step(lambda e: payload_json(_payload_fields(e))).alias("payload"),
     )
-    events = F.array(
-        placed,
-        charged,
-        F.when(stocked, reserved),
-        F.when(refunded, refund),
-        F.when(refunded, cancel),
-    )
-    return saga.select(F.inline(F.filter(events, lambda e: e.isNotNull())))
 
 
 def dispatch(envelopes: DataFrame, event_type: str) -> DataFrame:
     """Events of one type with their payload columns; other types are ignored."""
     schema = schemas.PAYLOADS[event_type]
-    payload = F.from_json("payload", schemas.wire(schema))
-    return (
-        envelopes.filter(F.col("metadata.event_type") == event_type)
-        .withColumn("_p", payload)
-        .select(
-            "metadata", *[F.col("_p")[schemas.camel(f.name)].alias(f.name) for f in schema]
-        )
+    wanted = envelopes.filter(F.col("metadata.event_type") == event_type)
+    return wanted.withColumn("_p", F.from_json("payload", schemas.wire(schema))).select(
+        "metadata", *[F.col("_p")[schemas.camel(f.name)].alias(f.name) for f in schema]
     )
 
 
-def dispatch_all(envelopes: DataFrame) -> DataFrame:
-    """Events of every known type in one pass: the columns of all payloads, null where a
-    type does not have them."""
+def dispatch_all(records: DataFrame) -> DataFrame:
+    """Events of every known type from one parse of the records: the columns of all
+    payloads, null where a type does not have them."""
     fields = {f.name: f for schema in schemas.PAYLOADS.values() for f in schema}
-    merged = schemas.wire(type(schemas.METADATA)(list(fields.values())))
-    return (
-        envelopes.filter(F.col("metadata.event_type").isin(*schemas.PAYLOADS))
-        .withColumn("_p", F.from_json("payload", merged))
-        .select("metadata", *[F.col("_p")[schemas.camel(n)].alias(n) for n in fields])
+    shape = T.StructType(
+        [
+            T.StructField("metadata", schemas.wire(schemas.METADATA)),
+            T.StructField("payload", schemas.wire(T.StructType(list(fields.values())))),
+        ]
+    )
+    parsed = parsed_once(records.select("value"), F.from_json("value", shape))
+    return parsed.filter(F.col("metadata.eventType").isin(*schemas.PAYLOADS)).select(
+        _metadata(F.col("metadata")).alias("metadata"),
+        *[F.col("payload")[schemas.camel(n)].alias(n) for n in fields],
     )
 
 

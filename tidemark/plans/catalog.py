@@ -586,7 +586,7 @@ def saga_event_log(spark, d):
 @query
 def saga_event_dispatch(spark, d):
     sent = saga.envelope_json(saga.event_log(_saga(spark, d))).select("value")
-    events = saga.dispatch_all(saga.read_envelopes(sent))
+    events = saga.dispatch_all(sent)
     return events.select(
         F.col("metadata.event_type").alias("event_type"),
         "order_id",

@@ -89,24 +89,31 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def parsed_once(df: DataFrame, event: Column) -> DataFrame:
+    """Add the fields of a parsed struct, parsing every row once.
+
+    The row goes through a generator of exactly one element. A filter on a plain
+    projection would be pushed below it and parse the JSON a second time.
+    """
+    return df.select("*", F.inline_outer(F.array(event)))
+
+
 def _parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
     shape = schemas.wire(schema).add(CORRUPT, T.StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return records.withColumn("_event", F.from_json("value", shape, options))
+    # an empty value is not reported as corrupt, the JSON null is
+    text = F.when(F.trim("value") != "", F.col("value")).otherwise("null")
+    return parsed_once(records, F.from_json(text, shape, options))
 
 
-def _unpacked(schema: T.StructType) -> list[Column]:
-    return [F.col("_event")[schemas.camel(f.name)].alias(f.name) for f in schema]
+def _named(schema: T.StructType) -> list[Column]:
+    return [F.col(schemas.camel(f.name)).alias(f.name) for f in schema]
 
 
 def _kept(records: DataFrame) -> list[str]:
     return [name for name in METADATA_COLUMNS if name in records.columns]
 
 
-def _is_bad() -> Column:
-    return F.col("value").isNull() | F.col("_event").isNull() | F.col(f"_event.{CORRUPT}").isNotNull()
-
-
 def decode(records: DataFrame, schema: T.StructType, on_error: str = "reject") -> DataFrame:
     """Event columns of the records that parse, with the record metadata beside them.
 
@@ -116,18 +123,19 @@ def decode(records: DataFrame, schema: T.StructType, on_error: str = "reject") -
     """
     if on_error == "fail":
         event = F.from_json("value", schemas.wire(schema), {"mode": "FAILFAST"})
-        parsed = records.withColumn("_event", event)
+        parsed = parsed_once(records, event)
     elif on_error == "reject":
-        parsed = _parsed(records, schema).filter(~_is_bad())
+        parsed = _parsed(records, schema).filter(F.col(CORRUPT).isNull())
     else:
         raise ValueError("on_error is 'reject' or 'fail'")
-    return parsed.select(*_unpacked(schema), *_kept(records))
+    return parsed.select(*_named(schema), *_kept(records))
 
 
 def decode_rejects(records: DataFrame, schema: T.StructType) -> DataFrame:
     """The records :func:`decode` leaves out, as they came, with the reason."""
-    reason = F.when(F.col("value").isNull(), "empty value").otherwise("not a valid event")
-    bad = _parsed(records, schema).filter(_is_bad())
+    empty = F.coalesce(F.trim("value") == "", F.lit(True))
+    reason = F.when(empty, "empty value").otherwise("not a valid event")
+    bad = _parsed(records, schema).filter(F.col(CORRUPT).isNotNull())
     return bad.select(*_kept(records), "value", reason.alias("reject_reason"))
 
 
