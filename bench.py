@@ -12,6 +12,7 @@ import os
 import statistics
 import time
 
+from tidemark.plans import streamed  # noqa: F401
 from tidemark.plans.catalog import QUERIES
 from tidemark.session import local_session
 

@@ -9,6 +9,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from tidemark.plans import streamed  # noqa: F401
 from tidemark.plans.catalog import QUERIES
 from tidemark.plans.oracles import ORACLES
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
-TRACKED_KEYS = 16_384
+SHARDS = 64
+HOT_PER_SHARD = 8
+TRACKED_PER_SHARD = 256
 SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """The frequent values of ``key``: never more than ``HOT_KEYS`` rows.
+    """The frequent values of ``key``: never more than ``SHARDS * HOT_PER_SHARD`` rows.
 
-    One pass with a fixed-size sketch per task; no shuffle of the data. Which keys it
-    names only steers the work, never the result.
+    One pass over the key column with sketches of fixed size; the rows themselves are not
+    shuffled, and the sketches of all tasks are merged in ``SHARDS`` tasks. Which keys are
+    named only steers the work, never the result.
     """
-    sketch = F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {TRACKED_KEYS})")
+    sketch = F.expr(f"approx_top_k(`{key}`, {HOT_PER_SHARD}, {TRACKED_PER_SHARD})")
     return (
-        df.agg(sketch.alias("top"))
+        df.filter(F.col(key).isNotNull())
+        .groupBy(F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("_shard"))
+        .agg(sketch.alias("top"))
         .select(F.explode("top").alias("t"))
         .select(F.col("t.item").alias(key))
-        .filter(F.col(key).isNotNull())
     )
 
 

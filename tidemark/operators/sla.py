@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -46,39 +46,43 @@ def sla_report(
         F.sum("_n").alias("_requests"),
         F.sum("_errors").alias("_errors"),
     )
-    totals = blocks.groupBy(group).agg(
-        F.sum("_requests").alias("n"),
-        F.sum("_errors").alias("errors"),
-        ((F.sum("_n") - 1) * F.lit(P)).alias("_rank"),
-    )
+    whole = Window.partitionBy(group)
+    values = F.sum("_n").over(whole)
     low, high = F.floor("_rank"), F.ceil("_rank")
 
     def holds(rank):
         return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
 
+    # The block table is small: one row per group and latency block.
     wanted = (
-        block_starts(blocks.filter("_n > 0"), [group], "_block", F.sum("_n"), "_start")
-        .withColumn("_before", F.coalesce("_start", F.lit(0)))
-        .join(totals, group)
-        .filter(holds(low) | holds(high))
-        .select(group, "_block", "_before", "_rank")
+        block_starts(blocks, [group], "_block", F.sum("_n"), "_start")
+        .select(
+            group,
+            "_block",
+            "_n",
+            F.coalesce("_start", F.lit(0)).alias("_before"),
+            ((values - 1) * F.lit(P)).alias("_rank"),
+            F.sum("_requests").over(whole).alias("n"),
+            F.sum("_errors").over(whole).alias("errors"),
+        )
+        # a group without any latency keeps its counts
+        .filter(holds(low) | holds(high) | F.col("_rank").isNull())
+        .drop("_n")
     )
     up_to = F.sum("_n").over(inside_block([group], "_block", [latency]))
-    values = (
-        histogram.select(group, "_block", latency, "_n")
-        .filter(F.col(latency).isNotNull())
-        .join(wanted, [group, "_block"])
+    ends = (
+        wanted.join(histogram.select(group, "_block", latency, "_n"), [group, "_block"], "left")
         .withColumn("_upto", up_to + F.col("_before"))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
-    )
-    ends = values.groupBy(group).agg(
-        F.max(F.when(holds(low), F.col(latency))).alias("_low"),
-        F.max(F.when(holds(high), F.col(latency))).alias("_high"),
+        .groupBy(group, "n", "errors", "_rank")
+        .agg(
+            F.max(F.when(holds(low), F.col(latency))).alias("_low"),
+            F.max(F.when(holds(high), F.col(latency))).alias("_high"),
+        )
     )
     part = F.col("_rank") - low
     p95 = F.col("_low") * (F.lit(1.0) - part) + F.col("_high") * part
-    report = totals.join(ends, group, "left").withColumn("p95", p95)
-    return _verdict(report, group, max_fail, max_p95)
+    return _verdict(ends.withColumn("p95", p95), group, max_fail, max_p95)
 
 
 def sla_report_approx(

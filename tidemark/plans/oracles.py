@@ -466,4 +466,15 @@ _REFUNDS = (
 _BODIES["saga_refunds"] = _REFUNDS
 _BODIES["saga_refunds_by_step"] = _REFUNDS
 
+# A stream over the whole table has the result of the batch query.
+_STREAMED = {
+    "orders_routed_streamed": "orders_routed",
+    "customer_order_counts_from_state": "customer_order_counts",
+    "customer_total_amounts_from_state": "customer_total_amounts",
+    "customer_windowed_counts_streamed": "customer_windowed_counts",
+}
+for _name, _batch in _STREAMED.items():
+    _BODIES[_name] = _BODIES[_batch]
+_BODIES["orders_deduped_streamed"] = (["oe"], f"SELECT {_ORDER} FROM oe")
+
 ORACLES = {name: _with(ctes, body) for name, (ctes, body) in _BODIES.items()}

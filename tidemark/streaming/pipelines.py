@@ -1,0 +1,232 @@
+"""The batch functions wired to streams.
+
+Every query keeps its progress in ``checkpoint`` and commits a batch after it was written,
+so a failed batch is run again: at least once. The writers here replace what an earlier
+try of the same batch wrote, and ``first_per_key`` / ``new_only`` skip what was consumed
+before, which together gives each event one effect.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark import fixed, schemas
+from tidemark.operators import analytics, dedup, delivery, enrich, payments
+from tidemark.sinks import writers
+from tidemark.sources import records
+
+BatchWriter = Callable[[DataFrame, int], None]
+UPDATE_EVERY = "1 second"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Keep keyed state in RocksDB rather than in executor memory."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+
+
+# --- stream -> stream -------------------------------------------------------------------
+
+
+def enriched_records(
+    source: DataFrame,
+    threshold=fixed.HIGH_VALUE_THRESHOLD,
+    processed_at: Column | None = None,
+) -> DataFrame:
+    """Order records in; valid, enriched records out, each with the topic of its class."""
+    orders = records.decode(source, schemas.ORDER_PLACED).select(
+        *[f.name for f in schemas.ORDER_PLACED][:-1]
+    )
+    enriched = enrich.valid_orders(enrich.enrich(orders, threshold, processed_at))
+    routed = writers.route(enriched)
+    fields = [f.name for f in schemas.ENRICHED_ORDER]
+    return writers.to_records(routed, F.col("topic"), columns=fields)
+
+
+def windowed_count_updates(
+    orders: DataFrame,
+    size: str = fixed.WINDOW_SIZE,
+    grace: str = fixed.GRACE,
+    time_col: str = "order_date",
+) -> DataFrame:
+    """Windowed counts of a stream; rows behind the watermark are left out."""
+    return analytics.windowed_counts(analytics.with_grace(orders, time_col, grace), size, time_col)
+
+
+# --- running queries --------------------------------------------------------------------
+
+
+def _trigger(every: str | None) -> dict:
+    return {"availableNow": True} if every is None else {"processingTime": every}
+
+
+def run_to_files(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    layout: tuple[str, ...] = (),
+    every: str | None = None,
+) -> StreamingQuery:
+    """Append a stream to files. Without ``every`` it takes what is there and ends."""
+    return (
+        df.writeStream.outputMode("append")
+        .format("parquet")
+        .partitionBy(*layout)
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
+
+
+def run_to_kafka(
+    df: DataFrame, servers: str, checkpoint: str, every: str | None = UPDATE_EVERY
+) -> StreamingQuery:
+    """Send records to the topic each of them names."""
+    return (
+        df.writeStream.outputMode("append")
+        .format("kafka")
+        .option("kafka.bootstrap.servers", servers)
+        .option("includeHeaders", "true")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
+
+
+def run_to_state(df: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep an aggregate up to date as keyed state only; :func:`state_table` reads it."""
+    return (
+        df.writeStream.outputMode("update")
+        .format("noop")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
+
+
+def run_updates(
+    df: DataFrame, write: BatchWriter, checkpoint: str, every: str | None = UPDATE_EVERY
+) -> StreamingQuery:
+    """Pass on every changed row of an aggregate as it changes."""
+    return (
+        df.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
+
+
+# --- what one batch writes --------------------------------------------------------------
+
+
+def updates_table(path: str) -> BatchWriter:
+    """Keep the updates of each batch; :func:`latest_updates` folds them by key."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        writers.append_rows(batch, path, batch_id)
+
+    return write
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row per key of an updates table."""
+    updates = spark.read.parquet(path)
+    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
+    newest = F.max_by(F.struct(*values), "batch_id").alias("_v")
+    return updates.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+
+
+def dual_write(
+    table_path: str,
+    topic_path: str,
+    topic: str = fixed.TOPIC_ORDERS,
+    now: Column | None = None,
+) -> BatchWriter:
+    """Write each batch of orders to a table and to a topic.
+
+    A batch that fails between the two is run again and replaces both.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fields = [f.name for f in schemas.ORDER_PLACED]
+        position = records.with_record_metadata(batch)
+        columns = ["kafka_partition", "msg_offset", *fields]
+        writers.append_rows(
+            writers.table_rows(position.select(columns), now), table_path, batch_id
+        )
+        out = writers.to_records(batch.select(*fields, "partition", "offset"), topic, columns=fields)
+        writers.append_rows(out, topic_path, batch_id)
+
+    return write
+
+
+def publish_pairs(root: str, atomic: bool, limit=fixed.PUBLISH_LIMIT) -> BatchWriter:
+    """Publish payments and orders of a batch under ``root``.
+
+    The commit list is written last. With ``atomic`` a payment counts for readers once
+    its transaction is in the list (:func:`read_published`), so they see both events or
+    neither, also when a batch breaks off halfway.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        published = payments.publish(payments.with_ids(batch), atomic, limit).persist()
+        try:
+            attempted = payments.payment_events(published, "payment_attempted")
+            writers.append_rows(attempted, f"{root}/payments", batch_id)
+            writers.append_rows(payments.order_events(published), f"{root}/orders", batch_id)
+            sent = published.filter("payment_sent").select("transaction_id")
+            writers.append_rows(sent, f"{root}/commits", batch_id)
+        finally:
+            published.unpersist()
+
+    return write
+
+
+def read_published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """``(payments, orders)`` of committed transactions."""
+
+    def part(name: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{name}").drop("batch_id")
+
+    commits = part("commits")
+    return (
+        records.committed_only(part("payments"), commits),
+        records.committed_only(part("orders"), commits),
+    )
+
+
+def notify_new(history_path: str, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER) -> BatchWriter:
+    """Write a notification row for every order of a batch that has none yet."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        empty = spark.createDataFrame([], "order_id string, batch_id bigint")
+        try:
+            history = spark.read.parquet(history_path).select("order_id", "batch_id")
+        except Exception as error:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            history = empty
+        # what an earlier try of this batch wrote is replaced, so it does not count
+        before = history.filter(F.col("batch_id") < batch_id)
+        fresh = dedup.new_only(batch, before, "order_id")
+        writers.append_rows(delivery.notification_rows(fresh, method), history_path, batch_id)
+
+    return write
+
+
+# --- state ------------------------------------------------------------------------------
+
+
+def state_table(spark: SparkSession, checkpoint: str, names: dict[str, str]) -> DataFrame:
+    """The keyed state of a query as a table. ``names`` maps state values to columns."""
+    state = spark.read.format("statestore").load(checkpoint)
+    values = [F.col(f"value.{old}").alias(new) for old, new in names.items()]
+    return state.select("key.*", *values)
