@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+from datetime import datetime
+from decimal import Decimal
+
+from conftest import plan_of, values
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from tidemark.operators import enrich
+from tidemark.sinks import writers
+
+ROWS = [
+    ("o1", "c1", 2, "150.00"),
+    ("o2", "c1", 1, "50.00"),
+    ("o3", "c1", 1, "100.00"),
+    ("o4", "c1", 1, "99.99"),
+    ("o5", "c1", 0, "150.00"),
+    ("o6", "c1", None, "150.00"),
+    ("o7", "c1", 1, "0.00"),
+    ("o8", "c1", 1, None),
+]
+
+
+def test_category_boundary_is_inclusive(make_orders):
+    assert values(enrich.categorize(make_orders(ROWS)), "order_id", "order_category") == [
+        ("o1", "HIGH_VALUE"),
+        ("o2", "REGULAR"),
+        ("o3", "HIGH_VALUE"),
+        ("o4", "REGULAR"),
+        ("o5", "HIGH_VALUE"),
+        ("o6", "HIGH_VALUE"),
+        ("o7", "REGULAR"),
+        ("o8", None),
+    ]
+
+
+def test_enrich_keeps_every_row_and_takes_the_time_it_is_given(make_orders):
+    at = F.lit("2026-02-01 00:00:00").cast("timestamp")
+    out = enrich.enrich(make_orders(ROWS), processed_at=at)
+    assert out.count() == len(ROWS)
+    assert values(out.select("processed_at", "processing_status").distinct(), "*") == [
+        (datetime(2026, 2, 1), "PROCESSED")
+    ]
+
+
+def test_valid_and_rejected_are_complements(make_orders):
+    orders = make_orders(ROWS)
+    assert values(enrich.valid_orders(orders), "order_id") == [("o1",), ("o2",), ("o3",), ("o4",)]
+    assert values(enrich.rejected_orders(orders), "order_id", "reject_reason") == [
+        ("o5", "quantity not positive"),
+        ("o6", "quantity missing"),
+        ("o7", "amount not positive"),
+        ("o8", "amount missing"),
+    ]
+
+
+def test_split_and_route_agree(make_orders):
+    kept = enrich.valid_orders(enrich.enrich(make_orders(ROWS)))
+    high, regular = enrich.split_by_category(kept)
+    assert values(high, "order_id") == [("o1",), ("o3",)]
+    assert values(regular, "order_id") == [("o2",), ("o4",)]
+    assert values(writers.route(kept), "order_id", "topic") == [
+        ("o1", "high-value-orders"),
+        ("o2", "processed-orders"),
+        ("o3", "high-value-orders"),
+        ("o4", "processed-orders"),
+    ]
+
+
+def test_threshold_is_a_parameter(make_orders):
+    out = enrich.categorize(make_orders(ROWS[:2]), threshold=Decimal("50.01"))
+    assert values(out, "order_id", "order_category") == [("o1", "HIGH_VALUE"), ("o2", "REGULAR")]
+
+
+def test_observed_counts(make_orders):
+    seen = Observation("validity")
+    enrich.observe_validity(make_orders(ROWS), seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"valid": 4, "rejected": 4}
+
+
+def test_filter_reaches_the_scan(spark, make_orders, tmp_path):
+    path = str(tmp_path / "orders")
+    make_orders(ROWS).write.parquet(path)
+    kept = enrich.valid_orders(enrich.enrich(spark.read.parquet(path)))
+    plan = plan_of(kept)
+    assert "GreaterThan(quantity,0)" in plan and "GreaterThan(total_amount,0" in plan
+
+
+def test_events_from_requests_have_repeatable_ids(spark, make_orders):
+    requests = make_orders(ROWS[:2]).withColumnRenamed("order_id", "request")
+    now = F.lit("2026-02-01").cast("timestamp")
+    one = values(enrich.to_events(requests, "request", now), "*")
+    assert one == values(enrich.to_events(requests, "request", now), "*")
+    assert len({r[0] for r in one}) == 2
