@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+from datetime import date
+
+import numpy as np
+import pytest
+from conftest import values
+from pyspark.sql import functions as F
+
+from tidemark import fixed
+from tidemark.operators import delivery, sla
+
+
+@pytest.fixture
+def consumed(spark):
+    rows = [(m, "c1", 2, 7) for m in fixed.CONSUMER_METHODS]
+    return spark.createDataFrame(rows, "order_id string, customer_id string, partition int, offset bigint")
+
+
+def test_notification_row_per_consumer_method(consumed):
+    out = delivery.notification_rows(consumed, F.col("order_id"))
+    rows = {r["consumer_method"]: r for r in out.collect()}
+    assert set(rows) == set(fixed.CONSUMER_METHODS)
+    for method, (group, text) in fixed.CONSUMER_METHODS.items():
+        row = rows[method]
+        assert (row["consumer_group"], row["notification_type"], row["status"]) == (group, "EMAIL", "SENT")
+        assert row["message"] == text
+    assert (rows["batch"]["kafka_partition"], rows["batch"]["msg_offset"]) == (2, 7)
+    assert (rows["all-headers"]["kafka_partition"], rows["all-headers"]["msg_offset"]) == (None, None)
+    assert (rows["concurrent"]["kafka_partition"], rows["concurrent"]["msg_offset"]) == (2, None)
+    assert (rows["idempotent"]["kafka_partition"], rows["idempotent"]["msg_offset"]) == (None, 7)
+
+
+def test_texts(make_orders):
+    out = delivery.notification_texts(make_orders([("o1", "c1", 1, "20.90")]))
+    assert values(out, "*") == [
+        ("o1", "EMAIL", "Your order o1 for $20.90 has been placed successfully!"),
+        ("o1", "PUSH", "New order o1 placed!"),
+        ("o1", "SMS", "Order o1 confirmed. Amount: $20.90"),
+    ]
+
+
+@pytest.fixture
+def tries(spark):
+    return spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 9)], "order_id string, needed int")
+
+
+def test_retry_schedule(tries):
+    out = delivery.retry_schedule(tries, F.col("needed"))
+    assert values(out.filter("order_id IN ('a', 'b', 'e')"), "order_id", "attempt", "delay_ms") == [
+        ("a", 1, 0),
+        ("b", 1, 0),
+        ("b", 2, 1000),
+        ("e", 1, 0),
+        ("e", 2, 1000),
+        ("e", 3, 2000),
+    ]
+    more = delivery.retry_schedule(tries, F.col("needed"), attempts=5, delay_ms=10, multiplier=3.0)
+    assert values(more.filter("order_id = 'e'"), "delay_ms") == [(0,), (10,), (270,), (30,), (90,)]
+
+
+def test_dead_letters(tries):
+    assert values(delivery.dead_letters(tries, F.col("needed")), "order_id") == [("d",), ("e",)]
+    assert values(delivery.dead_letters(tries, F.col("needed"), attempts=4), "order_id") == [("e",)]
+
+
+def test_failed_records_go_to_numbered_topics(spark):
+    df = spark.createDataFrame([(1, True), (2, True), (3, True), (1, False)], "attempt int, failed boolean")
+    out = delivery.route_failures(df, F.col("failed"))
+    assert values(out, "attempt", "topic", "next_attempt", "next_delay_ms") == [
+        (1, "orders-retry-0", 2, 1000),
+        (2, "orders-retry-1", 3, 2000),
+        (3, "orders-dlt", None, None),
+    ]
+
+
+DAYS = [date(2026, 1, d) for d in range(1, 6)]
+SIZES = [1, 2, 21, 200, 5000]
+
+
+@pytest.fixture(scope="module")
+def latencies():
+    rng = np.random.default_rng(7)
+    out = {}
+    for day, size in zip(DAYS, SIZES):
+        drawn = np.round(rng.lognormal(4, 1, size), 2)
+        # a third of the requests share one latency
+        drawn[: size // 3] = 50.0
+        out[day] = drawn
+    return out
+
+
+@pytest.mark.parametrize("width", [0.5, 10.0, 100_000.0])
+def test_sla_percentile_is_exact(spark, latencies, width):
+    rows = [(d, float(v), i % 100 == 0) for d, vs in latencies.items() for i, v in enumerate(vs)]
+    log = spark.createDataFrame(rows, "day date, latency double, is_error boolean")
+    out = {r["day"]: r for r in sla.sla_report(log, block_width=width).collect()}
+    assert len(out) == len(DAYS)
+    for day, drawn in latencies.items():
+        row = out[day]
+        p95 = float(np.quantile(drawn, 0.95))
+        rate = len(range(0, len(drawn), 100)) / len(drawn)
+        assert row["n"] == len(drawn)
+        assert row["p95"] == pytest.approx(p95, abs=1e-6)
+        assert row["fail_rate"] == pytest.approx(rate, abs=1e-6)
+        assert row["ok"] == (rate < 0.01 and p95 < 500)
+
+
+def test_sla_limits_are_strict(spark):
+    rows = [(DAYS[0], 500.0, False)] * 200 + [(DAYS[1], 499.99, False)] * 199 + [(DAYS[1], 1.0, True)]
+    rows += [(DAYS[2], 1.0, i < 2) for i in range(200)]
+    log = spark.createDataFrame(rows, "day date, latency double, is_error boolean")
+    assert values(sla.sla_report(log), "day", "ok") == [
+        (DAYS[0], False),
+        (DAYS[1], True),
+        (DAYS[2], False),
+    ]
+
+
+def test_group_without_latencies_keeps_its_counts(spark):
+    rows = [(DAYS[0], None, True), (DAYS[0], None, False), (DAYS[1], 3.0, False), (DAYS[1], None, False)]
+    log = spark.createDataFrame(rows, "day date, latency double, is_error boolean")
+    assert values(sla.sla_report(log), "day", "n", "fail_rate", "p95") == [
+        (DAYS[0], 2, 0.5, None),
+        (DAYS[1], 2, 0.0, 3.0),
+    ]
+
+
+def test_approximate_report_is_close(spark, latencies):
+    rows = [(d, float(v), False) for d, vs in latencies.items() for v in vs]
+    log = spark.createDataFrame(rows, "day date, latency double, is_error boolean")
+    exact = {r["day"]: r["p95"] for r in sla.sla_report(log).collect()}
+    near = {r["day"]: r["p95"] for r in sla.sla_report_approx(log).collect()}
+    assert near[DAYS[4]] == pytest.approx(exact[DAYS[4]], rel=0.02)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -154,15 +155,17 @@ def dual_write(
     A batch that fails between the two is run again and replaces both.
     """
 
+    fields = [f.name for f in schemas.ORDER_PLACED]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        fields = [f.name for f in schemas.ORDER_PLACED]
-        position = records.with_record_metadata(batch)
-        columns = ["kafka_partition", "msg_offset", *fields]
-        writers.append_rows(
-            writers.table_rows(position.select(columns), now), table_path, batch_id
-        )
-        out = writers.to_records(batch.select(*fields, "partition", "offset"), topic, columns=fields)
-        writers.append_rows(out, topic_path, batch_id)
+        orders = batch.select("partition", "offset", *fields).persist()
+        try:
+            rows = writers.table_rows(records.with_record_metadata(orders), now)
+            writers.append_rows(rows, table_path, batch_id)
+            out = writers.to_records(orders, topic, columns=fields)
+            writers.append_rows(out, topic_path, batch_id)
+        finally:
+            orders.unpersist()
 
     return write
 
@@ -210,8 +213,8 @@ def notify_new(history_path: str, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER)
         empty = spark.createDataFrame([], "order_id string, batch_id bigint")
         try:
             history = spark.read.parquet(history_path).select("order_id", "batch_id")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # the first batch finds no table
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             history = empty
         # what an earlier try of this batch wrote is replaced, so it does not count
