@@ -5,7 +5,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup
-from tidemark.operators.skew import HOT_PER_SHARD, SHARDS, hot_keys, salted_left_join
+from tidemark.operators.skew import HOT_PER_SHARD, SHARDS, anti_join, hot_keys, salted_join, semi_join
 
 RECORDS = [("o1", 0, 9), ("o1", 0, 3), ("o2", 1, 4)]
 
@@ -52,22 +52,31 @@ def test_hot_keys_are_found_and_bounded(skewed):
 
 
 @pytest.mark.parametrize("with_hot", [True, False])
-def test_salted_join_is_a_left_join(spark, skewed, with_hot):
-    keys = [(f"k{i}", i) for i in range(0, 30_000, 7)] + ([("hot", -1), ("hot", -2)] if with_hot else [])
+def test_salted_joins_are_the_plain_joins(spark, skewed, with_hot):
+    keys = [(f"k{i}", i) for i in range(0, 30_000, 7)] + ([("hot", -1)] if with_hot else [])
     right = spark.createDataFrame(keys, "order_id string, v bigint")
-    got = salted_left_join(skewed, right, "order_id", ["id"])
-    want = skewed.join(right, "order_id", "left")
-    assert got.columns == want.columns
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
+    twice = right.unionByName(right)
+    pairs = [
+        (salted_join(skewed, right, "order_id"), skewed.join(right, "order_id", "left")),
+        (semi_join(skewed, twice, "order_id"), skewed.join(right, "order_id", "left_semi")),
+        (anti_join(skewed, twice, "order_id"), skewed.join(right, "order_id", "left_anti")),
+    ]
+    for got, want in pairs:
+        want = want.select(got.columns)
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
 
 
-def test_salted_join_spreads_the_hot_key(spark, skewed):
+@pytest.mark.parametrize("copies", [False, True])
+def test_salted_join_spreads_the_hot_key(spark, skewed, copies):
+    if copies:
+        skewed = skewed.withColumn("id", F.when(F.col("order_id") != "hot", F.col("id")))
+        skewed = skewed.repartition(200, F.rand(1))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         right = spark.createDataFrame([("hot", 1), ("k1", 2)], "order_id string, v bigint")
-        joined = salted_left_join(skewed, right, "order_id", ["id"])
+        joined = salted_join(skewed, right, "order_id")
         loads = [
             r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
         ]

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.operators.skew import salted_left_join
+from tidemark.operators.skew import anti_join, salted_join
 
 
 def with_order_flag(payments: DataFrame, orders: DataFrame) -> DataFrame:
     """Every payment with ``has_order``; one order may have any number of payments."""
     known = orders.select("order_id").distinct().withColumn("_known", F.lit(True))
-    joined = salted_left_join(payments, known, "order_id", ["payment_id", "order_id"])
-    return joined.withColumn("has_order", F.col("_known").isNotNull()).select(
-        *payments.columns, "has_order"
-    )
+    joined = salted_join(payments, known, "order_id")
+    return joined.withColumn("has_order", F.col("_known").isNotNull()).drop("_known")
 
 
 def consistency(orders: DataFrame, payments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -70,12 +68,8 @@ def _detail(payments: DataFrame) -> DataFrame:
 
 
 def inconsistencies(payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per payment that has no order.
-
-    Both sides go into the join straight from their shuffle, so that adaptive execution
-    can split an order id that holds many payments.
-    """
-    return _detail(payments.join(orders.select("order_id"), "order_id", "left_anti"))
+    """One row per payment that has no order."""
+    return _detail(anti_join(payments, orders, "order_id"))
 
 
 def inconsistency_summary(
@@ -106,19 +100,24 @@ def stream_inconsistencies(
     within: str = "10 minutes",
     payment_time: str = "processed_at",
     order_time: str = "order_date",
+    salts: int = 4,
 ) -> DataFrame:
     """Payments of a stream whose order does not show up within ``within`` of them.
 
     The verdict waits until the watermark rules out a later order, since the two topics
-    are not in step.
+    are not in step. The payments of one order are dealt over ``salts`` tasks, for which
+    each order is kept that many times.
     """
-    pay = payments.withWatermark(payment_time, within).alias("p")
-    placed = (
-        orders.select(F.col("order_id").alias("_order_id"), F.col(order_time).alias("_placed"))
-        .withWatermark("_placed", within)
-    )
+    dealt = F.pmod(F.xxhash64("payment_id"), F.lit(salts)).cast("int")
+    pay = payments.withColumn("_salt", dealt).withWatermark(payment_time, within)
+    placed = orders.select(
+        F.col("order_id").alias("_order_id"),
+        F.col(order_time).alias("_placed"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_for"),
+    ).withWatermark("_placed", within)
     near = F.expr(
-        f"order_id = _order_id AND _placed BETWEEN {payment_time} - INTERVAL {within}"
+        "order_id = _order_id AND _salt = _for"
+        f" AND _placed BETWEEN {payment_time} - INTERVAL {within}"
         f" AND {payment_time} + INTERVAL {within}"
     )
     missing = pay.join(placed, near, "left_outer").filter("_order_id IS NULL")

@@ -28,11 +28,17 @@ def new_only(
 ) -> DataFrame:
     """First record per key of a batch, without the keys the history already holds.
 
-    The anti-join reuses the batch's partitioning by ``key``.
+    Both sides are down to one row per key before they are joined, and the anti-join
+    reuses their partitioning by ``key``.
     """
-    return first_per_key(batch, key, order_by).join(history.select(key), key, "left_anti")
+    known = history.select(key).distinct()
+    return first_per_key(batch, key, order_by).join(known, key, "left_anti")
 
 
 def dedup_stream(stream: DataFrame, key: str, time_col: str, within: str) -> DataFrame:
-    """First record per key of a stream, remembering a key for ``within``."""
+    """First record per key of a stream, remembering a key for ``within``.
+
+    Spark sends all records of a key to one task here. Where a key may hold a large part
+    of a batch, apply :func:`new_only` per batch instead, which cuts them first.
+    """
     return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])

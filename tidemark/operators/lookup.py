@@ -1,15 +1,17 @@
-"""Lookups. Plain filters: on stored tables they reach the file scan."""
+"""Lookups. For given values they are filters that reach the file scan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import semi_join
+
 
 def by_key(df: DataFrame, column: str, value) -> DataFrame:
     """Rows with one value, or with any of a list, or with any in a key table."""
     if isinstance(value, DataFrame):
-        return df.join(value.select(column), column, "left_semi")
+        return semi_join(df, value, column)
     if isinstance(value, (list, tuple, set)):
         return df.filter(F.col(column).isin(list(value)))
     # lit() leaves a Column as it is

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark import fixed, schemas
 from tidemark.functions.columns import JSON_TIME, derived_id, whole_units
+from tidemark.operators.skew import semi_join
 from tidemark.sources.records import parsed_once
 
 OUTCOME_CONFIRMED = "CONFIRMED"
@@ -381,13 +382,13 @@ def refunds(inventory: DataFrame, payments: DataFrame) -> DataFrame:
     """One refund event per payment whose order has no stock, however often that was
     reported."""
     unavailable = inventory.filter(F.col("status") == fixed.UNAVAILABLE).select("order_id")
-    return payments.join(unavailable, "order_id", "left_semi").select(
+    return semi_join(payments, unavailable, "order_id").select(
         "payment_id", "order_id", "amount", F.col("processed_at").alias("refunded_at")
     )
 
 
 def apply_refunds(payments: DataFrame, refunded: DataFrame) -> DataFrame:
-    """The payment table after the refunds."""
+    """The payment table after the refunds. It has one row per payment id."""
     ids = refunded.select("payment_id").distinct().withColumn("_refunded", F.lit(True))
     status = F.when(F.col("_refunded"), fixed.REFUNDED).otherwise(F.col("status"))
     return (

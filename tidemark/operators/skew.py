@@ -1,9 +1,10 @@
-"""A left join that stays balanced when single keys hold much of the left side."""
+"""Joins by key that stay balanced when single keys hold much of the left side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARDS = 64
 HOT_PER_SHARD = 8
@@ -28,22 +29,43 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
-    """``left LEFT JOIN right USING (key)``, with hot keys spread over many tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left JOIN right USING (key)`` for ``left``, ``left_semi`` and ``left_anti``.
 
-    Rows of a hot key are dealt over ``SALTS`` tasks by the hash of ``spread`` (columns
-    that tell them apart), and the right rows of those keys are repeated per task. Every
-    other key is joined as usual. The hot-key table is broadcast: its size is fixed.
-    Rows without a key match nothing and are spread as well.
+    ``right`` has one row per key. Left rows of a hot key are dealt over ``SALTS`` tasks,
+    and the right row of that key is repeated for each; all other keys are joined as
+    usual. Rows without a key match nothing and are dealt out as well. Only the hot-key
+    table is broadcast: its size is fixed.
+
+    A row is dealt by its content and its input partition. Both are the same when a task
+    is run again, and copies of one row in different partitions still part.
     """
+    content = [f.name for f in left.schema if not isinstance(f.dataType, T.MapType)]
     hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
     is_hot = F.coalesce(F.col("_hot"), F.col(key).isNull())
-    dealt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *content), F.lit(SALTS)).cast("int")
     salted = left.join(hot, key, "left").withColumn("_salt", F.when(is_hot, dealt).otherwise(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
         F.array(F.lit(0))
     )
-    repeated = (
-        right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted.drop("_hot").join(repeated, [key, "_salt"], "left").drop("_salt")
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    added = [c for c in right.columns if c != key] if how == "left" else []
+    return salted.drop("_hot").join(repeated, [key, "_salt"], how).select(*left.columns, *added)
+
+
+def _key_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    keys = right.select(key).distinct()
+    if left.isStreaming:
+        # a batch of a stream cannot be looked at before it is joined
+        return left.join(keys, key, how).select(left.columns)
+    return salted_join(left, keys, key, how)
+
+
+def semi_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left rows whose key occurs on the right, however often."""
+    return _key_join(left, right, key, "left_semi")
+
+
+def anti_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left rows whose key does not occur on the right."""
+    return _key_join(left, right, key, "left_anti")

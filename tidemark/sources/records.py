@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark import fixed, schemas
 from tidemark.functions import headers as hdr
+from tidemark.operators.skew import semi_join
 
 CORRUPT = "_corrupt"
 METADATA_COLUMNS = ("key", "topic", "partition", "offset", "timestamp", "headers")
@@ -160,4 +161,4 @@ def header_rows(df: DataFrame, *keep: str) -> DataFrame:
 
 def committed_only(events: DataFrame, commits: DataFrame, key: str = "transaction_id") -> DataFrame:
     """Events whose transaction was committed."""
-    return events.join(commits.select(key), key, "left_semi")
+    return semi_join(events, commits, key)
