@@ -7,7 +7,8 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from tidemark import fixed, schemas
-from tidemark.operators import analytics, consistency, dedup
+from tidemark.functions import headers as hdr
+from tidemark.operators import analytics, consistency, dedup, lookup
 from tidemark.sinks import writers
 from tidemark.sources import records
 from tidemark.streaming import pipelines
@@ -306,3 +307,39 @@ def test_each_order_is_notified_once(spark, topic, tmp_path):
         ("o2", 0),
         ("o3", 1),
     ]
+
+
+def test_orders_can_be_read_from_files_both_ways(spark, topic, tmp_path):
+    topic(rows(9))
+    stream = records.read_orders(spark, topic.path, partitions=[0, 2])
+    assert stream.isStreaming
+    out = str(tmp_path / "out")
+    query = finish(pipelines.run_to_files(stream, out, str(tmp_path / "p")))
+    batch = records.read_orders(spark, topic.path, streaming=False, partitions=[0, 2])
+    assert values(spark.read.parquet(out), "order_id") == values(batch, "order_id")
+    assert batch.count() == 6
+    done = pipelines.acknowledged(query)
+    assert done[0]["batch"] == 0 and sum(b["rows"] for b in done) >= 6
+
+
+def test_stream_lookups_against_a_table(spark, topic, tmp_path):
+    topic(rows(6))
+    stream = records.read_orders(spark, topic.path)
+    known = spark.createDataFrame([("o1",), ("o4",), ("o4",)], "order_id string")
+    out = str(tmp_path / "out")
+    finish(pipelines.run_to_files(lookup.by_order(stream, known), out, str(tmp_path / "p")))
+    assert values(spark.read.parquet(out), "order_id") == [("o1",), ("o4",)]
+
+
+def test_events_are_keyed_by_the_named_column(spark, tmp_path):
+    path = str(tmp_path / "topic")
+    paid = spark.createDataFrame([("p1", "o1")], "payment_id string, order_id string")
+    writers.write_events(
+        paid,
+        path,
+        fixed.TOPIC_PAYMENTS,
+        key="payment_id",
+        hook=lambda df: hdr.stamp(df, F.lit(5)),
+    )
+    read = records.read_files(spark, path)
+    assert values(read, "key", "topic", hdr.value_of("intercepted-at")) == [("p1", "payments", "5")]

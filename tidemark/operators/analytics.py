@@ -7,21 +7,34 @@ sends one partial row per map task and no more.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 
 
+def aggregate_by(df: DataFrame, keys: dict[str, Column], **aggregates: Column) -> DataFrame:
+    """Group by key expressions and apply aggregate expressions.
+
+    A row whose key is null belongs to no group. Keys and aggregates are Columns, so user
+    rules run inside Spark's own aggregation.
+    """
+    keyed = df.filter(reduce(and_, [key.isNotNull() for key in keys.values()]))
+    return keyed.groupBy(*[key.alias(name) for name, key in keys.items()]).agg(
+        *[value.alias(name) for name, value in aggregates.items()]
+    )
+
+
 def customer_stats(df: DataFrame) -> DataFrame:
     """Order count and amount total per customer, from one shuffle."""
-    return (
-        df.filter("customer_id IS NOT NULL")
-        .groupBy("customer_id")
-        .agg(
-            F.count(F.lit(1)).alias("order_count"),
-            F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(28,2)")).alias("total_amount"),
-        )
+    return aggregate_by(
+        df,
+        {"customer_id": F.col("customer_id")},
+        order_count=F.count(F.lit(1)),
+        total_amount=F.coalesce(F.sum("total_amount"), F.lit(0).cast("decimal(28,2)")),
     )
 
 
@@ -37,16 +50,16 @@ def windowed_counts(
     df: DataFrame, size: str = fixed.WINDOW_SIZE, time_col: str = "order_date"
 ) -> DataFrame:
     """Orders per customer and tumbling window, windows aligned to the epoch."""
-    return (
-        df.filter("customer_id IS NOT NULL")
-        .groupBy(F.window(time_col, size).alias("window"), "customer_id")
-        .agg(F.count(F.lit(1)).alias("order_count"))
-        .select(
-            "customer_id",
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "order_count",
-        )
+    counts = aggregate_by(
+        df,
+        {"window": F.window(time_col, size), "customer_id": F.col("customer_id")},
+        order_count=F.count(F.lit(1)),
+    )
+    return counts.select(
+        "customer_id",
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "order_count",
     )
 
 

@@ -69,6 +69,14 @@ def write_records(
     records.write.mode(mode).partitionBy(*layout).parquet(path)
 
 
+def write_events(
+    df: DataFrame, path: str, topic: str, key: str = "order_id", hook=None, **record
+) -> None:
+    """Write events as keyed JSON records of a topic: orders by order id, payments by
+    payment id (``key="payment_id"``)."""
+    write_records(to_records(df, topic, key, **record), path, hook=hook)
+
+
 def write_kafka(records: DataFrame, servers: str, hook=None) -> None:
     """Write a batch to Kafka; the ``topic`` column says where each record goes.
 

@@ -140,6 +140,21 @@ def decode_rejects(records: DataFrame, schema: T.StructType) -> DataFrame:
     return bad.select(*_kept(records), "value", reason.alias("reject_reason"))
 
 
+def read_orders(
+    spark: SparkSession, source: str | dict[str, str], *, streaming: bool = True, **files
+) -> DataFrame:
+    """Placed orders with their record position, bad records left out.
+
+    ``source`` is a folder of record files (``files`` goes to :func:`read_files`) or the
+    :func:`kafka_options` of a topic.
+    """
+    if isinstance(source, dict):
+        found = read_kafka(spark, source, streaming)
+    else:
+        found = read_files(spark, source, streaming=streaming, **files)
+    return decode(found, schemas.ORDER_PLACED)
+
+
 def with_record_metadata(df: DataFrame) -> DataFrame:
     """Name the position of a record as the audit tables do."""
     return df.withColumnsRenamed({"partition": "kafka_partition", "offset": "msg_offset"})

@@ -124,6 +124,18 @@ def run_updates(
     )
 
 
+def acknowledged(query: StreamingQuery) -> list[dict]:
+    """What the query committed lately: batch number, rows, and where each source ends."""
+    return [
+        {
+            "batch": progress["batchId"],
+            "rows": progress["numInputRows"],
+            "ends": [source["endOffset"] for source in progress["sources"]],
+        }
+        for progress in query.recentProgress
+    ]
+
+
 # --- what one batch writes --------------------------------------------------------------
 
 
