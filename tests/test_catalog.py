@@ -22,7 +22,8 @@ def duck():
     con.execute("SET TimeZone='UTC'")
     for path in glob.glob(f"{SF_DIR}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 

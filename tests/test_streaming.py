@@ -11,7 +11,7 @@ from tidemark.functions import headers as hdr
 from tidemark.operators import analytics, consistency, dedup, lookup
 from tidemark.sinks import writers
 from tidemark.sources import records
-from tidemark.streaming import pipelines
+from tidemark.streaming import jobs
 
 AT = datetime(2026, 1, 3, 10, 0)
 ORDER_FIELDS = [f.name for f in schemas.ORDER_PLACED]
@@ -69,11 +69,11 @@ def test_enrichment_stream_equals_batch(spark, topic, tmp_path):
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     stream = records.read_files(spark, topic.path, streaming=True)
     finish(
-        pipelines.run_to_files(
-            pipelines.enriched_records(stream, processed_at=at), out, progress, ("topic",)
+        jobs.run_to_files(
+            jobs.enriched_records(stream, processed_at=at), out, progress, ("topic",)
         )
     )
-    batch = pipelines.enriched_records(records.read_files(spark, topic.path), processed_at=at)
+    batch = jobs.enriched_records(records.read_files(spark, topic.path), processed_at=at)
     assert values(spark.read.parquet(out), "key", "value", "topic") == values(
         batch, "key", "value", "topic"
     )
@@ -88,7 +88,7 @@ def test_restart_continues_without_double_rows(spark, topic, tmp_path):
 
     def run():
         stream = records.read_files(spark, topic.path, streaming=True)
-        finish(pipelines.run_to_files(orders_of(stream), out, progress))
+        finish(jobs.run_to_files(orders_of(stream), out, progress))
 
     topic(rows(10))
     run()
@@ -107,7 +107,7 @@ def test_bounded_batches(spark, topic, tmp_path):
         topic(rows(4, start=4 * i))
     stream = records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1)
     query = finish(
-        pipelines.run_to_files(orders_of(stream), str(tmp_path / "out"), str(tmp_path / "p"))
+        jobs.run_to_files(orders_of(stream), str(tmp_path / "out"), str(tmp_path / "p"))
     )
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [4, 4, 4]
 
@@ -117,8 +117,8 @@ def test_counts_from_state_follow_the_stream(spark, topic, tmp_path):
 
     def run():
         stream = records.read_files(spark, topic.path, streaming=True)
-        finish(pipelines.run_to_state(analytics.order_counts(orders_of(stream)), progress))
-        state = pipelines.state_table(spark, progress, {"count": "order_count"})
+        finish(jobs.run_to_state(analytics.order_counts(orders_of(stream)), progress))
+        state = jobs.state_table(spark, progress, {"count": "order_count"})
         batch = analytics.order_counts(batch_orders(spark, topic.path))
         assert values(state, "customer_id", "order_count") == values(
             batch, "customer_id", "order_count"
@@ -133,7 +133,7 @@ def test_counts_from_state_follow_the_stream(spark, topic, tmp_path):
 def test_updates_fold_to_the_batch_result(spark, topic, tmp_path):
     """The update writer, batch by batch, with one batch written twice."""
     path = str(tmp_path / "updates")
-    write = pipelines.updates_table(path)
+    write = jobs.updates_table(path)
     topic(rows(8))
     early = analytics.windowed_counts(batch_orders(spark, topic.path))
     early.persist().count()
@@ -143,8 +143,15 @@ def test_updates_fold_to_the_batch_result(spark, topic, tmp_path):
     write(late, 1)
     write(late, 1)
     keys = ["customer_id", "window_start", "window_end"]
-    latest = pipelines.latest_updates(spark, path, keys)
+    latest = jobs.latest_updates(spark, path, keys)
     assert values(latest, *keys, "order_count") == values(late, *keys, "order_count")
+    compact = str(tmp_path / "compact")
+    jobs.compact_updates(spark, path, compact, keys)
+    assert spark.read.parquet(compact).count() == late.count()
+    jobs.updates_table(compact)(early, 2)
+    again = jobs.latest_updates(spark, compact, keys)
+    assert again.count() == late.count()
+    assert set(values(early, *keys, "order_count")) <= set(values(again, *keys, "order_count"))
     early.unpersist()
 
 
@@ -176,7 +183,7 @@ def test_closed_windows_and_the_watermark(spark, topic, tmp_path):
 
     def run():
         stream = orders_of(records.read_files(spark, topic.path, streaming=True))
-        finish(pipelines.run_to_files(pipelines.windowed_count_updates(stream), out, progress))
+        finish(jobs.run_to_files(jobs.windowed_count_updates(stream), out, progress))
         return values(spark.read.parquet(out), "customer_id", "window_start", "order_count")
 
     topic([("o1", "c1", 5), ("o2", "c1", 50), ("o3", "c1", 69)])
@@ -194,7 +201,7 @@ def test_dedup_stream_drops_replays(spark, topic, tmp_path):
     topic([("o2", "c1", 3), ("o3", "c1", 4)])
     stream = orders_of(records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1))
     once = dedup.dedup_stream(stream, "order_id", "order_date", "10 minutes")
-    finish(pipelines.run_to_files(once, out, str(tmp_path / "p")))
+    finish(jobs.run_to_files(once, out, str(tmp_path / "p")))
     assert values(spark.read.parquet(out), "order_id") == [("o1",), ("o2",), ("o3",)]
 
 
@@ -207,9 +214,9 @@ def test_bad_records_do_not_stop_the_stream(spark, topic, tmp_path):
     broken.write.mode("append").parquet(topic.path)
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
     stream = records.read_files(spark, topic.path, streaming=True)
-    finish(pipelines.run_to_files(orders_of(stream), good, str(tmp_path / "p1")))
+    finish(jobs.run_to_files(orders_of(stream), good, str(tmp_path / "p1")))
     finish(
-        pipelines.run_to_files(
+        jobs.run_to_files(
             records.decode_rejects(stream, schemas.ORDER_PLACED), bad, str(tmp_path / "p2")
         )
     )
@@ -236,7 +243,7 @@ def test_missing_orders_are_reported_after_the_wait(spark, tmp_path):
     )
     found = consistency.stream_inconsistencies(paid, placed, "10 minutes")
     out = str(tmp_path / "out")
-    finish(pipelines.run_to_files(found, out, str(tmp_path / "p")))
+    finish(jobs.run_to_files(found, out, str(tmp_path / "p")))
     assert values(spark.read.parquet(out), "payment_id", "order_id") == [("p2", "o2")]
 
 
@@ -245,7 +252,7 @@ def test_missing_orders_are_reported_after_the_wait(spark, tmp_path):
 
 def test_dual_write_replaces_a_retried_batch(spark, topic, tmp_path):
     table, out = str(tmp_path / "table"), str(tmp_path / "out")
-    write = pipelines.dual_write(table, out, now=F.lit(AT))
+    write = jobs.dual_write(table, out, now=F.lit(AT))
     topic(rows(6))
     batch = batch_orders(spark, topic.path)
     for batch_id in (0, 0, 1):
@@ -271,10 +278,10 @@ def paid_requests(spark, topic):
 def test_pairs_are_published_together(spark, topic, tmp_path):
     root = str(tmp_path / "root")
     batch = paid_requests(spark, topic)  # amounts 0, 50, ..., 1450
-    write = pipelines.publish_pairs(root, atomic=True)
+    write = jobs.publish_pairs(root, atomic=True)
     write(batch, 0)
     write(batch, 0)
-    paid, placed = pipelines.read_published(spark, root)
+    paid, placed = jobs.read_published(spark, root)
     assert paid.count() == placed.count() == 21
     assert values(paid, "order_id") == values(placed, "order_id")
     # the attempts are there, but not committed
@@ -283,15 +290,15 @@ def test_pairs_are_published_together(spark, topic, tmp_path):
 
 def test_without_transaction_payments_stay_alone(spark, topic, tmp_path):
     root = str(tmp_path / "root")
-    pipelines.publish_pairs(root, atomic=False)(paid_requests(spark, topic), 0)
-    paid, placed = pipelines.read_published(spark, root)
+    jobs.publish_pairs(root, atomic=False)(paid_requests(spark, topic), 0)
+    paid, placed = jobs.read_published(spark, root)
     assert (paid.count(), placed.count()) == (30, 21)
     assert consistency.inconsistencies(paid, placed).count() == 9
 
 
 def test_each_order_is_notified_once(spark, topic, tmp_path):
     history = str(tmp_path / "history")
-    write = pipelines.notify_new(history)
+    write = jobs.notify_new(history)
     topic([("o1", "c1", 0), ("o2", "c1", 1), ("o1", "c1", 2)])
     first = batch_orders(spark, topic.path)
     write(first, 0)
@@ -314,11 +321,11 @@ def test_orders_can_be_read_from_files_both_ways(spark, topic, tmp_path):
     stream = records.read_orders(spark, topic.path, partitions=[0, 2])
     assert stream.isStreaming
     out = str(tmp_path / "out")
-    query = finish(pipelines.run_to_files(stream, out, str(tmp_path / "p")))
+    query = finish(jobs.run_to_files(stream, out, str(tmp_path / "p")))
     batch = records.read_orders(spark, topic.path, streaming=False, partitions=[0, 2])
     assert values(spark.read.parquet(out), "order_id") == values(batch, "order_id")
     assert batch.count() == 6
-    done = pipelines.acknowledged(query)
+    done = jobs.acknowledged(query)
     assert done[0]["batch"] == 0 and sum(b["rows"] for b in done) >= 6
 
 
@@ -327,7 +334,7 @@ def test_stream_lookups_against_a_table(spark, topic, tmp_path):
     stream = records.read_orders(spark, topic.path)
     known = spark.createDataFrame([("o1",), ("o4",), ("o4",)], "order_id string")
     out = str(tmp_path / "out")
-    finish(pipelines.run_to_files(lookup.by_order(stream, known), out, str(tmp_path / "p")))
+    finish(jobs.run_to_files(lookup.by_order(stream, known), out, str(tmp_path / "p")))
     assert values(spark.read.parquet(out), "order_id") == [("o1",), ("o4",)]
 
 

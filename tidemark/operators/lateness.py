@@ -36,8 +36,10 @@ def with_stream_time(
     newest = rows.groupBy(partition, "_block").agg(F.max(time_col).alias("_newest"))
     starts = block_starts(newest, [partition], "_block", F.max("_newest"), "_before")
     running = F.max(time_col).over(inside_block([partition], "_block", [position, *ties]))
+    # A task's share of the starts is one row per block it holds, so hashing them is safe,
+    # and the rows are shuffled and sorted once, for the window.
     return (
-        rows.join(starts.drop("_newest"), [partition, "_block"])
+        rows.join(starts.drop("_newest").hint("shuffle_hash"), [partition, "_block"])
         # greatest() skips the null of a first block
         .withColumn("stream_time", F.greatest(running, F.col("_before")))
         .select(*df.columns, "stream_time")

@@ -71,7 +71,8 @@ def sla_report(
     )
     up_to = F.sum("_n").over(inside_block([group], "_block", [latency]))
     ends = (
-        wanted.join(histogram.select(group, "_block", latency, "_n"), [group, "_block"], "left")
+        wanted.hint("shuffle_hash")
+        .join(histogram.select(group, "_block", latency, "_n"), [group, "_block"], "left")
         .withColumn("_upto", up_to + F.col("_before"))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
         .groupBy(group, "n", "errors", "_rank")

@@ -16,7 +16,7 @@ from tidemark.plans.catalog import query
 from tidemark.session import run_dir
 from tidemark.sinks import writers
 from tidemark.sources import records
-from tidemark.streaming import pipelines
+from tidemark.streaming import jobs
 
 
 def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def orders_routed_streamed(spark, d):
     sent = writers.to_records(
         _order_stream(spark, d), fixed.TOPIC_ORDERS, columns=a.ORDER_COLUMNS
     )
-    routed = pipelines.enriched_records(sent, processed_at=F.lit("2026-01-01").cast("timestamp"))
-    _finish(pipelines.run_to_files(routed, f"{folder}/out", f"{folder}/progress", ("topic",)))
+    routed = jobs.enriched_records(sent, processed_at=F.lit("2026-01-01").cast("timestamp"))
+    _finish(jobs.run_to_files(routed, f"{folder}/out", f"{folder}/progress", ("topic",)))
     written = records.decode(spark.read.parquet(f"{folder}/out"), schemas.ENRICHED_ORDER)
     return written.groupBy("topic").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").alias("amount")
@@ -46,41 +46,41 @@ def orders_routed_streamed(spark, d):
 @query
 def orders_deduped_streamed(spark, d):
     folder = run_dir(spark, "deduped")
-    pipelines.keep_state_on_disk(spark)
+    jobs.keep_state_on_disk(spark)
     replayed = a.with_replays(_order_stream(spark, d), "event_id")
     once = dedup.dedup_stream(replayed, "order_id", "order_date", "1 hour")
     columns = once.select(*a.ORDER_COLUMNS)
-    _finish(pipelines.run_to_files(columns, f"{folder}/out", f"{folder}/progress"))
+    _finish(jobs.run_to_files(columns, f"{folder}/out", f"{folder}/progress"))
     return spark.read.parquet(f"{folder}/out")
 
 
 @query
 def customer_order_counts_from_state(spark, d):
     folder = run_dir(spark, "counts")
-    pipelines.keep_state_on_disk(spark)
+    jobs.keep_state_on_disk(spark)
     counts = analytics.order_counts(_order_stream(spark, d))
-    _finish(pipelines.run_to_state(counts, folder))
-    return pipelines.state_table(spark, folder, {"count": "order_count"})
+    _finish(jobs.run_to_state(counts, folder))
+    return jobs.state_table(spark, folder, {"count": "order_count"})
 
 
 @query
 def customer_total_amounts_from_state(spark, d):
     folder = run_dir(spark, "totals")
-    pipelines.keep_state_on_disk(spark)
+    jobs.keep_state_on_disk(spark)
     totals = analytics.total_amounts(_order_stream(spark, d))
-    _finish(pipelines.run_to_state(totals, folder))
-    return pipelines.state_table(spark, folder, {"sum": "total_amount"})
+    _finish(jobs.run_to_state(totals, folder))
+    return jobs.state_table(spark, folder, {"sum": "total_amount"})
 
 
 @query
 def customer_windowed_counts_streamed(spark, d):
     """Closed windows from the files, windows still open from the state."""
     folder = run_dir(spark, "windows")
-    pipelines.keep_state_on_disk(spark)
-    counts = pipelines.windowed_count_updates(_order_stream(spark, d))
-    _finish(pipelines.run_to_files(counts, f"{folder}/out", f"{folder}/progress"))
+    jobs.keep_state_on_disk(spark)
+    counts = jobs.windowed_count_updates(_order_stream(spark, d))
+    _finish(jobs.run_to_files(counts, f"{folder}/out", f"{folder}/progress"))
     closed = spark.read.parquet(f"{folder}/out")
-    still_open = pipelines.state_table(spark, f"{folder}/progress", {"count": "order_count"})
+    still_open = jobs.state_table(spark, f"{folder}/progress", {"count": "order_count"})
     return closed.unionByName(
         still_open.select(
             "customer_id",

@@ -156,6 +156,15 @@ def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return updates.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
+def compact_updates(spark: SparkSession, path: str, into: str, keys: list[str]) -> None:
+    """Write the newest row per key of an updates table to a new one, under its batch
+    number, so that later batches can be appended to it."""
+    updates = spark.read.parquet(path)
+    values = [c for c in updates.columns if c not in keys]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
+    newest.select(*keys, "_v.*").write.partitionBy("batch_id").parquet(into)
+
+
 def dual_write(
     table_path: str,
     topic_path: str,
