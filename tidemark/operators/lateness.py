@@ -15,7 +15,7 @@ from tidemark import fixed
 from tidemark.operators.analytics import windowed_counts
 from tidemark.operators.blocks import block_starts, inside_block
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 250_000
 
 
 def with_stream_time(
