@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,10 +38,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a test) falls back to a folder of its own.
+    Only a ``local`` session, whose executors are its driver, falls back to a folder of its
+    own (one per process, removed when it ends); on a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="tidemark-")
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
