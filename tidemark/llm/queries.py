@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dups, near_dups
+from tidemark.llm import bpe, exact_dups, near_dups, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +30,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", sha)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        value=lambda ids: zlib.crc32(ids.astype("<u4").tobytes()),
+        value_type="bigint",
+        value_arrow=pa.int64(),
+    )
+    return pieces.withColumnRenamed("value", "ids_crc32")
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
