@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dups, near_dups, packing
+from tidemark.llm import bpe, exact_dups, near_dups, packing, patterns, pii, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,40 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", sha)
 
 
+def count_where(spans: Column, field: str, value: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s[field] == value)).cast("bigint")
+
+
+def span_columns(kinds: list[str]) -> list[Column]:
+    """The counts and the digest of the patterns' spans, and all spans as text."""
+
+    def place(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [count_where(base, "kind", kind).alias(f"n_{kind}") for kind in kinds]
+    joined = F.concat_ws(",", F.transform(base, place))
+    return [
+        *counts,
+        F.sha2(joined, 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform("spans", place)).alias("spans"),
+    ]
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = pii.train_on(pii.labelled_table(spark))
+    found = pii.find(table(spark, sf_dir, "documents"), field)
+    return found.select("doc_id", *span_columns(list(patterns.PERSONAL)))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = secret_scan.scan(docs, F.col("source"), repository)
+    verdicts = [count_where(F.col("spans"), "verdict", v).alias(f"n_{v}") for v in ("example", "live")]
+    return found.select("doc_id", *verdicts, *span_columns(["assign", "access", "hex"]))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(
         table(spark, sf_dir, "documents"),
@@ -48,8 +82,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_pii_spans": op2_pii_spans,
     "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
