@@ -10,7 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dups, near_dups, packing, patterns, pii, secret_scan
+from tidemark.llm import (
+    bpe,
+    exact_dups,
+    lang_id,
+    near_dups,
+    packing,
+    patterns,
+    pii,
+    quality,
+    secret_scan,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +90,18 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.identify(docs, lang_id.train(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii_spans": op2_pii_spans,
@@ -87,6 +109,8 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
