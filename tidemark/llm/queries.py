@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     bpe,
+    embed_dups,
     exact_dups,
     lang_id,
     near_dups,
@@ -34,6 +35,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dups.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dups.exact_duplicates(table(spark, sf_dir, "documents"))
     sha = F.lower(F.hex("digest")).alias("text_sha256")
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_pii_spans": op2_pii_spans,
     "op3_packing": op3_packing,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe_round_trip": op8_bpe_round_trip,
@@ -114,6 +121,22 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        fine AS (
+            SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN counts USING (vec_id)""",
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''),
