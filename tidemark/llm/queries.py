@@ -21,6 +21,7 @@ from tidemark.llm import (
     pii,
     quality,
     secret_scan,
+    warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"), least_bytes=0, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dups.exact_duplicates(table(spark, sf_dir, "documents"))
     sha = F.lower(F.hex("digest")).alias("text_sha256")
@@ -113,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii_spans": op2_pii_spans,
     "op3_packing": op3_packing,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_warc_normaliser": op5_warc_normaliser,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_bpe_round_trip": op8_bpe_round_trip,
@@ -137,6 +144,25 @@ ORACLES: dict[str, str] = {
         counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM least LEFT JOIN counts USING (vec_id)""",
+    "op5_warc_normaliser": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, b, sha1(b) AS hex FROM p),
+        five AS (SELECT list_transform(range(32), lambda x: lpad(bin(x), 5, '0')) AS codes,
+            list_transform(range(16), lambda x: lpad(bin(x), 4, '0')) AS four),
+        bits AS (
+            SELECT page_id, b, codes, array_to_string(list_transform(range(1, 41),
+                lambda i: four[strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS s
+            FROM h, five),
+        d AS (
+            SELECT page_id, b, array_to_string(list_transform(range(32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                list_position(codes, substr(s, i * 5 + 1, 5))::BIGINT, 1)), '') AS payload_digest
+            FROM bits),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY b) AS first FROM d)
+        SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''),
