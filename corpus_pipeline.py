@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.frames import keep
-
-STAGES: list = []
+from tidemark.llm import exact_dups, lang_id, near_dups, packing, pii
+from tidemark.llm.frames import keep, without
 
+#: Packing and the two kinds of spans have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those that identification does not reject."""
+    return lang_id.known_only(docs, lang_id.train(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the largest id."""
+    return without(docs, exact_dups.exact_duplicates(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return without(docs, near_dups.near_duplicates(docs, words=4, max_bits=4))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data replaced; ``n_chars`` follows the text."""
+    clean = pii.redact(docs, pii.train_on(pii.labelled_table(spark)))
+    length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+    return clean.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token windows, one row each, with their ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumnRenamed("value", "ids")
+
+
+STAGES = [
+    ("language", language),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("pii", private),
+    ("packing", pack),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another; the result of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = keep(stage(spark, docs, sf_dir), f"stage_{name}")
     return docs

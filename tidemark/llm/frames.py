@@ -41,6 +41,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``df`` without the rows that ``verdicts`` (``_row, kept``) drops.
+
+    The rows are joined by their ids, which are all different, so no task has more than its
+    share whatever the texts are.
+    """
+    name = free_name(df, "_row")
+    dropped = verdicts.filter("NOT kept").select(F.col("_row").alias(name))
+    return with_rows(df, name).join(dropped, name, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and there after lost executors."""
     spark = df.sparkSession
