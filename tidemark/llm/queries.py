@@ -115,16 +115,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op2_pii_spans": op2_pii_spans,
-    "op3_packing": op3_packing,
-    "op4_embedding_near_dedup": op4_embedding_near_dedup,
-    "op5_warc_normaliser": op5_warc_normaliser,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_bpe_round_trip": op8_bpe_round_trip,
-    "op9_language_id": op9_language_id,
-    "op10_quality": op10_quality,
+    query.__name__: query
+    for query in (
+        op1_simhash_near_dedup,
+        op2_pii_spans,
+        op3_packing,
+        op4_embedding_near_dedup,
+        op5_warc_normaliser,
+        op6_exact_dedup,
+        op7_secret_scan,
+        op8_bpe_round_trip,
+        op9_language_id,
+        op10_quality,
+    )
 }
 
 ORACLES: dict[str, str] = {
