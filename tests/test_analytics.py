@@ -146,3 +146,12 @@ def test_lookup_reaches_the_scan(spark, make_orders, tmp_path):
     path = str(tmp_path / "t")
     make_orders(LOOP).write.parquet(path)
     assert "EqualTo(order_id,o2)" in plan_of(lookup.by_order(spark.read.parquet(path), "o2"))
+
+
+def test_batches_leave_records_without_a_place_out(spark):
+    rows = [(f"o{i}", 0, i) for i in range(25)] + [(f"n{i}", 0, None) for i in range(50)] + [("p", None, 1)]
+    df = spark.createDataFrame(rows, "order_id string, partition int, offset bigint")
+    out = analytics.batch_ids(df, batch_rows=10)
+    assert out.count() == 3
+    listed = sum(len(r.ids.split(", ")) for r in out.collect())
+    assert listed + analytics.batch_rejects(df).count() == len(rows)

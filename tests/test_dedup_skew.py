@@ -34,6 +34,18 @@ def test_new_only_skips_history_and_replays(spark):
     assert dedup.new_only(history, history, "order_id").count() == 0
 
 
+def test_records_without_a_key_are_set_apart(spark):
+    batch = as_records(spark, [("o1", None, None), ("o1", 0, 5), (None, 0, 1), (None, 0, 2), ("o3", None, 1)])
+    history = as_records(spark, [("o3", 0, 0), (None, 0, 0)])
+    first = dedup.first_per_key(batch, "order_id")
+    assert values(first, "*") == [("o1", 0, 5), ("o3", None, 1)]
+    assert values(dedup.new_only(batch, history, "order_id"), "*") == [("o1", 0, 5)]
+    rejects = dedup.without_key(batch, "order_id")
+    assert values(rejects, "*") == [(None, 0, 1), (None, 0, 2)]
+    keyed = batch.filter("order_id IS NOT NULL").count()
+    assert keyed + rejects.count() == batch.count()
+
+
 @pytest.fixture
 def skewed(spark):
     """A third of all rows on one key, a tenth without a key, the rest spread."""

@@ -7,7 +7,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from tidemark import fixed
+from tidemark import fixed, schemas
 from tidemark.operators import delivery, sla
 
 
@@ -42,26 +42,53 @@ def test_texts(make_orders):
 
 @pytest.fixture
 def tries(spark):
-    return spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 9)], "order_id string, needed int")
+    rows = [("a", 1, "Runtime"), ("b", 2, "Runtime"), ("c", 3, "Runtime"), ("d", 1, "Other"), ("e", 1, None)]
+    rows += [("f", 0, "Runtime"), ("g", -1, "Runtime"), ("h", None, "Runtime"), ("i", 9, "Runtime")]
+    return spark.createDataFrame(rows, "order_id string, attempt int, failure_class string")
 
 
 def test_retry_schedule(tries):
-    out = delivery.retry_schedule(tries, F.col("needed"))
-    assert values(out.filter("order_id IN ('a', 'b', 'e')"), "order_id", "attempt", "delay_ms") == [
-        ("a", 1, 0),
-        ("b", 1, 0),
-        ("b", 2, 1000),
-        ("e", 1, 0),
-        ("e", 2, 1000),
-        ("e", 3, 2000),
+    assert values(delivery.retry_schedule(tries), "order_id", "delay_ms", "last_attempt") == [
+        ("a", 0, False),
+        ("b", 1000, False),
+        ("c", 2000, True),
+        ("d", 0, False),
+        ("e", 0, False),
+        ("f", None, False),
+        ("g", None, False),
+        ("h", None, False),
+        ("i", None, True),
     ]
-    more = delivery.retry_schedule(tries, F.col("needed"), attempts=5, delay_ms=10, multiplier=3.0)
-    assert values(more.filter("order_id = 'e'"), "delay_ms") == [(0,), (10,), (270,), (30,), (90,)]
-
-
-def test_dead_letters(tries):
-    assert values(delivery.dead_letters(tries, F.col("needed")), "order_id") == [("d",), ("e",)]
-    assert values(delivery.dead_letters(tries, F.col("needed"), attempts=4), "order_id") == [("e",)]
+    more = delivery.retry_schedule(tries, attempts=5, delay_ms=10, multiplier=3.0)
+    assert values(more.filter("order_id < 'd'"), "delay_ms") == [(0,), (10,), (30,)]
+
+
+def test_dead_letters_and_retries_are_all_failures(tries):
+    failed = F.col("order_id") != "b"
+    for include, dead in ((None, "chi"), (("Runtime",), "cdehi")):
+        letters = delivery.dead_letters(tries, failed, include=include)
+        assert values(letters, "order_id") == [(x,) for x in dead]
+        routed = delivery.route_failures(tries, failed, include=include)
+        assert routed.count() == tries.filter(failed).count()
+        assert values(routed.filter("topic = 'orders-dlt'"), "order_id") == [(x,) for x in dead]
+        again = routed.filter("next_attempt IS NOT NULL AND order_id IN ('f', 'g')")
+        assert values(again, "topic", "next_attempt") == [("orders-retry-0", 2)] * 2
+
+
+def test_ids_tell_topics_consumers_and_positions_apart(spark):
+    consumed = spark.createDataFrame(
+        [(m, "c", p, o) for m in fixed.CONSUMER_METHODS for p in (0, 1) for o in (0, 7, 10**12)],
+        "order_id string, customer_id string, partition int, offset bigint",
+    ).withColumn("headers", F.lit(None).cast(schemas.HEADERS))
+    ids = [
+        r.id
+        for topic in fixed.TOPICS
+        for r in delivery.notification_rows(consumed, F.col("order_id"), topic=topic).collect()
+    ]
+    assert None not in ids and len(set(ids)) == len(ids) == 5 * 9 * 6
+    for gap in ("partition", "offset"):
+        with pytest.raises(Exception, match="record position"):
+            delivery.notification_rows(consumed.withColumn(gap, F.lit(None).cast("bigint"))).collect()
 
 
 def test_failed_records_go_to_numbered_topics(spark):

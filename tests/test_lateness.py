@@ -76,3 +76,19 @@ def test_stream_time_is_the_plain_running_maximum(spark, block_rows):
     timed = lateness.with_stream_time(df, block_rows=block_rows)
     wrong = timed.join(expected, "offset").filter("stream_time <> want OR stream_time IS NULL")
     assert timed.count() == 2000 and wrong.count() == 0
+
+
+def test_records_without_a_place_are_kept(spark):
+    rows = [(0, 0, 50), (0, 1, 200), (0, 2, 55), (None, 3, 10), (0, None, 10), (None, None, 10)]
+    df = spark.createDataFrame(rows, "partition int, offset bigint, s int").select(
+        F.lit("c").alias("customer_id"), "partition", "offset", F.timestamp_seconds("s").alias("order_date")
+    )
+    judged = lateness.judge_lateness(df)
+    assert judged.count() == len(rows)
+    placed = F.col("partition").isNotNull() & F.col("offset").isNotNull()
+    apart = judged.filter(~placed)
+    assert apart.filter("stream_time = order_date AND NOT is_late").count() == 3
+    assert values(judged.filter("is_late"), "offset") == [(2,)]
+    # rows in = rows counted + rows late
+    counted = lateness.windowed_counts_with_grace(df).agg(F.sum("order_count")).first()[0]
+    assert counted + judged.filter("is_late").count() == len(rows)

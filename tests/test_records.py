@@ -60,8 +60,17 @@ def test_every_record_is_decoded_or_rejected(spark):
 
 def test_decode_can_fail_instead(spark):
     source = as_records(spark, [GOOD, '{"orderId":'])
-    with pytest.raises(Exception, match="MALFORMED_RECORD"):
-        records.decode(source, schemas.ORDER_PLACED, on_error="fail").collect()
+    for value in (None, "", "  ", "null", '{"orderId":', "[]", '{"orderId": "a", "quantity": "x"}', "{}", GOOD):
+        one = as_records(spark, [GOOD, value])
+        rejected = records.decode_rejects(one, schemas.ORDER_PLACED).count()
+        failing = records.decode(one, schemas.ORDER_PLACED, on_error="fail")
+        if rejected:
+            with pytest.raises(Exception, match="not a valid event"):
+                failing.collect()
+            with pytest.raises(Exception, match="not a valid event"):
+                failing.select("order_id").write.format("noop").mode("overwrite").save()
+        else:
+            assert failing.count() == 2
     assert records.decode(as_records(spark, [GOOD]), schemas.ORDER_PLACED, "fail").count() == 1
     with pytest.raises(ValueError):
         records.decode(source, schemas.ORDER_PLACED, on_error="ignore")
@@ -161,13 +170,16 @@ def test_tables(spark, make_orders, tmp_path):
     rows = make_orders([("o1", "c1", 1, "1.00"), ("o2", "c1", 1, "2.00")]).withColumns(
         {"kafka_partition": F.lit(1), "msg_offset": F.col("quantity").cast("bigint") + 4}
     )
-    stored = writers.table_rows(rows, F.lit(PLACED))
-    assert values(stored, "id", "created_at")[0] == (2**48 + 5, PLACED)
-    writers.append_rows(stored, path, 7)
-    writers.append_rows(stored, path, 7)  # a retry
-    writers.append_rows(stored, path, 8)
+    stored = writers.table_rows(rows, now=F.lit(PLACED))
+    assert values(stored, "id", "created_at")[0] == (2**42 + 5, PLACED)
+    writers.append_rows(stored, path, 7, "one")
+    writers.append_rows(stored, path, 7, "one")  # a retry
+    writers.append_rows(stored, path, 8, "one")
     assert records.read_table(spark, path).groupBy("batch_id").count().count() == 2
     assert records.read_table(spark, path).count() == 4
+    writers.append_rows(stored, path, 7, "another/one")  # touches nothing of the first
+    writers.append_rows(stored, path, 7, "another/one")
+    assert records.read_table(spark, path).count() == 6
 
 
 def test_default_value(spark):

@@ -186,3 +186,17 @@ def test_payment_without_amount_gets_no_stock(spark):
 def test_derived_transaction_when_orders_have_none(orders):
     out = saga.run_saga(orders.drop("transaction_id"))
     assert out.select("transaction_id").distinct().count() == len(AMOUNTS)
+
+
+def test_trace_follows_the_log(spark):
+    def log(rows):
+        df = spark.createDataFrame(rows, "t string, seq int, kind string")
+        return df.select("seq", F.struct(F.col("t").alias("transaction_id"), F.col("kind").alias("event_type")).alias("metadata"))
+
+    events = ["OrderPlaced", "InventoryReserved", "PaymentProcessed", "PaymentProcessed", "OrderShipped"]
+    rows = [("a", i + 1, e) for i, e in enumerate(events)]
+    rows += [("b", 2, "OrderPlaced"), ("b", 1, "x"), ("b", 3, None), ("b", None, "OrderCancelled")]
+    assert values(saga.saga_trace(log(rows[::-1])), "*") == [
+        ("a", 5, "OrderPlaced>InventoryReserved>PaymentProcessed*2>other"),
+        ("b", 4, "other*2>OrderPlaced>OrderCancelled"),
+    ]

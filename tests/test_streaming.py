@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed, schemas
 from tidemark.functions import headers as hdr
-from tidemark.operators import analytics, consistency, dedup, lookup
+from tidemark.operators import analytics, consistency, dedup, delivery, lookup, payments, saga
 from tidemark.sinks import writers
 from tidemark.sources import records
 from tidemark.streaming import jobs
@@ -118,7 +120,7 @@ def test_counts_from_state_follow_the_stream(spark, topic, tmp_path):
     def run():
         stream = records.read_files(spark, topic.path, streaming=True)
         finish(jobs.run_to_state(analytics.order_counts(orders_of(stream)), progress))
-        state = jobs.state_table(spark, progress, {"count": "order_count"})
+        state = jobs.state_table(spark, progress, ["order_count"])
         batch = analytics.order_counts(batch_orders(spark, topic.path))
         assert values(state, "customer_id", "order_count") == values(
             batch, "customer_id", "order_count"
@@ -133,7 +135,7 @@ def test_counts_from_state_follow_the_stream(spark, topic, tmp_path):
 def test_updates_fold_to_the_batch_result(spark, topic, tmp_path):
     """The update writer, batch by batch, with one batch written twice."""
     path = str(tmp_path / "updates")
-    write = jobs.updates_table(path)
+    write = jobs.updates_table(path, "counts")
     topic(rows(8))
     early = analytics.windowed_counts(batch_orders(spark, topic.path))
     early.persist().count()
@@ -143,18 +145,58 @@ def test_updates_fold_to_the_batch_result(spark, topic, tmp_path):
     write(late, 1)
     write(late, 1)
     keys = ["customer_id", "window_start", "window_end"]
-    latest = jobs.latest_updates(spark, path, keys)
-    assert values(latest, *keys, "order_count") == values(late, *keys, "order_count")
-    compact = str(tmp_path / "compact")
-    jobs.compact_updates(spark, path, compact, keys)
-    assert spark.read.parquet(compact).count() == late.count()
-    jobs.updates_table(compact)(early, 2)
-    again = jobs.latest_updates(spark, compact, keys)
-    assert again.count() == late.count()
-    assert set(values(early, *keys, "order_count")) <= set(values(again, *keys, "order_count"))
+
+    def latest():
+        return values(jobs.latest_updates(spark, path, keys), *keys, "order_count")
+
+    wanted = values(late, *keys, "order_count")
+    assert latest() == wanted
+    # compacting beside the stream, more than once, with batches after it and one tried again
+    jobs.compact_updates(spark, path, keys)
+    assert latest() == wanted
+    write(late, 1)
+    write(early, 2)
+    again = latest()
+    assert len(again) == len(wanted) and set(values(early, *keys, "order_count")) <= set(again)
+    jobs.compact_updates(spark, path, keys)
+    assert latest() == again
+    # a query with a new checkpoint starts at 0 again and is newer than all before
+    jobs.updates_table(path, "counts, begun anew")(late, 0)
+    assert latest() == wanted
+    jobs.compact_updates(spark, path, keys)
+    jobs.compact_updates(spark, path, keys)
+    assert latest() == wanted
     early.unpersist()
 
 
+def test_update_table_of_a_running_stream(spark, topic, tmp_path):
+    """The writer knows its query; a new checkpoint on the same table erases nothing."""
+    path = str(tmp_path / "updates")
+    topic(rows(10))
+    topic(rows(2, start=10))
+
+    def run(progress):
+        stream = records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1)
+        counts = analytics.order_counts(orders_of(stream))
+        finish(jobs.run_updates(counts, jobs.updates_table(path), str(tmp_path / progress), every=None))
+
+    run("first")
+    run("first")
+    batch = analytics.order_counts(batch_orders(spark, topic.path))
+    wanted = values(batch, "customer_id", "order_count")
+    assert values(jobs.latest_updates(spark, path, ["customer_id"]), "customer_id", "order_count") == wanted
+    stored = spark.read.parquet(path)
+    assert stored.select("writer", "batch_id").distinct().count() == 2
+    run("second")
+    assert spark.read.parquet(path).select("writer").distinct().count() == 2
+    assert values(jobs.latest_updates(spark, path, ["customer_id"]), "customer_id", "order_count") == wanted
+
+
+def test_batches_outside_a_stream_need_a_writer(spark, tmp_path):
+    with pytest.raises(ValueError):
+        jobs.updates_table(str(tmp_path / "t"))(spark.range(1), 0)
+
+
 def test_update_stream_emits_every_change(spark, topic):
     """Several values per key arrive, one per batch that changed it; the last one counts."""
     topic(rows(10))
@@ -195,14 +237,44 @@ def test_closed_windows_and_the_watermark(spark, topic, tmp_path):
     assert closed in run() and ("c1", AT, 4) not in run()
 
 
-def test_dedup_stream_drops_replays(spark, topic, tmp_path):
+@pytest.mark.parametrize("within", [None, "10 minutes"])
+def test_dedup_stream_drops_replays(spark, topic, tmp_path, within):
     out = str(tmp_path / "out")
     topic([("o1", "c1", 0), ("o2", "c1", 1), ("o1", "c1", 2)])
-    topic([("o2", "c1", 3), ("o3", "c1", 4)])
+    topic([("o2", "c1", 3), ("o3", "c1", 4), (None, "c1", 5)])
+    topic([("o8", "c1", 90_000)])
+    topic([("o9", "c1", 90_001)])
+    topic([("o1", "c1", 90_002)])
+    stream = orders_of(records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1))
+    with jobs.state_on_disk(spark):
+        once = dedup.dedup_stream(stream, "order_id", "order_date", within)
+        running = jobs.run_to_files(once, out, str(tmp_path / "p"))
+    finish(running)
+    # a bounded memory lets a late replay pass again, the unbounded one never does
+    again = [("o1",)] if within else []
+    assert values(spark.read.parquet(out), "order_id") == sorted([*again, ("o1",), ("o2",), ("o3",), ("o8",), ("o9",)])
+
+
+def test_the_setting_of_the_state_store_is_given_back(spark):
+    before = spark.conf.get(jobs.STATE_STORE, None)
+    with jobs.state_on_disk(spark):
+        assert spark.conf.get(jobs.STATE_STORE) == jobs.ROCKSDB
+    assert spark.conf.get(jobs.STATE_STORE, None) == before
+
+
+def test_first_of_stream_by_position(spark, topic, tmp_path):
+    """A record with an earlier position wins also when it arrives later."""
+    path = str(tmp_path / "updates")
+    topic([("o1", "late", 0), ("o2", "c1", 1), ("o1", "c1", 2)])
+    topic([("o2", "c1", 3), (None, "c1", 4)])
     stream = orders_of(records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1))
-    once = dedup.dedup_stream(stream, "order_id", "order_date", "10 minutes")
-    finish(jobs.run_to_files(once, out, str(tmp_path / "p")))
-    assert values(spark.read.parquet(out), "order_id") == [("o1",), ("o2",), ("o3",)]
+    stream = stream.withColumn("offset", F.when(F.col("customer_id") == "late", 99).otherwise(F.col("offset")))
+    first = dedup.first_of_stream(
+        stream.select(*ORDER_FIELDS, F.lit(0).alias("partition"), "offset"), "order_id"
+    )
+    finish(jobs.run_updates(first, jobs.updates_table(path), str(tmp_path / "p"), every=None))
+    latest = jobs.latest_updates(spark, path, ["order_id"])
+    assert values(latest, "order_id", "customer_id", "offset") == [("o1", "c1", 2), ("o2", "c1", 1)]
 
 
 def test_bad_records_do_not_stop_the_stream(spark, topic, tmp_path):
@@ -252,7 +324,7 @@ def test_missing_orders_are_reported_after_the_wait(spark, tmp_path):
 
 def test_dual_write_replaces_a_retried_batch(spark, topic, tmp_path):
     table, out = str(tmp_path / "table"), str(tmp_path / "out")
-    write = jobs.dual_write(table, out, now=F.lit(AT))
+    write = jobs.dual_write(table, out, now=F.lit(AT), writer="orders")
     topic(rows(6))
     batch = batch_orders(spark, topic.path)
     for batch_id in (0, 0, 1):
@@ -278,7 +350,7 @@ def paid_requests(spark, topic):
 def test_pairs_are_published_together(spark, topic, tmp_path):
     root = str(tmp_path / "root")
     batch = paid_requests(spark, topic)  # amounts 0, 50, ..., 1450
-    write = jobs.publish_pairs(root, atomic=True)
+    write = jobs.publish_pairs(root, atomic=True, writer="pairs")
     write(batch, 0)
     write(batch, 0)
     paid, placed = jobs.read_published(spark, root)
@@ -286,34 +358,74 @@ def test_pairs_are_published_together(spark, topic, tmp_path):
     assert values(paid, "order_id") == values(placed, "order_id")
     # the attempts are there, but not committed
     assert spark.read.parquet(f"{root}/payments").count() == 30
+    # a batch that broke off before its end does not count
+    other = batch.withColumn("order_id", F.concat(F.lit("x"), "order_id"))
+    jobs.publish_pairs(root, atomic=True, writer="pairs")(other, 1)
+    shutil.rmtree(f"{root}/finished/writer=000000-pairs/batch_id=1")
+    paid, placed = jobs.read_published(spark, root)
+    assert paid.count() == placed.count() == 21
 
 
 def test_without_transaction_payments_stay_alone(spark, topic, tmp_path):
     root = str(tmp_path / "root")
-    jobs.publish_pairs(root, atomic=False)(paid_requests(spark, topic), 0)
+    jobs.publish_pairs(root, atomic=False, writer="pairs")(paid_requests(spark, topic), 0)
     paid, placed = jobs.read_published(spark, root)
     assert (paid.count(), placed.count()) == (30, 21)
     assert consistency.inconsistencies(paid, placed).count() == 9
 
 
+def read_bytes(query):
+    return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+
 def test_each_order_is_notified_once(spark, topic, tmp_path):
-    history = str(tmp_path / "history")
-    write = jobs.notify_new(history)
+    """Over restarts, and without reading what was written before."""
+    history, progress = str(tmp_path / "history"), str(tmp_path / "p")
+
+    def run():
+        stream = orders_of(records.read_files(spark, topic.path, streaming=True))
+        with jobs.state_on_disk(spark):
+            running = jobs.run_to_files(jobs.new_notifications(stream), history, progress)
+        return finish(running)
+
     topic([("o1", "c1", 0), ("o2", "c1", 1), ("o1", "c1", 2)])
-    first = batch_orders(spark, topic.path)
-    write(first, 0)
-    write(first, 0)
-    second = spark.createDataFrame(
-        [("o2", "c1", 0, 50), ("o3", "c1", 0, 51)],
-        "order_id string, customer_id string, partition int, offset bigint",
-    )
-    write(second, 1)
-    write(second, 1)
-    assert values(spark.read.parquet(history), "order_id", "batch_id") == [
-        ("o1", 0),
-        ("o2", 0),
-        ("o3", 1),
-    ]
+    run()
+    topic([("o2", "c1", 3), ("o3", "c1", 4)])
+    assert read_bytes(run()) == [2]
+    stored = spark.read.parquet(history)
+    assert values(stored, "order_id") == [("o1",), ("o2",), ("o3",)]
+    assert stored.filter("id IS NULL").count() == 0 and stored.select("id").distinct().count() == 3
+
+
+def test_payments_and_saga_events_stream_as_in_batch(spark, topic, tmp_path):
+    topic(rows(12))
+    topic([("o3", "c3", 3), ("o20", "c0", 4)])
+
+    def orders(stream):
+        return orders_of(records.read_files(spark, topic.path, streaming=stream))
+
+    def paid(df):
+        sent = payments.publish(payments.with_ids(df.withColumnRenamed("total_amount", "amount")), atomic=False)
+        return sent.withColumns({"status": F.lit("PROCESSED"), "processed_at": F.col("order_date")})
+
+    with jobs.state_on_disk(spark):
+        one = jobs.run_to_files(
+            jobs.new_payments(paid(orders(True)), F.lit(AT)), str(tmp_path / "paid"), str(tmp_path / "p1")
+        )
+        two = jobs.run_to_files(
+            jobs.saga_events(orders(True), 700, 300), str(tmp_path / "events"), str(tmp_path / "p2")
+        )
+    finish(one), finish(two)
+    first = orders(False).dropDuplicates(["order_id"])
+    wanted = delivery.payment_rows(paid(first), now=F.lit(AT))
+    stored = spark.read.parquet(str(tmp_path / "paid"))
+    columns = ["payment_id", "order_id", "amount", "status", "created_at"]
+    assert values(stored, *columns) == values(wanted, *columns) and stored.count() == 13
+    log = spark.read.parquet(str(tmp_path / "events"))
+    batch = saga.event_log(saga.run_saga(first, 700, 300))
+    kind = ["key", "seq", "topic", "metadata.event_type"]
+    assert values(log, *kind) == values(batch, *kind)
+    assert values(saga.saga_trace(log), "*") == values(saga.saga_trace(batch), "*")
 
 
 def test_orders_can_be_read_from_files_both_ways(spark, topic, tmp_path):
@@ -321,12 +433,27 @@ def test_orders_can_be_read_from_files_both_ways(spark, topic, tmp_path):
     stream = records.read_orders(spark, topic.path, partitions=[0, 2])
     assert stream.isStreaming
     out = str(tmp_path / "out")
-    query = finish(jobs.run_to_files(stream, out, str(tmp_path / "p")))
+    finish(jobs.run_to_files(stream, out, str(tmp_path / "p")))
     batch = records.read_orders(spark, topic.path, streaming=False, partitions=[0, 2])
     assert values(spark.read.parquet(out), "order_id") == values(batch, "order_id")
     assert batch.count() == 6
-    done = jobs.acknowledged(query)
-    assert done[0]["batch"] == 0 and sum(b["rows"] for b in done) >= 6
+
+
+def test_every_commit_is_handed_on(spark, topic, tmp_path):
+    for i in range(4):
+        topic(rows(3, start=3 * i))
+    done = []
+    listener = jobs.on_acknowledged(spark, done.append)
+    try:
+        stream = orders_of(records.read_files(spark, topic.path, streaming=True, max_files_per_trigger=1))
+        finish(jobs.run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "p")))
+        until = time.time() + 30
+        while sum(b["rows"] for b in done) < 12 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [b["batch"] for b in done if b["rows"]] == [0, 1, 2, 3]
+    assert all(b["ends"] for b in done)
 
 
 def test_stream_lookups_against_a_table(spark, topic, tmp_path):

@@ -7,6 +7,14 @@ TOPIC_INVENTORY = "inventory"
 TOPIC_HIGH_VALUE = "high-value-orders"
 TOPIC_PROCESSED = "processed-orders"
 
+TOPICS = (
+    TOPIC_ORDERS,
+    TOPIC_PAYMENTS,
+    TOPIC_INVENTORY,
+    TOPIC_HIGH_VALUE,
+    TOPIC_PROCESSED,
+)
+
 # --- fixed values: statuses -------------------------------------------------------------
 HIGH_VALUE = "HIGH_VALUE"
 REGULAR = "REGULAR"
@@ -105,6 +113,9 @@ CONSUMER_METHODS = {
         "Order confirmation email sent (idempotent)",
     ),
 }
+PAYMENT_CONSUMER = "payment-consumer"
+# Who may store a row; the place in this list is part of the row's id, so append only.
+CONSUMERS = (*CONSUMER_METHODS, PAYMENT_CONSUMER)
 # Methods whose audit row leaves the record's partition or offset empty.
 METHODS_WITHOUT_PARTITION = ("all-headers", "idempotent")
 METHODS_WITHOUT_OFFSET = ("all-headers", "concurrent")

@@ -130,8 +130,10 @@ def batch_ids(
     """The ids of each consumed batch as one text, in offset order.
 
     A batch is ``batch_rows`` consecutive offsets of one partition. Positions are unique
-    within a partition, so no group can hold more than ``batch_rows`` ids.
+    within a partition, so no group can hold more than ``batch_rows`` ids. Records without
+    a position belong to no batch: :func:`batch_rejects`.
     """
+    df = df.filter(F.col(partition).isNotNull() & F.col(offset).isNotNull())
     entry = F.struct(F.col(offset).alias("at"), F.col(id_col).alias("id"))
     ids = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["id"])
     return (
@@ -140,6 +142,11 @@ def batch_ids(
     )
 
 
+def batch_rejects(df: DataFrame, partition: str = "partition", offset: str = "offset") -> DataFrame:
+    """The records :func:`batch_ids` leaves out."""
+    return df.filter(F.col(partition).isNull() | F.col(offset).isNull())
+
+
 def as_map(df: DataFrame, key: str, value: str, pages: int) -> DataFrame:
     """A keyed table in map shape, spread over ``pages`` rows by the hash of the key.
 

@@ -72,23 +72,25 @@ def inconsistencies(payments: DataFrame, orders: DataFrame) -> DataFrame:
     return _detail(anti_join(payments, orders, "order_id"))
 
 
-def inconsistency_summary(
-    payments: DataFrame, orders: DataFrame, top_n: int | None = None
-) -> DataFrame:
-    """Their number and a message. With ``top_n`` also the first details as an array;
-    the whole list is :func:`inconsistencies`."""
-    found = inconsistencies(payments, orders)
-    summary = found.agg(F.count(F.lit(1)).alias("total")).select(
+def _summary(found: DataFrame) -> DataFrame:
+    return found.agg(F.count(F.lit(1)).alias("total")).select(
         "total",
         F.when(F.col("total") == 0, fixed.NO_INCONSISTENCIES)
         .otherwise(F.format_string(fixed.FOUND_INCONSISTENCIES, F.col("total").cast("string")))
         .alias("message"),
     )
-    if top_n is None:
-        return summary
-    shown = found.orderBy("order_id", "payment_id").limit(top_n)
-    details = shown.agg(F.array_sort(F.collect_list(F.struct(*found.columns))).alias("details"))
-    return summary.withColumn("details", details.scalar())
+
+
+def inconsistency_summary(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Their number and a message; the details are :func:`inconsistencies`."""
+    return _summary(inconsistencies(payments, orders))
+
+
+def inconsistency_report(payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every detail as a row, with the number of all and the message beside it; one row
+    without a detail if there is none. The summary is one row, so it goes to every task."""
+    found = inconsistencies(payments, orders)
+    return F.broadcast(_summary(found)).join(found, F.col("total") > 0, "left")
 
 
 def stream_inconsistencies(

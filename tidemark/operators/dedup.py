@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 RECORD_ORDER = ("partition", "offset")
 
 
+def without_key(df: DataFrame, key: str) -> DataFrame:
+    """Records without a key. They are neither first nor known; every function here leaves
+    them out, so that they can be counted and looked at."""
+    return df.filter(F.col(key).isNull())
+
+
 def first_per_key(
     df: DataFrame, key: str, order_by: tuple[str, ...] = RECORD_ORDER
 ) -> DataFrame:
-    """Keep the earliest record of every key, in (partition, offset) order.
+    """Keep the earliest record of every key, in (partition, offset) order; records without
+    a position come last, records without a key are in :func:`without_key`.
 
     Spark cuts every key to one row per map task before the shuffle (window group
     limit), so replays of one key do not pile up in one task.
     """
-    first = Window.partitionBy(key).orderBy(*order_by)
-    return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    order = [F.col(c).asc_nulls_last() for c in order_by]
+    first = Window.partitionBy(key).orderBy(*order)
+    return df.filter(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
 def new_only(
@@ -35,10 +43,36 @@ def new_only(
     return first_per_key(batch, key, order_by).join(known, key, "left_anti")
 
 
-def dedup_stream(stream: DataFrame, key: str, time_col: str, within: str) -> DataFrame:
-    """First record per key of a stream, remembering a key for ``within``.
+def dedup_stream(
+    stream: DataFrame, key: str, time_col: str | None = None, within: str | None = None
+) -> DataFrame:
+    """One record per key of a stream, the first that arrives. Keys are never forgotten; the
+    state (keep it on disk) grows with their number.
+
+    With ``within`` a key is forgotten that long after its event time, and a later replay
+    passes again. Spark sends all records of a key to one task here; :func:`first_of_stream`
+    folds them before.
+    """
+    keyed = stream.filter(F.col(key).isNotNull())
+    if within is None:
+        return keyed.dropDuplicates([key])
+    return keyed.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+
+
+def first_of_stream(
+    stream: DataFrame, key: str, order_by: tuple[str, ...] = RECORD_ORDER
+) -> DataFrame:
+    """:func:`first_per_key` kept up to date over a stream: the earliest record by position,
+    in whatever order the records arrive.
 
-    Spark sends all records of a key to one task here. Where a key may hold a large part
-    of a batch, apply :func:`new_only` per batch instead, which cuts them first.
+    The earliest record is an aggregate, so all records of a key in a batch are one row
+    before the shuffle, and the state is one record per key.
     """
-    return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+    others = [c for c in stream.columns if c not in (key, *order_by)]
+    # a struct compares field by field and a null is the smallest, so places without a value go last
+    order = [f for c in order_by for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    earliest = F.min(F.struct(*order, F.struct(*others).alias("_rest"))).alias("_first")
+    keyed = stream.filter(F.col(key).isNotNull()).groupBy(key).agg(earliest)
+    return keyed.select(
+        key, *[F.col(f"_first.{c}") for c in order_by], *[F.col(f"_first._rest.{c}") for c in others]
+    ).select(*stream.columns)

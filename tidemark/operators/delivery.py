@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import headers as hdr
 from tidemark.functions.columns import notification_text, or_default
+from tidemark.sinks.writers import row_id
 
 CHANNELS = ("EMAIL", "SMS", "PUSH")
 
@@ -29,9 +30,11 @@ def notification_rows(
     method: str | Column = fixed.IDEMPOTENT_ORDER_CONSUMER,
     status: str | Column = fixed.SENT,
     notification_type: str = fixed.EMAIL,
+    topic: str | Column = fixed.TOPIC_ORDERS,
 ) -> DataFrame:
     """Audit rows of consumed orders: who consumed the record, from where, with what
-    result. ``method`` names the consumer method and decides group and message."""
+    result. ``method`` names the consumer method and decides group and message. The ``id``
+    comes from the position of the record itself, also where the row leaves it empty."""
     method = F.lit(method) if isinstance(method, str) else method
     status = F.lit(status) if isinstance(status, str) else status
     groups = {m: group for m, (group, _) in fixed.CONSUMER_METHODS.items()}
@@ -42,6 +45,7 @@ def notification_rows(
     no_partition = method.isin(*fixed.METHODS_WITHOUT_PARTITION)
     no_offset = method.isin(*fixed.METHODS_WITHOUT_OFFSET)
     return df.select(
+        row_id(topic, method).alias("id"),
         "order_id",
         "customer_id",
         F.lit(notification_type).alias("notification_type"),
@@ -54,9 +58,13 @@ def notification_rows(
     )
 
 
-def payment_rows(df: DataFrame, group: str = fixed.PAYMENT_CONSUMER_GROUP) -> DataFrame:
+def payment_rows(
+    df: DataFrame, group: str = fixed.PAYMENT_CONSUMER_GROUP, now: Column | None = None
+) -> DataFrame:
     """Payment table rows with the consumer's record position."""
+    created = F.current_timestamp() if now is None else now
     return df.select(
+        row_id(fixed.TOPIC_PAYMENTS, fixed.PAYMENT_CONSUMER).alias("id"),
         "payment_id",
         "order_id",
         "customer_id",
@@ -67,6 +75,7 @@ def payment_rows(df: DataFrame, group: str = fixed.PAYMENT_CONSUMER_GROUP) -> Da
         F.col("partition").alias("kafka_partition"),
         F.col("offset").alias("kafka_offset"),
         F.lit(group).alias("consumer_group"),
+        created.alias("created_at"),
     )
 
 
@@ -91,24 +100,29 @@ def _delay_before(attempt: Column, delay_ms: int, multiplier: float) -> Column:
 
 
 def retry_schedule(
-    df: DataFrame,
-    needed: Column,
+    attempts_made: DataFrame,
     attempts: int = fixed.RETRY_ATTEMPTS,
     delay_ms: int = fixed.RETRY_DELAY_MS,
     multiplier: float = fixed.RETRY_MULTIPLIER,
 ) -> DataFrame:
-    """Every attempt made for a record that would succeed at attempt ``needed``.
-
-    ``attempts`` counts all tries, so a record yields at most that many rows.
-    """
-    made = F.least(needed, F.lit(attempts))
-    tries = df.withColumn("attempt", F.explode(F.sequence(F.lit(1), made)))
-    return tries.withColumn("delay_ms", _delay_before(F.col("attempt"), delay_ms, multiplier))
+    """Recorded attempts (``attempt`` counts from 1) with the wait before each, and whether
+    it was the ``last_attempt``. An attempt that the schedule does not have gets no wait."""
+    known = F.col("attempt").between(1, attempts)
+    return attempts_made.withColumns(
+        {
+            "delay_ms": F.when(known, _delay_before(F.col("attempt"), delay_ms, multiplier)),
+            "last_attempt": F.coalesce(F.col("attempt") >= attempts, F.lit(False)),
+        }
+    )
 
 
-def dead_letters(df: DataFrame, needed: Column, attempts: int = fixed.RETRY_ATTEMPTS) -> DataFrame:
-    """Records that still fail after the last attempt."""
-    return df.filter(needed > attempts)
+def _again(attempts: int, include: tuple[str, ...] | None, failure: str) -> Column:
+    """Whether a failed record is tried again: below the last attempt, and of a named class
+    where classes are named. A failure without a class, or without an attempt number, is not."""
+    again = F.coalesce(F.col("attempt") < attempts, F.lit(False))
+    if include is None:
+        return again
+    return again & F.coalesce(F.col(failure).isin(*include), F.lit(False))
 
 
 def route_failures(
@@ -118,14 +132,17 @@ def route_failures(
     attempts: int = fixed.RETRY_ATTEMPTS,
     delay_ms: int = fixed.RETRY_DELAY_MS,
     multiplier: float = fixed.RETRY_MULTIPLIER,
+    include: tuple[str, ...] | None = None,
+    failure: str = "failure_class",
 ) -> DataFrame:
     """Where the failed records of one pass go next; ``attempt`` counts the tries so far.
 
-    The retry topics are numbered from 0, the dead letters have one topic.
+    The retry topics are numbered from 0, the dead letters have one topic. With ``include``
+    only failures of these classes are tried again; all others are dead letters at once.
     """
-    again = F.col("attempt") < attempts
-    retry = F.format_string(f"{topic}-retry-%s", (F.col("attempt") - 1).cast("string"))
-    following = F.col("attempt") + 1
+    again = _again(attempts, include, failure)
+    retry = F.format_string(f"{topic}-retry-%s", (F.greatest("attempt", F.lit(1)) - 1).cast("string"))
+    following = F.greatest("attempt", F.lit(1)) + 1
     return df.filter(is_failure).withColumns(
         {
             "topic": F.when(again, retry).otherwise(f"{topic}-dlt"),
@@ -133,3 +150,14 @@ def route_failures(
             "next_delay_ms": F.when(again, _delay_before(following, delay_ms, multiplier)),
         }
     )
+
+
+def dead_letters(
+    df: DataFrame,
+    is_failure: Column,
+    attempts: int = fixed.RETRY_ATTEMPTS,
+    include: tuple[str, ...] | None = None,
+    failure: str = "failure_class",
+) -> DataFrame:
+    """The failed records of recorded attempts that are not tried again."""
+    return df.filter(is_failure & ~_again(attempts, include, failure))

@@ -31,8 +31,13 @@ def with_stream_time(
     ``position`` is the whole-number place of a record in its partition, ``ties`` decide
     between records at one place. A task sorts one block of about ``block_rows`` records,
     however large the partition is.
+
+    A record without a partition or place was never in line: its own time is its stream
+    time, so it moves no other record and is itself never late.
     """
-    rows = df.withColumn("_block", F.expr(f"`{position}` div {int(block_rows)}"))
+    in_line = F.col(partition).isNotNull() & F.col(position).isNotNull()
+    apart = df.filter(~in_line).withColumn("stream_time", F.col(time_col))
+    rows = df.filter(in_line).withColumn("_block", F.expr(f"`{position}` div {int(block_rows)}"))
     newest = rows.groupBy(partition, "_block").agg(F.max(time_col).alias("_newest"))
     starts = block_starts(newest, [partition], "_block", F.max("_newest"), "_before")
     running = F.max(time_col).over(inside_block([partition], "_block", [position, *ties]))
@@ -43,6 +48,7 @@ def with_stream_time(
         # greatest() skips the null of a first block
         .withColumn("stream_time", F.greatest(running, F.col("_before")))
         .select(*df.columns, "stream_time")
+        .unionByName(apart)
     )
 
 
@@ -56,7 +62,8 @@ def judge_lateness(
     """Add ``stream_time`` and ``is_late``."""
     closes = F.window(F.col(time_col), size)["end"] + F.expr(f"INTERVAL {grace}")
     timed = with_stream_time(df, time_col, **position)
-    return timed.withColumn("is_late", closes <= F.col("stream_time"))
+    late = F.coalesce(closes <= F.col("stream_time"), F.lit(False))
+    return timed.withColumn("is_late", late)
 
 
 def late_events(df: DataFrame, *args, **kwargs) -> DataFrame:

@@ -56,7 +56,8 @@ def with_ids(requests: DataFrame) -> DataFrame:
     )
 
 
-def payment_events(published: DataFrame, sent: str = "payment_sent") -> DataFrame:
+def payment_events(published: DataFrame, sent: str = "payment_sent", *extra: str) -> DataFrame:
+    """The payments for which ``sent`` holds, with ``extra`` columns of the publication."""
     return published.filter(F.col(sent)).select(
         "payment_id",
         "order_id",
@@ -65,6 +66,7 @@ def payment_events(published: DataFrame, sent: str = "payment_sent") -> DataFram
         F.lit(fixed.PROCESSED).alias("status"),
         F.col("order_date").alias("processed_at"),
         "transaction_id",
+        *extra,
     )
 
 

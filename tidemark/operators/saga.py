@@ -19,6 +19,8 @@ from tidemark.sources.records import parsed_once
 OUTCOME_CONFIRMED = "CONFIRMED"
 OUTCOME_REFUNDED = "INVENTORY_UNAVAILABLE"
 OUTCOME_FAILED = "PAYMENT_FAILED"
+#: How a trace names events that are no step.
+OTHER_STEP = "other"
 
 
 def _payment_status(amount: Column, limit) -> Column:
@@ -332,16 +334,40 @@ def dispatch_all(records: DataFrame) -> DataFrame:
 
 
 def saga_trace(log: DataFrame) -> DataFrame:
-    """Course of each transaction: number of events, and the steps it took in order.
+    """Course of each transaction: number of events, and the steps in the order of the log.
 
-    The steps are a fixed list, so a flag per step is all that is kept of a transaction:
-    the rows fold map-side, also when one transaction id holds a large part of the log.
+    A step stands where it first came; one that came more than once shows how often
+    (``PaymentProcessed*2``). Events of other types stand together as ``other`` where the
+    first of them came; steps without a place in the log come last.
+
+    A place and a count per step is all that is kept of a transaction: the rows fold
+    map-side, also when one transaction id holds a large part of the log.
     """
     kind = F.col("metadata.event_type")
-    took = [F.max(F.when(kind == step, step)) for step in fixed.SAGA_STEPS]
-    return log.groupBy(F.col("metadata.transaction_id").alias("transaction_id")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.concat_ws(">", *took).alias("path")
+    other = F.coalesce(~kind.isin(*fixed.SAGA_STEPS), F.lit(True))
+    steps = [(step, kind == step) for step in fixed.SAGA_STEPS] + [(OTHER_STEP, other)]
+    folded = log.groupBy(F.col("metadata.transaction_id").alias("transaction_id")).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        *[F.min(F.when(here, F.col("seq"))).alias(f"_at{i}") for i, (_, here) in enumerate(steps)],
+        *[F.count_if(here).alias(f"_n{i}") for i, (_, here) in enumerate(steps)],
+    )
+    shown = F.array(
+        *[
+            F.struct(
+                F.col(f"_at{i}").isNull().alias("last"),
+                F.col(f"_at{i}").alias("at"),
+                F.lit(i).alias("step"),
+                F.col(f"_n{i}").alias("n"),
+                F.when(F.col(f"_n{i}") > 1, F.concat(F.lit(f"{step}*"), F.col(f"_n{i}").cast("string")))
+                .otherwise(step)
+                .alias("text"),
+            )
+            for i, (step, _) in enumerate(steps)
+        ]
     )
+    taken = F.array_sort(F.filter(shown, lambda s: s["n"] > 0))
+    path = F.array_join(F.transform(taken, lambda s: s["text"]), ">")
+    return folded.select("transaction_id", "n_events", path.alias("path"))
 
 
 # --- the steps as separate jobs ----------------------------------------------------------

@@ -93,12 +93,17 @@ def orders_decode_rejected(spark, d):
     )
 
 
+def _json_fields(columns: list[str], value: str = "value") -> list:
+    """What a reader finds in the JSON under the names of the fields: text, and money."""
+    found = {c: F.get_json_object(value, f"$.{schemas.camel(c)}") for c in columns}
+    money = [c for c in columns if c.endswith("amount")]
+    return [(f.cast(schemas.MONEY) if c in money else f).alias(c) for c, f in found.items()]
+
+
 @query
 def orders_encode(spark, d):
-    amount = F.get_json_object("value", "$.totalAmount").cast("decimal(18,2)")
-    customer = F.get_json_object("value", "$.customerId")
     return a.order_records(spark, d).select(
-        "key", "topic", "partition", customer.alias("customer_id"), amount.alias("amount")
+        "key", "topic", "partition", *_json_fields(a.ORDER_COLUMNS)
     )
 
 
@@ -108,9 +113,7 @@ def payments_encode(spark, d):
         payments.publish(a.payment_requests(spark, d), atomic=True, limit=a.PAYMENT_LIMIT)
     )
     out = writers.to_records(events, fixed.TOPIC_PAYMENTS, key="payment_id")
-    order_id = F.get_json_object("value", "$.orderId")
-    amount = F.get_json_object("value", "$.amount").cast("decimal(18,2)")
-    return out.select("key", "topic", order_id.alias("order_id"), amount.alias("amount"))
+    return out.select("key", "topic", *_json_fields([f.name for f in schemas.PAYMENT_PROCESSED]))
 
 
 @query
@@ -123,8 +126,7 @@ def orders_from_partition(spark, d):
 @query
 def orders_to_partition(spark, d):
     orders = a.order_events(spark, d)
-    chosen = writers.to_partition(orders, F.col("k") % 4)
-    return chosen.groupBy("partition").agg(F.count(F.lit(1)).alias("n_rows"))
+    return writers.to_partition(orders, F.col("k") % 4).select("order_id", *POSITION)
 
 
 @query
@@ -202,10 +204,7 @@ def orders_regular(spark, d):
 
 @query
 def orders_routed(spark, d):
-    routed = writers.route(enrich.valid_orders(_enriched(spark, d)))
-    return routed.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").alias("amount")
-    )
+    return writers.route(enrich.valid_orders(_enriched(spark, d))).select("topic", *ENRICHED)
 
 
 @query
@@ -230,13 +229,8 @@ def _notifications(spark, d):
         a.with_replays(a.with_order_headers(a.order_events(spark, d)), "event_id"), "order_id"
     )
     kind = F.col("event_type")
-    method = (
-        F.when(kind == "click", "auto-commit")
-        .when(kind == "error", "manual-commit")
-        .when(kind == "purchase", "batch")
-        .when(kind == "signup", "with-headers")
-        .otherwise(fixed.IDEMPOTENT_ORDER_CONSUMER)
-    )
+    methods = F.array(*map(F.lit, fixed.CONSUMER_METHODS))
+    method = F.element_at(methods, (F.col("event_id") % len(fixed.CONSUMER_METHODS) + 1).cast("int"))
     status = (
         F.when(kind == "error", fixed.FAILED)
         .when(kind == "signup", fixed.PENDING)
@@ -247,7 +241,7 @@ def _notifications(spark, d):
 
 @query
 def notifications(spark, d):
-    return writers.table_rows(_notifications(spark, d)).drop("created_at")
+    return _notifications(spark, d)
 
 
 @query
@@ -256,7 +250,7 @@ def payments_table(spark, d):
     events = sent.withColumns(
         {"status": F.lit(fixed.PROCESSED), "processed_at": F.col("order_date")}
     )
-    return delivery.payment_rows(events.filter("payment_sent"))
+    return delivery.payment_rows(events.filter("payment_sent"), now=F.col("order_date"))
 
 
 @query
@@ -478,6 +472,13 @@ def inconsistencies(spark, d):
     return consistency.inconsistencies(paid, orders)
 
 
+@query
+def inconsistency_report(spark, d):
+    """Every detail beside the number and the message of all of them."""
+    orders, paid = _two_sides(spark, d)
+    return consistency.inconsistency_report(paid, orders)
+
+
 @query
 def inconsistency_summary(spark, d):
     orders, paid = _two_sides(spark, d)
@@ -487,29 +488,37 @@ def inconsistency_summary(spark, d):
 # --- delivery ---------------------------------------------------------------------------
 
 
-def _attempts_needed():
-    """Errors succeed at some later attempt, everything else at the first."""
-    return F.when(F.col("event_type") == "error", F.col("k") % 5 + 1).otherwise(F.lit(1))
+#: Classes of failures that are tried again; the events tell which class a failure has.
+RETRIED = ("error", "view")
+
+
+def _attempts(spark, d):
+    """The events as recorded attempts: their number, whether they failed, and of what class."""
+    return a.order_events(spark, d).withColumns(
+        {
+            "attempt": (F.col("k") % 4 + 1).cast("int"),
+            "failed": F.col("event_type") != "purchase",
+            "failure_class": F.col("event_type"),
+        }
+    )
 
 
 @query
 def retry_schedule(spark, d):
-    tries = delivery.retry_schedule(a.order_events(spark, d), _attempts_needed())
-    return tries.select("order_id", "attempt", "delay_ms")
+    tries = delivery.retry_schedule(_attempts(spark, d))
+    return tries.select("order_id", "attempt", "delay_ms", "last_attempt")
 
 
 @query
 def dead_letters(spark, d):
-    return delivery.dead_letters(a.order_events(spark, d), _attempts_needed()).select(
-        *a.ORDER_COLUMNS
-    )
+    dead = delivery.dead_letters(_attempts(spark, d), F.col("failed"), include=RETRIED)
+    return dead.select(*a.ORDER_COLUMNS, "attempt", "failure_class")
 
 
 @query
 def failure_routes(spark, d):
-    failed = a.order_events(spark, d).withColumn("attempt", F.col("k") % 3 + 1)
-    routed = delivery.route_failures(failed, F.col("event_type") == "error")
-    return routed.select("order_id", "attempt", "topic", "next_attempt", "next_delay_ms")
+    routed = delivery.route_failures(_attempts(spark, d), F.col("failed"), include=RETRIED)
+    return routed.select("order_id", "attempt", "failure_class", "topic", "next_attempt", "next_delay_ms")
 
 
 # --- saga -------------------------------------------------------------------------------
@@ -599,9 +608,27 @@ def saga_event_dispatch(spark, d):
     )
 
 
+def _disturbed(log):
+    """The log with swapped places, repeats, and events of another type."""
+    number = F.col("key").cast("bigint")
+    swapped = (
+        F.when((number % 5 == 0) & (F.col("seq") == 2), 3)
+        .when((number % 5 == 0) & (F.col("seq") == 3), 2)
+        .otherwise(F.col("seq"))
+    )
+    log = log.withColumn("seq", swapped)
+    paid = F.col("metadata.event_type") == fixed.PAYMENT_PROCESSED
+    again = log.filter(paid & (number % 7 == 0)).withColumn("seq", F.lit(6))
+    shipped = F.col("metadata").withField("event_type", F.lit("OrderShipped"))
+    foreign = log.filter(paid & (number % 11 == 0)).withColumns(
+        {"seq": F.when(number % 2 == 0, 0).otherwise(7), "metadata": shipped}
+    )
+    return log.unionByName(again).unionByName(foreign)
+
+
 @query
 def saga_trace(spark, d):
-    return saga.saga_trace(saga.event_log(_saga(spark, d)))
+    return saga.saga_trace(_disturbed(saga.event_log(_saga(spark, d))))
 
 
 @query

@@ -31,28 +31,28 @@ _CTES = {
     "headers": """
         SELECT *, CAST(epoch_ms(date_trunc('second', order_date)) AS VARCHAR) AS sent,
                event_id % 5 AS sender FROM oe""",
+    "methods": """
+        SELECT * FROM (VALUES
+          (0, 'idempotent-order-consumer', 'payment-service-order-group', ''),
+          (1, 'auto-commit', 'notification-service-group', ''),
+          (2, 'manual-commit', 'notification-service-manual-group', ' (manual commit)'),
+          (3, 'batch', 'notification-service-batch-group', ' (batch)'),
+          (4, 'specific-partition', 'notification-service-specific-partition-group', ' (specific partition)'),
+          (5, 'with-headers', 'notification-service-headers-group', ' (with headers - correlation-id: '),
+          (6, 'all-headers', 'notification-service-all-headers-group', ' (all headers)'),
+          (7, 'concurrent', 'notification-service-concurrent-group', ' (concurrent)'),
+          (8, 'idempotent', 'notification-service-idempotent-group', ' (idempotent)'))
+        AS m(number, consumer_method, consumer_group, suffix)""",
     "notified": """
-        SELECT order_id, customer_id, 'EMAIL' AS notification_type,
+        SELECT (CAST(number AS BIGINT) * 8 * 16384 + "partition") * 4398046511104 + "offset" AS id,
+               order_id, customer_id, 'EMAIL' AS notification_type,
                CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'PENDING' ELSE 'SENT' END AS status,
-               CASE event_type
-                 WHEN 'click' THEN 'Order confirmation email sent'
-                 WHEN 'error' THEN 'Order confirmation email sent (manual commit)'
-                 WHEN 'purchase' THEN 'Order confirmation email sent (batch)'
-                 WHEN 'signup' THEN 'Order confirmation email sent (with headers - correlation-id: '
-                      || CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE order_id END || ')'
-                 ELSE 'Order confirmation email sent' END AS message,
-               "partition" AS kafka_partition, "offset" AS msg_offset,
-               CASE event_type
-                 WHEN 'click' THEN 'notification-service-group'
-                 WHEN 'error' THEN 'notification-service-manual-group'
-                 WHEN 'purchase' THEN 'notification-service-batch-group'
-                 WHEN 'signup' THEN 'notification-service-headers-group'
-                 ELSE 'payment-service-order-group' END AS consumer_group,
-               CASE event_type
-                 WHEN 'click' THEN 'auto-commit' WHEN 'error' THEN 'manual-commit'
-                 WHEN 'purchase' THEN 'batch' WHEN 'signup' THEN 'with-headers'
-                 ELSE 'idempotent-order-consumer' END AS consumer_method
-        FROM oe_first""",
+               'Order confirmation email sent' || suffix || CASE WHEN number = 5
+                 THEN CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE order_id END || ')' ELSE '' END AS message,
+               CASE WHEN number NOT IN (6, 8) THEN "partition" END AS kafka_partition,
+               CASE WHEN number NOT IN (6, 7) THEN "offset" END AS msg_offset,
+               consumer_group, consumer_method
+        FROM oe_first JOIN methods ON number = event_id % 9""",
     "windowed": """
         SELECT customer_id, date_trunc('minute', order_date) AS window_start,
                date_trunc('minute', order_date) + INTERVAL 1 MINUTE AS window_end,
@@ -103,6 +103,15 @@ _CTES = {
         UNION ALL
         SELECT 'orders', order_id, 5, 'OrderCancelled', '1.0', 'order-service', transaction_id, order_date
         FROM saga WHERE outcome = 'INVENTORY_UNAVAILABLE'""",
+    "disturbed": """
+        SELECT transaction_id, event_type, CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 AND seq = 2 THEN 3
+            WHEN CAST(order_id AS BIGINT) % 5 = 0 AND seq = 3 THEN 2 ELSE seq END AS seq FROM log
+        UNION ALL SELECT transaction_id, event_type, 6 FROM log WHERE seq = 2 AND CAST(order_id AS BIGINT) % 7 = 0
+        UNION ALL SELECT transaction_id, 'other', CASE WHEN CAST(order_id AS BIGINT) % 2 = 0 THEN 0 ELSE 7 END
+        FROM log WHERE seq = 2 AND CAST(order_id AS BIGINT) % 11 = 0""",
+    "attempts": """
+        SELECT *, CAST(k % 4 + 1 AS INTEGER) AS attempt, event_type AS failure_class,
+               k % 4 < 2 AND event_type IN ('error', 'view') AS again FROM oe""",
 }
 _NEEDS = {
     "oe_replayed": ["oe"],
@@ -110,7 +119,9 @@ _NEEDS = {
     "enriched": ["oe"],
     "valid": ["enriched"],
     "headers": ["oe"],
-    "notified": ["oe_first"],
+    "notified": ["oe_first", "methods"],
+    "disturbed": ["log"],
+    "attempts": ["oe"],
     "windowed": ["oe"],
     "judged": ["oe"],
     "totals": ["oe"],
@@ -141,6 +152,8 @@ def _with(names: list[str], body: str) -> str:
 _ORDER = "order_id, customer_id, product_id, quantity, total_amount, order_date"
 _ENRICHED = _ORDER + ", order_category, processing_status"
 _SPOT = '"partition", "offset"'
+# How JSON shows a time: UTC, microseconds.
+_JSON_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
 _CONSISTENCY = """
     SELECT order_id, has_order AND has_payment AS is_consistent, has_order, has_payment,
            CASE WHEN has_order AND has_payment THEN 'Order and payment both exist - consistent state'
@@ -157,16 +170,20 @@ _BODIES: dict[str, tuple[list[str], str]] = {
     ),
     "orders_encode": (
         ["oe"],
-        "SELECT order_id AS key, 'orders' AS topic, \"partition\", customer_id, total_amount AS amount FROM oe",
+        """SELECT order_id AS key, 'orders' AS topic, "partition", order_id, customer_id, product_id,
+                  CAST(quantity AS VARCHAR) AS quantity, total_amount,
+                  {time} AS order_date FROM oe""".replace("{time}", _JSON_TIME.format("order_date")),
     ),
     "payments_encode": (
         ["pr"],
-        "SELECT payment_id AS key, 'payments' AS topic, order_id, amount FROM pr WHERE amount <= 400000",
+        """SELECT payment_id AS key, 'payments' AS topic, payment_id, order_id, customer_id,
+                  amount, 'PROCESSED' AS status, {time} AS processed_at, transaction_id
+           FROM pr WHERE amount <= 400000""".replace("{time}", _JSON_TIME.format("order_date")),
     ),
     "orders_from_partition": (["oe"], f'SELECT {_ORDER}, {_SPOT} FROM oe WHERE "partition" = 1'),
     "orders_to_partition": (
         ["oe"],
-        'SELECT CAST(k % 4 AS INTEGER) AS "partition", count(*) AS n_rows FROM oe GROUP BY 1',
+        'SELECT order_id, CAST(k % 4 AS INTEGER) AS "partition", "offset" FROM oe',
     ),
     "order_headers": (
         ["headers"],
@@ -204,23 +221,22 @@ _BODIES: dict[str, tuple[list[str], str]] = {
     "orders_regular": (["valid"], f"SELECT {_ENRICHED} FROM valid WHERE order_category = 'REGULAR'"),
     "orders_routed": (
         ["valid"],
-        """SELECT CASE WHEN order_category = 'HIGH_VALUE' THEN 'high-value-orders' ELSE 'processed-orders' END AS topic,
-                  count(*) AS n_rows, CAST(sum(total_amount) AS DECIMAL(38,2)) AS amount FROM valid GROUP BY 1""",
+        f"""SELECT CASE WHEN order_category = 'HIGH_VALUE' THEN 'high-value-orders' ELSE 'processed-orders' END AS topic,
+                   {_ENRICHED} FROM valid""",
     ),
     "orders_from_requests": (
         ["pr"],
         """SELECT sha256('order|' || order_id) AS order_id, customer_id, product_id, quantity, amount,
                   transaction_id FROM pr""",
     ),
-    "notifications": (
-        ["notified"],
-        """SELECT kafka_partition * 281474976710656 + msg_offset AS id, * FROM notified""",
-    ),
+    "notifications": (["notified"], "SELECT * FROM notified"),
     "payments_table": (
         ["pr"],
-        """SELECT payment_id, order_id, customer_id, amount, 'PROCESSED' AS status, order_date AS processed_at,
+        """SELECT (CAST(9 AS BIGINT) * 8 + 1) * 16384 * 4398046511104 + "partition" * 4398046511104 + "offset" AS id,
+                  payment_id, order_id, customer_id, amount, 'PROCESSED' AS status, order_date AS processed_at,
                   transaction_id, "partition" AS kafka_partition, "offset" AS kafka_offset,
-                  'payment-service-payment-group' AS consumer_group FROM pr WHERE amount >= 0""",
+                  'payment-service-payment-group' AS consumer_group, order_date AS created_at
+           FROM pr WHERE amount >= 0""",
     ),
     "find_by_order": (
         ["notified", "pr"],
@@ -367,24 +383,30 @@ _BODIES: dict[str, tuple[list[str], str]] = {
                   ELSE 'Found ' || CAST(total AS VARCHAR) || ' inconsistency(ies)' END AS message
            FROM (SELECT count(*) AS total FROM paid ANTI JOIN placed USING (order_id))""",
     ),
+    "inconsistency_report": (
+        ["placed"],
+        """SELECT total, 'Found ' || CAST(total AS VARCHAR) || ' inconsistency(ies)' AS message, type, payment_id,
+                  order_id, customer_id, issue FROM (
+             SELECT count(*) OVER () AS total, 'PAYMENT_WITHOUT_ORDER' AS type, payment_id, order_id, customer_id,
+                    'INCONSISTENCY: Payment exists but order does not (non-transactional issue!)' AS issue
+             FROM paid ANTI JOIN placed USING (order_id))""",
+    ),
     "retry_schedule": (
-        ["oe"],
-        """SELECT order_id, CAST(attempt AS INTEGER) AS attempt,
-                  CAST(CASE attempt WHEN 1 THEN 0 ELSE 1000 * pow(2, attempt - 2) END AS BIGINT) AS delay_ms
-           FROM (SELECT order_id, unnest(generate_series(1, least(3,
-                   CASE WHEN event_type = 'error' THEN k % 5 + 1 ELSE 1 END))) AS attempt FROM oe)""",
+        ["attempts"],
+        """SELECT order_id, attempt, CAST(CASE attempt WHEN 1 THEN 0 WHEN 2 THEN 1000 WHEN 3 THEN 2000 END AS BIGINT)
+                  AS delay_ms, attempt >= 3 AS last_attempt FROM attempts""",
     ),
     "dead_letters": (
-        ["oe"],
-        f"SELECT {_ORDER} FROM oe WHERE event_type = 'error' AND k % 5 + 1 > 3",
+        ["attempts"],
+        f"SELECT {_ORDER}, attempt, failure_class FROM attempts WHERE event_type <> 'purchase' AND NOT again",
     ),
     "failure_routes": (
-        ["oe"],
-        """SELECT order_id, CAST(k % 3 + 1 AS INTEGER) AS attempt,
-                  CASE WHEN k % 3 < 2 THEN 'orders-retry-' || CAST(k % 3 AS VARCHAR) ELSE 'orders-dlt' END AS topic,
-                  CAST(CASE WHEN k % 3 < 2 THEN k % 3 + 2 END AS INTEGER) AS next_attempt,
-                  CAST(CASE k % 3 WHEN 0 THEN 1000 WHEN 1 THEN 2000 END AS BIGINT) AS next_delay_ms
-           FROM oe WHERE event_type = 'error'""",
+        ["attempts"],
+        """SELECT order_id, attempt, failure_class,
+                  CASE WHEN again THEN 'orders-retry-' || CAST(attempt - 1 AS VARCHAR) ELSE 'orders-dlt' END AS topic,
+                  CAST(CASE WHEN again THEN attempt + 1 END AS INTEGER) AS next_attempt,
+                  CAST(CASE WHEN again THEN 1000 * attempt END AS BIGINT) AS next_delay_ms
+           FROM attempts WHERE event_type <> 'purchase'""",
     ),
     "saga_orders": (
         ["saga"],
@@ -439,9 +461,11 @@ _BODIES: dict[str, tuple[list[str], str]] = {
            FROM log JOIN saga USING (order_id)""",
     ),
     "saga_trace": (
-        ["log"],
-        """SELECT transaction_id, count(*) AS n_events, string_agg(event_type, '>' ORDER BY seq) AS path
-           FROM log GROUP BY transaction_id""",
+        ["disturbed"],
+        """SELECT transaction_id, CAST(sum(n) AS BIGINT) AS n_events, string_agg(
+                  event_type || CASE WHEN n > 1 THEN '*' || CAST(n AS VARCHAR) ELSE '' END, '>' ORDER BY first_at) AS path
+           FROM (SELECT transaction_id, event_type, count(*) AS n, min(seq) AS first_at FROM disturbed GROUP BY ALL)
+           GROUP BY transaction_id""",
     ),
     "saga_outcomes": (
         ["saga"],
@@ -475,6 +499,6 @@ _STREAMED = {
 }
 for _name, _batch in _STREAMED.items():
     _BODIES[_name] = _BODIES[_batch]
-_BODIES["orders_deduped_streamed"] = (["oe"], f"SELECT {_ORDER} FROM oe")
+_BODIES["orders_deduped_streamed"] = _BODIES["orders_first_per_key"]
 
 ORACLES = {name: _with(ctes, body) for name, (ctes, body) in _BODIES.items()}

@@ -1,7 +1,9 @@
 """Catalog queries that run as streams over the stored tables and read back the result.
 
-Each run takes the whole table, ends when it is consumed, and keeps its files in a folder
-of its own below the shared folder of the session.
+Each run takes the whole table in batches of at most ``BATCH_BYTES`` of files, ends when it
+is consumed, and keeps its files in a folder of its own below the shared folder of the
+session. The result is read from there, so the folder stays; whoever owns the shared folder
+clears it (a local session clears its own when it ends).
 """
 
 from __future__ import annotations
@@ -19,10 +21,18 @@ from tidemark.sources import records
 from tidemark.streaming import jobs
 
 
+#: Bytes of files in one batch of a stream.
+BATCH_BYTES = 16 << 30
+#: How far apart in time neighbouring files of a stored table may be: they come in any
+#: order, and a window may only close when no file can still add to it.
+FILE_DISORDER = "60 days"
+
+
 def _order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = a.table(spark, sf_dir, "events").schema
     # the pattern matches a single file as well as a folder of files
-    return a.order_events_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES))
+    return a.order_events_of(reader.parquet(f"{sf_dir}/events.parquet*"))
 
 
 def _finish(running) -> None:
@@ -37,50 +47,54 @@ def orders_routed_streamed(spark, d):
     )
     routed = jobs.enriched_records(sent, processed_at=F.lit("2026-01-01").cast("timestamp"))
     _finish(jobs.run_to_files(routed, f"{folder}/out", f"{folder}/progress", ("topic",)))
-    written = records.decode(spark.read.parquet(f"{folder}/out"), schemas.ENRICHED_ORDER)
-    return written.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").alias("amount")
+    out = spark.read.parquet(f"{folder}/out")
+    return records.decode(out, schemas.ENRICHED_ORDER).select(
+        "topic", *a.ORDER_COLUMNS, "order_category", "processing_status"
     )
 
 
 @query
 def orders_deduped_streamed(spark, d):
+    """The first record of every order by position, also when a replay arrives before it."""
     folder = run_dir(spark, "deduped")
-    jobs.keep_state_on_disk(spark)
     replayed = a.with_replays(_order_stream(spark, d), "event_id")
-    once = dedup.dedup_stream(replayed, "order_id", "order_date", "1 hour")
-    columns = once.select(*a.ORDER_COLUMNS)
-    _finish(jobs.run_to_files(columns, f"{folder}/out", f"{folder}/progress"))
-    return spark.read.parquet(f"{folder}/out")
+    first = dedup.first_of_stream(replayed.select(*a.ORDER_COLUMNS, "partition", "offset"), "order_id")
+    with jobs.state_on_disk(spark):
+        running = jobs.run_updates(
+            first, jobs.updates_table(f"{folder}/out"), f"{folder}/progress", every=None
+        )
+    _finish(running)
+    return jobs.latest_updates(spark, f"{folder}/out", ["order_id"])
 
 
 @query
 def customer_order_counts_from_state(spark, d):
     folder = run_dir(spark, "counts")
-    jobs.keep_state_on_disk(spark)
-    counts = analytics.order_counts(_order_stream(spark, d))
-    _finish(jobs.run_to_state(counts, folder))
-    return jobs.state_table(spark, folder, {"count": "order_count"})
+    with jobs.state_on_disk(spark):
+        running = jobs.run_to_state(analytics.order_counts(_order_stream(spark, d)), folder)
+    _finish(running)
+    return jobs.state_table(spark, folder, ["order_count"])
 
 
 @query
 def customer_total_amounts_from_state(spark, d):
     folder = run_dir(spark, "totals")
-    jobs.keep_state_on_disk(spark)
-    totals = analytics.total_amounts(_order_stream(spark, d))
-    _finish(jobs.run_to_state(totals, folder))
-    return jobs.state_table(spark, folder, {"sum": "total_amount"})
+    with jobs.state_on_disk(spark):
+        running = jobs.run_to_state(analytics.total_amounts(_order_stream(spark, d)), folder)
+    _finish(running)
+    return jobs.state_table(spark, folder, ["total_amount"])
 
 
 @query
 def customer_windowed_counts_streamed(spark, d):
     """Closed windows from the files, windows still open from the state."""
     folder = run_dir(spark, "windows")
-    jobs.keep_state_on_disk(spark)
-    counts = jobs.windowed_count_updates(_order_stream(spark, d))
-    _finish(jobs.run_to_files(counts, f"{folder}/out", f"{folder}/progress"))
-    closed = spark.read.parquet(f"{folder}/out")
-    still_open = jobs.state_table(spark, f"{folder}/progress", {"count": "order_count"})
+    counts = jobs.windowed_count_updates(_order_stream(spark, d), grace=FILE_DISORDER)
+    with jobs.state_on_disk(spark):
+        running = jobs.run_to_files(counts, f"{folder}/out", f"{folder}/progress")
+    _finish(running)
+    closed = spark.read.schema(counts.schema).parquet(f"{folder}/out")
+    still_open = jobs.state_table(spark, f"{folder}/progress", ["order_count"])
     return closed.unionByName(
         still_open.select(
             "customer_id",

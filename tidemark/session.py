@@ -1,4 +1,5 @@
-"""Session helpers. Nothing here overrides what a cluster has configured."""
+"""Session helpers. But for the time zone of :func:`use_utc`, nothing here overrides what a
+session has configured."""
 
 from __future__ import annotations
 
@@ -30,7 +31,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Zone-less times are read as UTC; pin the session so that they stay so."""
+    """Zone-less times are read as UTC; pin the session so that they stay so, also after the
+    call: results are computed later."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

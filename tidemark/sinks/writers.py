@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed, schemas
@@ -100,23 +101,79 @@ def with_default(df: DataFrame, column: str, value) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
 
-def row_id(partition: str = "kafka_partition", offset: str = "msg_offset") -> Column:
-    """A row id from the record position: the same in every run and on every retry."""
-    return F.col(partition).cast("bigint") * F.lit(2**48) + F.col(offset)
+def row_id(
+    topic: str | Column,
+    consumer: str | Column,
+    partition: str | Column = "partition",
+    offset: str | Column = "offset",
+) -> Column:
+    """A row id from who consumed which record: the same in every run and on every retry,
+    and different for every other record, topic and consumer.
+
+    Four bits hold the consumer, three the topic, 14 the partition and 42 the offset. A
+    record without a position, or one that does not fit, ends the query: it has no id.
+    """
+
+    def place(value: str | Column, names: tuple[str, ...]) -> Column:
+        value = F.lit(value) if isinstance(value, str) else value
+        return F.array_position(F.array(*map(F.lit, names)), value) - 1
+
+    at, of = place(topic, fixed.TOPICS), place(consumer, fixed.CONSUMERS)
+    partition, offset = (F.col(c) if isinstance(c, str) else c for c in (partition, offset))
+    fits = (
+        (at >= 0) & (of >= 0) & partition.between(0, 2**14 - 1) & offset.between(0, 2**42 - 1)
+    )
+    number = ((of * 8 + at) * 2**14 + partition.cast("bigint")) * F.lit(2**42) + offset
+    return F.when(fits, number).otherwise(
+        F.raise_error("a stored row needs a known topic and consumer and a record position").cast("bigint")
+    )
 
 
 def table_rows(
     df: DataFrame,
+    topic: str = fixed.TOPIC_ORDERS,
+    consumer: str = fixed.IDEMPOTENT_ORDER_CONSUMER,
     now: Column | None = None,
     partition: str = "kafka_partition",
     offset: str = "msg_offset",
 ) -> DataFrame:
     """Rows as stored: surrogate ``id`` first, ``created_at`` last."""
     created = F.current_timestamp() if now is None else now
-    return df.select(row_id(partition, offset).alias("id"), *df.columns, created.alias("created_at"))
+    number = row_id(topic, consumer, partition, offset)
+    return df.select(number.alias("id"), *df.columns, created.alias("created_at"))
 
 
-def append_rows(rows: DataFrame, path: str, batch_id: int) -> None:
+def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of the folders of a table, sorted."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return []
+    names = (s.getPath().getName() for s in files.listStatus(hadoop))
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def writer_of(batch: DataFrame) -> str:
+    """The id of the streaming query that hands over this batch. It is kept in the
+    checkpoint: a restarted query has the same one, a new checkpoint another."""
+    found = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise ValueError("outside a streaming query, name the writer of the batch")
+    return found
+
+
+def append_rows(rows: DataFrame, path: str, batch_id: int, writer: str | None = None) -> None:
     """Append one batch to a table. Writing the same batch again replaces it, so a
-    retried batch leaves no double rows."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    retried batch leaves no double rows.
+
+    A batch is known by its number and its ``writer`` (by default the streaming query that
+    hands it over), so a query with a new checkpoint, whose numbers start again, or a second
+    query on the same table touches nothing that others wrote. Writers are numbered in the
+    order in which they first came.
+    """
+    spark = rows.sparkSession
+    name = quote(writer or writer_of(rows), safe="")
+    known = children(spark, path, "writer=")
+    own = next((w for w in known if w.partition("-")[2] == name), None)
+    own = own or f"{len(known):06d}-{name}"
+    rows.write.mode("overwrite").parquet(f"{path}/writer={own}/batch_id={batch_id}")

@@ -120,13 +120,14 @@ def decode(records: DataFrame, schema: T.StructType, on_error: str = "reject") -
 
     The type is fixed by ``schema``; headers naming another type are ignored, and a field
     the JSON lacks is null. ``on_error="reject"`` leaves bad records out (they are in
-    :func:`decode_rejects`); ``"fail"`` ends the query at the first one.
+    :func:`decode_rejects`); ``"fail"`` ends the query at the first of the same records.
     """
+    good = F.col(CORRUPT).isNull()
     if on_error == "fail":
-        event = F.from_json("value", schemas.wire(schema), {"mode": "FAILFAST"})
-        parsed = parsed_once(records, event)
+        stop = F.raise_error("a record is not a valid event").cast("boolean")
+        parsed = _parsed(records, schema).filter(F.when(good, F.lit(True)).otherwise(stop))
     elif on_error == "reject":
-        parsed = _parsed(records, schema).filter(F.col(CORRUPT).isNull())
+        parsed = _parsed(records, schema).filter(good)
     else:
         raise ValueError("on_error is 'reject' or 'fail'")
     return parsed.select(*_named(schema), *_kept(records))

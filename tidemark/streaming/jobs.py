@@ -2,21 +2,21 @@
 
 Every query keeps its progress in ``checkpoint`` and commits a batch after it was written,
 so a failed batch is run again: at least once. The writers here replace what an earlier
-try of the same batch wrote, and ``first_per_key`` / ``new_only`` skip what was consumed
-before, which together gives each event one effect.
+try of the same batch wrote, and keyed state drops what was consumed before, which together
+gives each event one effect. No batch reads what earlier batches wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark import fixed, schemas
-from tidemark.operators import analytics, dedup, delivery, enrich, payments
+from tidemark.operators import analytics, dedup, delivery, enrich, payments, saga
 from tidemark.sinks import writers
 from tidemark.sources import records
 
@@ -26,9 +26,19 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Keep keyed state in RocksDB rather than in executor memory."""
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their keyed state in RocksDB rather than in executor
+    memory. The session has its own setting again afterwards."""
+    before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 # --- stream -> stream -------------------------------------------------------------------
@@ -59,6 +69,27 @@ def windowed_count_updates(
     return analytics.windowed_counts(analytics.with_grace(orders, time_col, grace), size, time_col)
 
 
+def new_notifications(orders: DataFrame, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER) -> DataFrame:
+    """A notification row for the first record of every order of a stream. Which orders were
+    seen is keyed state, so a batch reads nothing but its own records."""
+    return delivery.notification_rows(dedup.dedup_stream(orders, "order_id"), method)
+
+
+def new_payments(payments_in: DataFrame, now: Column | None = None) -> DataFrame:
+    """A payment row for the first record of every payment of a stream."""
+    return delivery.payment_rows(dedup.dedup_stream(payments_in, "payment_id"), now=now)
+
+
+def saga_events(
+    orders: DataFrame,
+    payment_limit=fixed.PAYMENT_LIMIT,
+    inventory_limit=fixed.INVENTORY_LIMIT,
+) -> DataFrame:
+    """The events of every step for a stream of placed orders, each order once."""
+    once = dedup.dedup_stream(orders, "order_id")
+    return saga.event_log(saga.run_saga(once, payment_limit, inventory_limit))
+
+
 # --- running queries --------------------------------------------------------------------
 
 
@@ -124,45 +155,100 @@ def run_updates(
     )
 
 
-def acknowledged(query: StreamingQuery) -> list[dict]:
-    """What the query committed lately: batch number, rows, and where each source ends."""
-    return [
-        {
-            "batch": progress["batchId"],
-            "rows": progress["numInputRows"],
-            "ends": [source["endOffset"] for source in progress["sources"]],
-        }
-        for progress in query.recentProgress
-    ]
+class Acknowledged(StreamingQueryListener):
+    """Hands on every batch that a query commits: its number, its rows, and where each
+    source ends. ``query_id`` (as kept in the checkpoint) limits it to one query."""
+
+    def __init__(self, handle: Callable[[dict], None], query_id: str | None = None):
+        super().__init__()
+        self.handle, self.query_id = handle, query_id
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        if self.query_id in (None, str(progress.id)):
+            ends = [source.endOffset for source in progress.sources]
+            self.handle({"batch": progress.batchId, "rows": progress.numInputRows, "ends": ends})
+
+
+def on_acknowledged(
+    spark: SparkSession, handle: Callable[[dict], None], query_id: str | None = None
+) -> Acknowledged:
+    """Call ``handle`` after every committed batch until the listener is removed
+    (``spark.streams.removeListener``). Nothing is kept, so nothing is lost to a limit."""
+    listener = Acknowledged(handle, query_id)
+    spark.streams.addListener(listener)
+    return listener
 
 
 # --- what one batch writes --------------------------------------------------------------
 
 
-def updates_table(path: str) -> BatchWriter:
+def updates_table(path: str, writer: str | None = None) -> BatchWriter:
     """Keep the updates of each batch; :func:`latest_updates` folds them by key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writers.append_rows(batch, path, batch_id)
+        writers.append_rows(batch, path, batch_id, writer)
 
     return write
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row per key of an updates table."""
-    updates = spark.read.parquet(path)
-    values = [c for c in updates.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*values), "batch_id").alias("_v")
+PLACE = ("writer", "batch_id")
+#: Below the table, and hidden from plain reads of it.
+COMPACTED = "_compacted"
+
+
+def _newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in updates.columns if c not in (*keys, *PLACE)]
+    newest = F.max_by(F.struct(*values, *PLACE), F.struct(*PLACE)).alias("_v")
     return updates.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
-def compact_updates(spark: SparkSession, path: str, into: str, keys: list[str]) -> None:
-    """Write the newest row per key of an updates table to a new one, under its batch
-    number, so that later batches can be appended to it."""
-    updates = spark.read.parquet(path)
-    values = [c for c in updates.columns if c not in keys]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    newest.select(*keys, "_v.*").write.partitionBy("batch_id").parquet(into)
+def _updates(spark: SparkSession, path: str) -> DataFrame:
+    """The last compacted rows and the batches after them."""
+    later = spark.read.parquet(path).withColumns(
+        {"writer": F.col("writer").cast("string"), "batch_id": F.col("batch_id").cast("bigint")}
+    )
+    done = writers.children(spark, f"{path}/{COMPACTED}", "until=")
+    if not done:
+        return later
+    number, _, last = done[-1].partition("~")
+    writer, _, batch_id = last.rpartition("~")
+    after = F.struct(*PLACE) > F.struct(F.lit(writer).alias("writer"), F.lit(int(batch_id)).cast("bigint").alias("batch_id"))
+    before = spark.read.parquet(f"{path}/{COMPACTED}/until={done[-1]}")
+    return later.filter(after).unionByName(before.select(*later.columns))
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row per key of an updates table: of the writer that came last, the last
+    batch."""
+    return _newest(_updates(spark, path), keys).drop(*PLACE)
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Fold the batches of an updates table, so that later reads begin there. It can run
+    beside the stream, and again at any time: the last batch of the last writer may still be
+    tried again and is left alone, and later batches are not touched. A writer that came
+    before must have ended."""
+    batches = spark.read.parquet(path).select(*PLACE).distinct()
+    ordered = batches.select(F.col("writer").cast("string"), F.col("batch_id").cast("bigint"))
+    # numbers of batches, not rows of them
+    last_two = ordered.orderBy(*[F.col(c).desc() for c in PLACE]).limit(2).collect()
+    if len(last_two) < 2:
+        return
+    writer, batch_id = last_two[1]
+    until = F.struct(*PLACE) <= F.struct(F.lit(writer).alias("writer"), F.lit(batch_id).alias("batch_id"))
+    folded = _newest(_updates(spark, path).filter(until), keys)
+    number = len(writers.children(spark, f"{path}/{COMPACTED}", "until="))
+    folded.write.parquet(f"{path}/{COMPACTED}/until={number:06d}~{writer}~{batch_id}")
 
 
 def dual_write(
@@ -170,6 +256,7 @@ def dual_write(
     topic_path: str,
     topic: str = fixed.TOPIC_ORDERS,
     now: Column | None = None,
+    writer: str | None = None,
 ) -> BatchWriter:
     """Write each batch of orders to a table and to a topic.
 
@@ -181,32 +268,36 @@ def dual_write(
     def write(batch: DataFrame, batch_id: int) -> None:
         orders = batch.select("partition", "offset", *fields).persist()
         try:
-            rows = writers.table_rows(records.with_record_metadata(orders), now)
-            writers.append_rows(rows, table_path, batch_id)
+            rows = writers.table_rows(records.with_record_metadata(orders), topic, now=now)
+            writers.append_rows(rows, table_path, batch_id, writer)
             out = writers.to_records(orders, topic, columns=fields)
-            writers.append_rows(out, topic_path, batch_id)
+            writers.append_rows(out, topic_path, batch_id, writer)
         finally:
             orders.unpersist()
 
     return write
 
 
-def publish_pairs(root: str, atomic: bool, limit=fixed.PUBLISH_LIMIT) -> BatchWriter:
+def publish_pairs(
+    root: str, atomic: bool, limit=fixed.PUBLISH_LIMIT, writer: str | None = None
+) -> BatchWriter:
     """Publish payments and orders of a batch under ``root``.
 
-    The commit list is written last. With ``atomic`` a payment counts for readers once
-    its transaction is in the list (:func:`read_published`), so they see both events or
-    neither, also when a batch breaks off halfway.
+    Every payment is stored with whether its transaction was committed (``sent``), and a
+    batch counts for readers once its line in the list of finished batches is there, which
+    is written last (:func:`read_published`). So readers see both events of a pair or
+    neither with ``atomic``, also when a batch breaks off halfway.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         published = payments.publish(payments.with_ids(batch), atomic, limit).persist()
         try:
-            attempted = payments.payment_events(published, "payment_attempted")
-            writers.append_rows(attempted, f"{root}/payments", batch_id)
-            writers.append_rows(payments.order_events(published), f"{root}/orders", batch_id)
-            sent = published.filter("payment_sent").select("transaction_id")
-            writers.append_rows(sent, f"{root}/commits", batch_id)
+            attempted = payments.payment_events(published, "payment_attempted", "payment_sent")
+            attempted = attempted.withColumnRenamed("payment_sent", "sent")
+            writers.append_rows(attempted, f"{root}/payments", batch_id, writer)
+            writers.append_rows(payments.order_events(published), f"{root}/orders", batch_id, writer)
+            counts = published.agg(F.count(F.lit(1)).alias("requests"))
+            writers.append_rows(counts, f"{root}/finished", batch_id, writer)
         finally:
             published.unpersist()
 
@@ -214,43 +305,26 @@ def publish_pairs(root: str, atomic: bool, limit=fixed.PUBLISH_LIMIT) -> BatchWr
 
 
 def read_published(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(payments, orders)`` of committed transactions."""
-
-    def part(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}").drop("batch_id")
+    """``(payments, orders)`` of committed transactions: the sent rows of finished batches.
 
-    commits = part("commits")
-    return (
-        records.committed_only(part("payments"), commits),
-        records.committed_only(part("orders"), commits),
-    )
-
-
-def notify_new(history_path: str, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER) -> BatchWriter:
-    """Write a notification row for every order of a batch that has none yet."""
+    The list of batches meets the folder columns, so it prunes folders; no row is joined by
+    its transaction.
+    """
+    finished = spark.read.parquet(f"{root}/finished").select(*PLACE).distinct()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "order_id string, batch_id bigint")
-        try:
-            history = spark.read.parquet(history_path).select("order_id", "batch_id")
-        except AnalysisException as error:  # the first batch finds no table
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            history = empty
-        # what an earlier try of this batch wrote is replaced, so it does not count
-        before = history.filter(F.col("batch_id") < batch_id)
-        fresh = dedup.new_only(batch, before, "order_id")
-        writers.append_rows(delivery.notification_rows(fresh, method), history_path, batch_id)
+    def part(name: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{name}").join(finished, list(PLACE), "left_semi").drop(*PLACE)
 
-    return write
+    return part("payments").filter("sent").drop("sent"), part("orders")
 
 
 # --- state ------------------------------------------------------------------------------
 
 
-def state_table(spark: SparkSession, checkpoint: str, names: dict[str, str]) -> DataFrame:
-    """The keyed state of a query as a table. ``names`` maps state values to columns."""
+def state_table(spark: SparkSession, checkpoint: str, names: list[str]) -> DataFrame:
+    """The keyed state of a query as a table. ``names`` are given to the first values of the
+    state, in their order, whatever Spark calls them."""
     state = spark.read.format("statestore").load(checkpoint)
-    values = [F.col(f"value.{old}").alias(new) for old, new in names.items()]
+    stored = state.schema["value"].dataType.names[: len(names)]
+    values = [F.col("value")[old].alias(new) for old, new in zip(stored, names)]
     return state.select("key.*", *values)
