@@ -5,7 +5,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup
-from tidemark.operators.skew import HOT_PER_SHARD, SHARDS, anti_join, hot_keys, salted_join, semi_join
+from tidemark.operators.skew import HOT_SHARE, SHARDS, anti_join, hot_keys, salted_join, semi_join
 
 RECORDS = [("o1", 0, 9), ("o1", 0, 3), ("o2", 1, 4)]
 
@@ -60,7 +60,7 @@ def skewed(spark):
 def test_hot_keys_are_found_and_bounded(skewed):
     found = [r[0] for r in hot_keys(skewed, "order_id").collect()]
     assert "hot" in found and None not in found
-    assert len(found) <= SHARDS * HOT_PER_SHARD
+    assert len(found) <= SHARDS / HOT_SHARE
 
 
 @pytest.mark.parametrize("with_hot", [True, False])

@@ -117,11 +117,11 @@ def latencies():
     return out
 
 
-@pytest.mark.parametrize("width", [0.5, 10.0, 100_000.0])
-def test_sla_percentile_is_exact(spark, latencies, width):
+@pytest.mark.parametrize("accuracy", [1, 100, 20_000])
+def test_sla_percentile_is_exact(spark, latencies, accuracy):
     rows = [(d, float(v), i % 100 == 0) for d, vs in latencies.items() for i, v in enumerate(vs)]
     log = spark.createDataFrame(rows, "day date, latency double, is_error boolean")
-    out = {r["day"]: r for r in sla.sla_report(log, block_width=width).collect()}
+    out = {r["day"]: r for r in sla.sla_report(log, accuracy=accuracy).collect()}
     assert len(out) == len(DAYS)
     for day, drawn in latencies.items():
         row = out[day]
@@ -133,6 +133,44 @@ def test_sla_percentile_is_exact(spark, latencies, width):
         assert row["ok"] == (rate < 0.01 and p95 < 500)
 
 
+def test_no_task_orders_much_of_a_dense_group(spark):
+    """400,000 latencies between 0 and 1: the window sees a small share of them."""
+    n = 400_000
+    log = spark.range(n).select(
+        F.lit(DAYS[0]).alias("day"),
+        (F.pmod(F.xxhash64("id"), F.lit(2**40)) / 2.0**40).alias("latency"),
+        F.lit(False).alias("is_error"),
+    )
+    report = sla.sla_report(log)
+    drawn = np.array([r[0] for r in log.select("latency").collect()])
+    assert report.first()["p95"] == pytest.approx(float(np.quantile(drawn, 0.95)), abs=1e-6)
+    plan = report._jdf.queryExecution().executedPlan()
+    sizes = []
+
+    def visit(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return visit(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return visit(node.plan())
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            sizes.append(rows_of(children[0]))
+        for child in children:
+            visit(child)
+
+    def rows_of(node):
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            return metric.get().value()
+        if node.nodeName().endswith("QueryStage"):
+            return rows_of(node.plan())
+        return rows_of(node.children().apply(0)) if node.children().size() else 0
+
+    report.collect()
+    visit(plan)
+    assert sizes and max(sizes) < 0.01 * n
+
+
 def test_sla_limits_are_strict(spark):
     rows = [(DAYS[0], 500.0, False)] * 200 + [(DAYS[1], 499.99, False)] * 199 + [(DAYS[1], 1.0, True)]
     rows += [(DAYS[2], 1.0, i < 2) for i in range(200)]

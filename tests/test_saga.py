@@ -188,6 +188,13 @@ def test_derived_transaction_when_orders_have_none(orders):
     assert out.select("transaction_id").distinct().count() == len(AMOUNTS)
 
 
+def test_an_order_keeps_its_status(make_orders):
+    orders = make_orders([("a", "c1", 1, "10.00"), ("b", "c1", 1, "10.00"), ("c", "c1", 1, "9999.00")])
+    stored = orders.withColumn("status", F.when(F.col("order_id") != "b", "SHIPPED"))
+    tables = saga.order_table(saga.run_saga(stored))
+    assert values(tables, "order_id", "status") == [("a", "SHIPPED"), ("b", "PENDING"), ("c", "CANCELLED")]
+
+
 def test_trace_follows_the_log(spark):
     def log(rows):
         df = spark.createDataFrame(rows, "t string, seq int, kind string")

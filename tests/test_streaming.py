@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark import fixed, schemas
 from tidemark.functions import headers as hdr
 from tidemark.operators import analytics, consistency, dedup, delivery, lookup, payments, saga
+from tidemark.plans import streamed
+from tidemark.plans.catalog import QUERIES
 from tidemark.sinks import writers
 from tidemark.sources import records
 from tidemark.streaming import jobs
@@ -305,7 +307,7 @@ def test_missing_orders_are_reported_after_the_wait(spark, tmp_path):
     later = AT + timedelta(hours=2)
     paid = source(
         "payments",
-        [("p1", "o1", "c1", AT), ("p2", "o2", "c1", AT), ("p3", "o3", "c1", later)],
+        [("p1", "o1", "c1", AT), ("p2", "o2", "c1", AT), ("p3", "o3", "c1", later), ("p4", None, "c1", later)],
         "payment_id string, order_id string, customer_id string, processed_at timestamp",
     )
     placed = source(
@@ -316,7 +318,10 @@ def test_missing_orders_are_reported_after_the_wait(spark, tmp_path):
     found = consistency.stream_inconsistencies(paid, placed, "10 minutes")
     out = str(tmp_path / "out")
     finish(jobs.run_to_files(found, out, str(tmp_path / "p")))
-    assert values(spark.read.parquet(out), "payment_id", "order_id") == [("p2", "o2")]
+    assert values(spark.read.parquet(out), "payment_id", "order_id") == [
+        ("p2", "o2"),
+        ("p4", None),
+    ]
 
 
 # The batch writers are called as the stream would call them, with a batch and its number.
@@ -477,3 +482,32 @@ def test_events_are_keyed_by_the_named_column(spark, tmp_path):
     )
     read = records.read_files(spark, path)
     assert values(read, "key", "topic", hdr.value_of("intercepted-at")) == [("p1", "payments", "5")]
+
+
+@pytest.mark.parametrize(
+    "streamed_query, batch_query",
+    [
+        ("orders_routed_streamed", "orders_routed"),
+        ("orders_deduped_streamed", "orders_first_per_key"),
+        ("customer_order_counts_from_state", "customer_order_counts"),
+        ("customer_total_amounts_from_state", "customer_total_amounts"),
+        ("customer_windowed_counts_streamed", "customer_windowed_counts"),
+    ],
+)
+def test_streamed_queries_over_many_files_and_batches(spark, tmp_path, monkeypatch, streamed_query, batch_query):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # files in no order of time
+    events.repartition(8, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streamed, "BATCH_BYTES", 12_000)
+    batches = []
+    listener = jobs.on_acknowledged(spark, batches.append)
+    try:
+        found = QUERIES[streamed_query](spark, str(tmp_path))
+        wanted = QUERIES[batch_query](spark, str(tmp_path))
+        assert values(found, *sorted(wanted.columns)) == values(wanted, *sorted(wanted.columns))
+        until = time.time() + 30
+        while len(batches) < 3 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(b["rows"] > 0 for b in batches) >= 3

@@ -99,14 +99,17 @@ def stream_inconsistencies(
     within: str = "10 minutes",
     payment_time: str = "processed_at",
     order_time: str = "order_date",
-    salts: int = 4,
+    salts: int = 16,
 ) -> DataFrame:
     """Payments of a stream whose order does not show up within ``within`` of them.
 
     The verdict waits until the watermark rules out a later order, since the two topics
     are not in step. The payments of one order are dealt over ``salts`` tasks, for which
-    each order is kept that many times.
+    each order is kept that many times. A payment without an order id has no order, however
+    long one waits, and is reported at once.
     """
+    astray = payments.filter("order_id IS NULL")
+    payments = payments.filter("order_id IS NOT NULL")
     dealt = F.pmod(F.xxhash64("payment_id"), F.lit(salts)).cast("int")
     pay = payments.withColumn("_salt", dealt).withWatermark(payment_time, within)
     placed = orders.select(
@@ -120,4 +123,4 @@ def stream_inconsistencies(
         f" AND {payment_time} + INTERVAL {within}"
     )
     missing = pay.join(placed, near, "left_outer").filter("_order_id IS NULL")
-    return _detail(missing)
+    return _detail(missing).unionByName(_detail(astray))

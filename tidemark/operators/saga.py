@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark import fixed, schemas
 from tidemark.functions.columns import JSON_TIME, derived_id, whole_units
 from tidemark.operators.skew import semi_join
+from tidemark.sinks.writers import with_default
 from tidemark.sources.records import parsed_once
 
 OUTCOME_CONFIRMED = "CONFIRMED"
@@ -83,8 +84,10 @@ def _is(outcome: str) -> Column:
 
 
 def order_table(saga: DataFrame) -> DataFrame:
-    """Orders stay PENDING unless the chain cancelled them."""
-    status = F.when(_is(OUTCOME_CONFIRMED), fixed.PENDING).otherwise(fixed.CANCELLED)
+    """Orders keep their status, PENDING where they have none, unless the chain cancelled
+    them."""
+    saga = with_default(saga, "status", fixed.PENDING)
+    status = F.when(_is(OUTCOME_CONFIRMED), F.col("status")).otherwise(fixed.CANCELLED)
     return saga.select(
         "order_id",
         "customer_id",
@@ -408,7 +411,7 @@ def refunds(inventory: DataFrame, payments: DataFrame) -> DataFrame:
     """One refund event per payment whose order has no stock, however often that was
     reported."""
     unavailable = inventory.filter(F.col("status") == fixed.UNAVAILABLE).select("order_id")
-    return semi_join(payments, unavailable, "order_id").select(
+    return semi_join(payments, unavailable, "order_id", unique=True).select(
         "payment_id", "order_id", "amount", F.col("processed_at").alias("refunded_at")
     )
 

@@ -9,6 +9,8 @@ from tidemark import fixed
 from tidemark.operators.blocks import block_starts, inside_block
 
 P = 0.95
+#: Ranks (as shares) around the wanted one at which a group is cut into blocks.
+NEAR = (0.0002, 0.0004, 0.001, 0.003, 0.01, 0.05)
 
 
 def _verdict(report: DataFrame, group: str, max_fail: float, max_p95: float) -> DataFrame:
@@ -29,18 +31,27 @@ def sla_report(
     is_error: str = "is_error",
     max_fail: float = fixed.MAX_FAILURE_RATE,
     max_p95: float = fixed.MAX_P95_MS,
-    block_width: float = 1.0,
+    accuracy: int = 20_000,
 ) -> DataFrame:
     """Requests, failure rate and exact 95th percentile (interpolated) per group.
 
-    No group is gathered in one task. Requests are first folded to counts per distinct
-    latency, the counts of latency blocks ``block_width`` wide tell which one or two
-    blocks hold the wanted ranks, and only those blocks are ordered.
+    No group is gathered in one task, however its latencies lie. Approximate quantiles close
+    to the wanted rank cut a group into blocks, the narrower the closer; requests are
+    folded to counts per distinct latency, the counts of the blocks tell which one or two
+    hold the wanted ranks, and only those blocks are ordered: a few ``1 / accuracy`` of the
+    group each. The cuts steer the work, never the result.
     """
-    at = F.floor(F.col(latency) / F.lit(float(block_width))).alias("_block")
-    histogram = log.groupBy(group, latency, at).agg(
+    cuts = sorted({min(1.0, max(0.0, P + side * d)) for d in NEAR for side in (-1, 1)})
+    edges = log.groupBy(group).agg(F.percentile_approx(latency, cuts, accuracy).alias("_edges"))
+    edges = edges.withColumnRenamed(group, "_group")
+    histogram = log.groupBy(group, latency).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(is_error)).alias("_errors")
     )
+    block = F.size(F.filter("_edges", lambda e: e < F.col(latency)))
+    # one row of edges per group
+    histogram = histogram.join(edges, F.col(group).eqNullSafe(F.col("_group")), "left").select(
+        group, latency, "_n", "_errors", F.when(F.col(latency).isNotNull(), block).alias("_block")
+    )
     blocks = histogram.groupBy(group, "_block").agg(
         F.sum(F.when(F.col(latency).isNotNull(), F.col("_n"))).alias("_n"),
         F.sum("_n").alias("_requests"),

@@ -59,8 +59,13 @@ def order_events_of(events: DataFrame) -> DataFrame:
     )
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_events_of(table(spark, sf_dir, "events"))
+def order_events(spark: SparkSession, sf_dir: str, customer: str | None = None) -> DataFrame:
+    """All events, or those of one customer: the asked id is turned into the stored number,
+    so that the file scan can skip the others."""
+    events = table(spark, sf_dir, "events")
+    if customer is not None:
+        events = events.filter(F.col("user_id") == int(customer.removeprefix("customer-")))
+    return order_events_of(events)
 
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:

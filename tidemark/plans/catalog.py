@@ -257,7 +257,7 @@ def payments_table(spark, d):
 def find_by_order(spark, d):
     # many ids at once: those of the orders in the other table
     wanted = a.payment_requests(spark, d).select("order_id")
-    return lookup.by_order(_notifications(spark, d), wanted)
+    return lookup.by_order(_notifications(spark, d), wanted, unique=True)
 
 
 @query
@@ -277,9 +277,31 @@ def find_by_method(spark, d):
 
 @query
 def find_by_payment(spark, d):
-    # the payment of order 7
-    table = saga.payment_table(_saga(spark, d)).drop("processed_at")
-    return lookup.by_key(table, "payment_id", derived_id("payment", F.lit("7")))
+    # the payment of order 7: its id is made from the number of the order, which is stored
+    orders = a.saga_orders(spark, d).filter("o_orderkey = 7")
+    table = saga.payment_table(saga.run_saga(orders, a.PAYMENT_LIMIT, a.INVENTORY_LIMIT))
+    return lookup.by_key(table.drop("processed_at"), "payment_id", derived_id("payment", F.lit("7")))
+
+
+@query
+def find_payment_by_order(spark, d):
+    """At most one payment per asked order; the asked ones are the orders of one state."""
+    wanted = a.payment_requests(spark, d).filter("order_status = 'P'").select("order_id")
+    table = saga.payment_table(_saga(spark, d))
+    return lookup.one_by_order(table, wanted).select("order_id", "payment_id", "amount", "status")
+
+
+@query
+def find_reservation_by_order(spark, d):
+    wanted = a.payment_requests(spark, d).filter("order_status = 'P'").select("order_id")
+    table = saga.reservation_table(_saga(spark, d))
+    return lookup.one_by_order(table, wanted).select("order_id", "reservation_id", "quantity", "status")
+
+
+@query
+def find_order(spark, d):
+    table = saga.order_table(_saga(spark, d))
+    return lookup.by_order(table, ["7", "12", "no such order"]).select("order_id", "customer_id", "status")
 
 
 # --- analytics --------------------------------------------------------------------------
@@ -303,7 +325,7 @@ def customer_windowed_counts(spark, d):
 @query
 def windowed_counts_range(spark, d):
     return analytics.windowed_counts_for(
-        a.order_events(spark, d), RANGE_CUSTOMER, RANGE_START_MS, RANGE_END_MS
+        a.order_events(spark, d, RANGE_CUSTOMER), RANGE_CUSTOMER, RANGE_START_MS, RANGE_END_MS
     )
 
 
@@ -342,6 +364,19 @@ def dashboard_totals(spark, d):
     return analytics.dashboard_totals(a.order_events(spark, d))
 
 
+#: Pages of the customer table in map shape.
+PAGES = 64
+
+
+@query
+def order_counts_as_maps(spark, d):
+    """The counts in map shape, a page per row; entries are shown in the order of their keys."""
+    counts = analytics.order_counts(a.order_events(spark, d))
+    pages = analytics.as_map(counts, "customer_id", "order_count", PAGES)
+    entries = F.array_sort(F.map_entries("entries"))
+    return pages.select(F.inline(entries).alias("customer_id", "order_count"))
+
+
 @query
 def money_format(spark, d):
     totals = analytics.total_amounts(a.order_events(spark, d))
@@ -414,7 +449,7 @@ def payments_non_atomic(spark, d):
 def payments_committed(spark, d):
     published = _published(spark, d, True)
     attempted = payments.payment_events(published, "payment_attempted")
-    return records.committed_only(attempted, payments.commits(published)).select(
+    return records.committed_only(attempted, payments.commits(published), unique=True).select(
         "payment_id", "order_id", "amount"
     )
 

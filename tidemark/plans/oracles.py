@@ -252,6 +252,24 @@ _BODIES: dict[str, tuple[list[str], str]] = {
                        ELSE 'REFUNDED' END AS status, transaction_id
            FROM saga WHERE payment_id = sha256('payment|7')""",
     ),
+    "find_payment_by_order": (
+        ["saga"],
+        """SELECT order_id, payment_id, amount, CASE outcome WHEN 'PAYMENT_FAILED' THEN 'FAILED'
+                  WHEN 'CONFIRMED' THEN 'SUCCESS' ELSE 'REFUNDED' END AS status
+           FROM saga WHERE order_status = 'P'""",
+    ),
+    "find_reservation_by_order": (
+        ["saga"],
+        """SELECT order_id, reservation_id, stock_quantity AS quantity,
+                  CASE outcome WHEN 'CONFIRMED' THEN 'RESERVED' ELSE 'UNAVAILABLE' END AS status
+           FROM saga WHERE order_status = 'P' AND outcome <> 'PAYMENT_FAILED'""",
+    ),
+    "find_order": (
+        ["saga"],
+        """SELECT order_id, customer_id, CASE outcome WHEN 'CONFIRMED' THEN 'PENDING' ELSE 'CANCELLED' END AS status
+           FROM saga WHERE order_id IN ('7', '12', 'no such order')""",
+    ),
+    "order_counts_as_maps": (["totals"], "SELECT customer_id, order_count FROM totals"),
     "customer_order_counts": (["totals"], "SELECT customer_id, order_count FROM totals"),
     "customer_total_amounts": (["totals"], "SELECT customer_id, total_amount FROM totals"),
     "customer_windowed_counts": (["windowed"], "SELECT * FROM windowed"),

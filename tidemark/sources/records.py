@@ -175,6 +175,8 @@ def header_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(hdr.as_map()).alias("header", "value"))
 
 
-def committed_only(events: DataFrame, commits: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """Events whose transaction was committed."""
-    return semi_join(events, commits, key)
+def committed_only(
+    events: DataFrame, commits: DataFrame, key: str = "transaction_id", unique: bool = False
+) -> DataFrame:
+    """Events whose transaction was committed; ``unique`` if each transaction has one event."""
+    return semi_join(events, commits, key, unique)
