@@ -29,7 +29,9 @@ OPEN = 32
 FAN_IN = 64
 END = 2
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: Unseen words that are encoded together.
+TOGETHER = 2000
 
 
 class WordIds:
@@ -46,14 +48,37 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.special[0] if self.special else None
         self.seen: dict[str, bytes] = {}
 
+    def _alone(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of unseen words. A special token always ends what stands before it, so
+        one between words lets many be encoded as one text; words that hold one are not."""
+        plain, odd = [], []
+        for word in words:
+            (odd if self.mark is None or any(s in word for s in self.special) else plain).append(word)
+        yield from zip(odd, self._alone(odd))
+        mark = self.tokenizer.token_to_id(self.mark) if plain else None
+        for start in range(0, len(plain), TOGETHER):
+            own = plain[start : start + TOGETHER]
+            (found,) = self.tokenizer.encode_batch_fast([self.mark.join(own)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(own, ends):
+                yield word, raw[4 * at : 4 * end]
+                at = end + 1
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         missing = list(set().union(*cut) - self.seen.keys())
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, found)}
+        new = dict(self._new(missing))
         room = REMEMBERED - len(self.seen)
         if len(new) <= room:
             self.seen.update(new)
@@ -168,8 +193,8 @@ def _schema(value_type: str) -> str:
     )
 
 
-def token_list(ids: np.ndarray) -> list[int]:
-    return ids.tolist()
+def token_list(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.int32)
 
 
 def _merge(level: int, last: bool, window: int, value: Callable, kind: pa.DataType) -> Callable:
