@@ -36,8 +36,10 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of token windows, one row each, with their ids."""
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of token windows, one row each, with their ids.
+
+    The ids themselves leave the task here, so the workers remember fewer words."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=300_000)
     return pieces.withColumnRenamed("value", "ids")
 
 

@@ -28,8 +28,9 @@ WINDOW = 4096
 OPEN = 32
 FAN_IN = 64
 END = 2
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers, at about 400 bytes each. Others are encoded again
+#: when they return, so fewer cost time and nothing else.
+REMEMBERED = 500_000
 #: Unseen words that are encoded together.
 TOGETHER = 2000
 
@@ -41,7 +42,8 @@ class WordIds:
     its spaces and line ends; what else counts as white space is left to the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = REMEMBERED if remembered is None else remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +81,7 @@ class WordIds:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         missing = list(set().union(*cut) - self.seen.keys())
         new = dict(self._new(missing))
-        room = REMEMBERED - len(self.seen)
+        room = self.remembered - len(self.seen)
         if len(new) <= room:
             self.seen.update(new)
             get = self.seen.__getitem__
@@ -95,13 +97,14 @@ class WordIds:
         return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in cut]
 
 
-_tokenizers: dict[str, WordIds] = {}
+_tokenizers: dict[tuple[str, int | None], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+def word_ids(path: str, remembered: int | None = None) -> WordIds:
+    key = (path, remembered)
+    if key not in _tokenizers:
+        _tokenizers[key] = WordIds(path, remembered)
+    return _tokenizers[key]
 
 
 class _Windows:
@@ -227,6 +230,7 @@ def pack(
     value: Callable = token_list,
     value_type: str = "array<int>",
     value_arrow: pa.DataType = pa.list_(pa.int32()),
+    remembered: int | None = None,
 ) -> DataFrame:
     """One row per piece of a document: ``doc_id, start, length, doc_tokens, sequence_id,
     offset, value``.
@@ -234,7 +238,8 @@ def pack(
     A document is its ids by the tokenizer file at ``path`` and an end id, so a null or empty
     text is one token. ``start`` counts the ids of the document before the piece, ``offset``
     those of the sequence, ``doc_tokens`` all of the document's. ``value`` is what the given
-    function makes of the ids of the piece: the ids themselves by default.
+    function makes of the ids of the piece: the ids themselves by default. ``remembered``
+    bounds the words whose ids a worker keeps (:data:`REMEMBERED`).
 
     Every row is packed, also when ids of documents repeat or are null (the pieces of such
     documents can then only be told apart by sequence and offset). Documents longer than a
@@ -244,7 +249,7 @@ def pack(
     end = np.array([END], dtype="<u4")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_ids(path)
+        tokenizer = word_ids(path, remembered)
         out = _Out(value, value_arrow, 0, TaskContext.get().partitionId())
         windows = _Windows(window, n_open, out.emit)
         for batch in slices(batches):
