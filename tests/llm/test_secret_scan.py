@@ -60,6 +60,21 @@ def test_owners_tell_examples_from_live_ones(spark):
     assert got[30] == []
 
 
+def test_long_values_are_judged_whole(spark):
+    varied = "xY3kLm9QpR7sTu2VwZ8aBc4DeF6gHj5N"
+    tokens = {1: (varied * 10)[:300], 2: (varied * 157)[:5000], 3: "A" * 280 + varied * 12}
+    late = "z" * 256 + varied * 32
+    rows = [(i, f"key {token} end", "en", "src1") for i, token in tokens.items()]
+    rows += [(4, f"password={late}", "en", "src1")]
+    rows += [(10 + i, f"common {varied * 20}", "en", f"src{i}") for i in range(9)]
+    found = scan(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in found.collect()}
+    for i, token in tokens.items():
+        assert got[i] == [("other", 4, 4 + len(token), False, "live", 1, 1)]
+    assert got[4] == [("assign", 0, 9 + len(late), True, "live", 1, 1)]
+    assert all(got[10 + i] == [] for i in range(9))
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert scan(odd_docs).count() == len(ODD)
     assert all(r.spans == [] for r in scan(odd_docs).collect())

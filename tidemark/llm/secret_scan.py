@@ -45,13 +45,13 @@ def strong(value: str) -> bool:
     lower = value.lower()
     if any(w in lower for w in ("example", "xxxx", "placeholder", "changeme", "your_", "12345678")):
         return False
-    return entropy(value[:256]) >= 2.8
+    return entropy(value) >= 2.8
 
 
 def _token_like(text: str) -> Iterator[tuple[str, int, int, str]]:
     for match in _TOKEN.finditer(text):
         value = match.group()
-        if len(value) > 256 or not any("0" <= c <= "9" for c in value):
+        if not any("0" <= c <= "9" for c in value):
             continue
         mixed = value.lower() != value and value.upper() != value
         if mixed and sum("0" <= c <= "9" for c in value) >= 3 and entropy(value) >= 3.5:
@@ -106,7 +106,7 @@ def scan(
 
     Null and empty texts have no spans. Rows without an owner or repository count as one
     more holder together. Ids may be null or repeat; other columns are not touched; whole
-    texts are read.
+    texts are read, and candidates of any length are hashed and judged whole.
     """
     kind = pa.list_(
         pa.struct(
