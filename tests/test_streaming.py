@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import shutil
 import time
 from datetime import datetime, timedelta
@@ -511,3 +512,23 @@ def test_streamed_queries_over_many_files_and_batches(spark, tmp_path, monkeypat
     finally:
         spark.streams.removeListener(listener)
     assert sum(b["rows"] > 0 for b in batches) >= 3
+
+
+def test_streamed_windows_keep_rows_of_files_taken_late(spark, tmp_path, monkeypatch):
+    """The newest file is taken first, and the others are more than 60 days behind it.
+
+    A watermark drops rows from the batch after the next one on, hence three batches."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    table, now = tmp_path / "events.parquet", time.time()
+    table.mkdir()
+    for age, days in ((30, 200), (20, 100), (10, 0)):
+        moved = events.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAYS"))
+        moved.coalesce(1).write.parquet(str(tmp_path / f"plus{days}"))
+        (part,) = (tmp_path / f"plus{days}").glob("*.parquet")
+        shutil.copy(part, table / f"plus{days}.parquet")
+        os.utime(table / f"plus{days}.parquet", (now - age, now - age))
+    monkeypatch.setattr(streamed, "BATCH_BYTES", 1)
+    found = QUERIES["customer_windowed_counts_streamed"](spark, str(tmp_path))
+    wanted = QUERIES["customer_windowed_counts"](spark, str(tmp_path))
+    assert found.agg(F.sum("order_count")).first()[0] == 3 * events.count()
+    assert values(found, *sorted(wanted.columns)) == values(wanted, *sorted(wanted.columns))
