@@ -108,6 +108,19 @@ def test_quality_learns_only_from_its_folds(spark, real_docs, labels, worth):
     assert np.array_equal(again.weights, worth.weights) and again.border == worth.border
 
 
+def test_quality_border_and_ranges_are_those_of_all_labelled_rows(real_docs, labels):
+    docs, rows = real_docs
+    model = quality.train(docs, labels, limit=60)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    learned = [(t, truth[d]) for d, t, _ in rows if d in truth and fold(d, 3) != 1]
+    x = np.array([quality.statistics(t or "") for t, _ in learned])
+    cuts = np.linspace(0, 1, quality.RANGES + 1)[1:-1]
+    assert np.array_equal(model.edges, np.quantile(x, cuts, axis=0, method="inverted_cdf").T)
+    bad, worth = sum(q == 0 for _, q in learned), np.sort(model.worths(x))
+    assert np.isclose(model.border, (worth[bad - 1] + worth[bad]) / 2)
+    assert np.isclose(model.scale, worth.std() / 4)
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs, labels, worth):
     found = quality.score(odd_docs, worth)
     assert found.count() == len(ODD) and found.filter("score IS NULL").count() == 0

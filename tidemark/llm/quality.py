@@ -7,7 +7,13 @@ border between good and bad is a quantile of the worths of the labelled document
 of bad ones among them.
 
 Features are statistics of the whole text, each cut into ranges by its quantiles, so the
-worth may rise and fall along a feature. They are fitted on a bounded sample.
+worth may rise and fall along a feature. Only the weights are fitted on a bounded sample: the
+ranges, the border and the spread of the worths come from all labelled documents that may be
+learned from, by Spark's quantile sketches, whose ranks are off by at most one part in
+``RANGE_ACCURACY`` or ``BORDER_ACCURACY`` and exact for fewer rows.
+
+Scale: statistics are taken in a narrow step, so texts are not shuffled; what meets the labels
+are ``STATISTICS`` numbers a document.
 """
 
 from __future__ import annotations
@@ -15,20 +21,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import ROW, clean_text, slices, with_rows
+from tidemark.llm.frames import ROW, clean_text, keep, remove, slices, with_rows
 from tidemark.llm.samples import by_label, fold
 
 #: Rows to fit on: about so many in all, as many good as bad ones if there are.
 TRAIN_ROWS = 3000
 PAIRS = 20_000
 RANGES = 8
+RANGE_ACCURACY = 10_000
+BORDER_ACCURACY = 100_000
 
 _SYMBOLS = re.compile(r"[|#$%&*<>{}\[\]\\^~=_@]")
 _MARKS = re.compile(r"[!?]")
@@ -94,11 +102,14 @@ class Model:
         np.put_along_axis(out, place[:, :, None], 1.0, axis=2)
         return out.reshape(len(x), -1)
 
+    def worths(self, x: np.ndarray) -> np.ndarray:
+        return self.ranges(x) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1; from 0.5 on the worth is above the border."""
         if not len(self.weights):
             return np.full(len(x), 0.5)
-        worth = self.ranges(x) @ self.weights
+        worth = self.worths(x)
         return 1 / (1 + np.exp(-np.clip((worth - self.border) / self.scale, -30, 30)))
 
 
@@ -106,11 +117,17 @@ def _unlearned(share: float) -> Model:
     return Model(np.zeros((STATISTICS, RANGES - 1)), np.zeros(0), share, 1.0)
 
 
-def fit(x: np.ndarray, good: np.ndarray, bad_share: float, seed: int = 11) -> Model:
-    """Weights from pairs of good and bad rows; ``bad_share`` is that of all labelled rows."""
+def fit(
+    x: np.ndarray, good: np.ndarray, bad_share: float, seed: int = 11, edges: np.ndarray | None = None
+) -> Model:
+    """Weights from pairs of good and bad rows; ``bad_share`` is that of all labelled rows.
+
+    Ranges are those of ``edges``, or of the given rows; the border is that of the given rows.
+    """
     if not good.any() or good.all():
         return _unlearned(bad_share)
-    edges = np.quantile(x, np.linspace(0, 1, RANGES + 1)[1:-1], axis=0).T
+    if edges is None:
+        edges = np.quantile(x, np.linspace(0, 1, RANGES + 1)[1:-1], axis=0).T
     model = Model(edges, np.zeros(0), 0.0, 1.0)
     z = model.ranges(x)
     rng = np.random.default_rng(seed)
@@ -135,6 +152,30 @@ def fit(x: np.ndarray, good: np.ndarray, bad_share: float, seed: int = 11) -> Mo
     return Model(edges, w, float(border), float(max(worth.std() / 4, 1e-9)))
 
 
+def _edges(rows: DataFrame) -> np.ndarray:
+    """The ranges of each statistic, from all ``rows``."""
+    cuts = [float(c) for c in np.linspace(0, 1, RANGES + 1)[1:-1]]
+    found = [F.percentile_approx(F.col("x")[i], cuts, RANGE_ACCURACY) for i in range(STATISTICS)]
+    return np.array(list(rows.agg(*found).first()))
+
+
+def _settle(model: Model, rows: DataFrame, bad: int, total: int) -> Model:
+    """``model`` with the border between the worths of rank ``bad`` and the next, and the
+    spread, of all ``rows``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array(batch.column(0).to_pylist()).reshape(batch.num_rows, STATISTICS)
+            yield pa.RecordBatch.from_arrays([pa.array(model.worths(x), pa.float64())], names=["worth"])
+
+    worth = rows.select("x").mapInArrow(work, "worth double")
+    ranks = [(bad - 0.5) / total, (bad + 0.5) / total]
+    cuts, spread = worth.agg(
+        F.percentile_approx("worth", ranks, BORDER_ACCURACY), F.stddev_pop("worth")
+    ).first()
+    return replace(model, border=sum(cuts) / 2, scale=max(spread / 4, 1e-9))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -145,11 +186,12 @@ def train(
     folds: int = 3,
     held_fold: int = 1,
 ) -> Model:
-    """Fit on about ``limit`` labelled rows whose id is not in fold ``held_fold``.
+    """Learn from the labelled documents whose id is not in fold ``held_fold``: the weights
+    from about ``limit`` of them, ranges and border from all.
 
     A document with several labels counts by their mean (half is good); labels of null ids
-    are left out. The sample of labels is chosen first, so documents meet a table of
-    ``limit`` rows; only statistics of the sampled texts reach the driver.
+    or of no document are left out. Documents that repeat an id are one, that with the
+    smallest statistics. Only the statistics of the sample and quantiles reach the driver.
     """
     marked = (
         labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("double").alias("q"))
@@ -158,25 +200,32 @@ def train(
         .groupBy("doc_id")
         .agg((F.avg("q") >= 0.5).alias("good"))
     )
-    sample, sizes = by_label(marked, "doc_id", "good", limit)
-    total = sum(sizes.values())
-    bad_share = sizes.get(False, 0) / total if total else 0.5
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), clean_text(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), clean_text(text_col).alias("text")).filter(
+        F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_fold)
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [statistics(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "good", "x"])
-
-    # the sample has about ``limit`` rows whatever the input, so its size is bounded
-    near = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "good")
-    near = near.dropDuplicates(["doc_id"]).select("doc_id", "text", "good")
-    rows = near.mapInArrow(work, "doc_id bigint, good boolean, x array<double>").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    if not rows:
-        return _unlearned(bad_share)
-    return fit(np.array([r.x for r in rows]), np.array([r.good for r in rows], dtype=bool), bad_share)
+            columns = [batch.column(0), pa.array(found, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x"])
+
+    measured = texts.mapInArrow(work, "doc_id bigint, x array<double>")
+    joined = measured.join(marked, "doc_id").groupBy("doc_id", "good").agg(F.min("x").alias("x"))
+    labelled = keep(joined, "labelled")
+    try:
+        sample, sizes = by_label(labelled, "doc_id", "good", limit)
+        total = sum(sizes.values())
+        if len(sizes) < 2:
+            return _unlearned(sizes.get(False, 0) / total if total else 0.5)
+        rows = sorted(sample.collect(), key=lambda r: r.doc_id)
+        x, good = np.array([r.x for r in rows]), np.array([r.good for r in rows], dtype=bool)
+        model = fit(x, good, sizes[False] / total, edges=_edges(labelled))
+        if not len(model.weights):
+            return model
+        return _settle(model, labelled, sizes[False], total)
+    finally:
+        remove(labelled)
 
 
 def score(
