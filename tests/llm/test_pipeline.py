@@ -56,6 +56,16 @@ def test_odd_documents(spark, odd_docs, no_docs, tmp_path):
     assert len(ODD) == 12
 
 
+def test_unlabelled_documents_stay(spark, odd_docs, tmp_path):
+    plain = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, lang in (("null", "CAST(NULL AS string)"), ("blank", "' '")):
+        folder = str(tmp_path / name)
+        plain.selectExpr("doc_id", "text", f"{lang} AS lang", "source", "n_chars").write.parquet(
+            f"{folder}/documents.parquet"
+        )
+        assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {2, 6, 8, 9}
+
+
 def test_names():
     assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert len(corpus_pipeline.STAGES) == 5

@@ -206,16 +206,21 @@ def identify(
 
 
 def known_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text has a language: those that are not ``und``; narrow.
+    """The rows of ``df`` whose text can have a language; narrow.
 
-    All columns pass as they are. A text that is known but scored low stays: only texts
-    without a letter and null texts are rejected.
+    All columns pass as they are. A text that is known but scored low stays, and so does
+    every text with a letter if nothing was learned: only texts without a letter and null
+    texts are rejected.
     """
     at = [f.name for f in df.schema].index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            found = model.predict([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([language != UNKNOWN for language, _ in found], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            if model.within:
+                kept = [language != UNKNOWN for language, _ in model.predict([t or "" for t in texts])]
+            else:
+                kept = [has_letter(t or "") for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(work, df.schema)
