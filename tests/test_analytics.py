@@ -8,6 +8,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from tidemark.operators import analytics, lookup
+from tidemark.plans import catalog
 
 LOOP = [("o%d" % i, "customer-123", 1, a) for i, a in enumerate(["20.99", "40.99", "60.99", "80.99", "100.99"])]
 
@@ -155,3 +156,16 @@ def test_batches_leave_records_without_a_place_out(spark):
     assert out.count() == 3
     listed = sum(len(r.ids.split(", ")) for r in out.collect())
     assert listed + analytics.batch_rejects(df).count() == len(rows)
+
+
+def test_pages_of_maps_stay_bounded(spark, monkeypatch):
+    """The number of pages follows the number of customers."""
+    asked, as_map = [], analytics.as_map
+    monkeypatch.setattr(
+        analytics, "as_map", lambda df, key, value, pages: asked.append(pages) or as_map(df, key, value, pages)
+    )
+    monkeypatch.setattr(catalog, "PAGE_KEYS", 3)
+    found = catalog.QUERIES["order_counts_as_maps"](spark, "/root/testdata/sf0.001")
+    wanted = catalog.QUERIES["customer_order_counts"](spark, "/root/testdata/sf0.001")
+    assert values(found, *sorted(wanted.columns)) == values(wanted, *sorted(wanted.columns))
+    assert asked == [-(-wanted.count() // 3)]

@@ -364,15 +364,16 @@ def dashboard_totals(spark, d):
     return analytics.dashboard_totals(a.order_events(spark, d))
 
 
-#: Pages of the customer table in map shape.
-PAGES = 64
+#: Customers on a page of the table in map shape, about.
+PAGE_KEYS = 10_000
 
 
 @query
 def order_counts_as_maps(spark, d):
     """The counts in map shape, a page per row; entries are shown in the order of their keys."""
     counts = analytics.order_counts(a.order_events(spark, d))
-    pages = analytics.as_map(counts, "customer_id", "order_count", PAGES)
+    number = max(1, -(-counts.count() // PAGE_KEYS))
+    pages = analytics.as_map(counts, "customer_id", "order_count", number)
     entries = F.array_sort(F.map_entries("entries"))
     return pages.select(F.inline(entries).alias("customer_id", "order_count"))
 
