@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from conftest import values
+from tidemark.llm import centroids
+
+from .conftest import SF_DIR
+
+COLUMNS = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def expected(rows, k=40, rounds=5, width=64, scale=256):
+    """The plain algorithm in Python integers, all centroids for every vector."""
+    kept = [
+        (i, [math.floor(scale * float(x)) for x in v])
+        for i, v in rows
+        if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    of = [(hashlib.sha256(f"2:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in kept]
+    cents = [v for _, v in sorted(of)[:k]]
+
+    def nearest(v):
+        return min((sum((x - y) ** 2 for x, y in zip(v, c)), i) for i, c in enumerate(cents))
+
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in kept]
+        for c in set(own):
+            mine = [v for (_, v), o in zip(kept, own) if o == c]
+            cents[c] = [sum(col) // len(mine) for col in zip(*mine)]
+    found = [nearest(v) for _, v in kept]
+    total = [sum(d for d, c in found if c == i) for i in range(len(cents))]
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in cents]
+    out = [(i, c, d, total[c], sum(total), sha[c]) for (i, _), (d, c) in zip(kept, found)]
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def found(df, **options):
+    return values(centroids.cluster(df, **options), *COLUMNS)
+
+
+def test_whole_table(spark):
+    df = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    assert found(df) == expected([(r.vec_id, r.embedding) for r in df.collect()])
+
+
+@pytest.mark.parametrize("k, rounds, parts", [(5, 4, 3), (12, 0, 2), (1, 3, 2), (30, 6, 7)])
+def test_ties_and_copies(spark, k, rounds, parts):
+    """Vectors on a small grid: very many are equally near to several centroids."""
+    rng = random.Random(k)
+    rows = [(i % 150, [rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(250)]
+    rows += [(7, [0.5, 0.5, 0.5])] * 60
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(parts)
+    options = {"k": k, "rounds": rounds, "width": 3, "scale": 2}
+    assert found(df, **options) == expected(rows, **options)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [3.0, 4.0]), (None, [1.0, 2.0]), (2, None), (3, []), (4, [1.0]),
+        (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [-inf, 1.0]), (9, [0.0, 0.0]), (10, [-0.001, 1000.0]),
+    ]
+    extra = "a int, v string, cluster string, sums int"
+    df = spark.createDataFrame([(*r, 1, "v", "c", 2) for r in rows], f"vec_id bigint, embedding array<double>, {extra}")
+    for k in (1, 2, 40):
+        assert found(df, k=k, width=2) == expected(rows, k=k, width=2)
+    assert found(df.limit(0)) == []
+    assert found(df) == []  # none has 64 components
+
+
+def test_too_large(spark):
+    df = spark.createDataFrame([(1, [1e300])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        centroids.cluster(df, width=1).collect()
+
+
+def test_search_spares_comparisons_and_is_exact():
+    """Bounds over several rounds: every vector has its nearest centroid, few are searched."""
+    rng = np.random.default_rng(6)
+    middles = rng.integers(-3000, 3000, size=(20, 8))
+    v = (middles[rng.integers(0, 20, 5000)] + rng.integers(-90, 90, size=(5000, 8))).astype(np.int64)
+    cents, before = v[:20].tolist(), None
+    a, b = np.zeros(5000, np.int32), np.ones(5000, np.int32)
+    upper, lower = np.full(5000, np.inf), np.zeros(5000)
+    searched = []
+    for _ in range(6):
+        own = centroids.Centroids(cents, before)
+        searched.append(own.assign(v, a, b, upper, lower))
+        gaps = ((v[:, None, :] - own.values[None]) ** 2).sum(axis=2)
+        assert (a == gaps.argmin(axis=1)).all()
+        second = np.sqrt(np.partition(gaps, 1, axis=1)[:, 1])
+        assert (upper >= np.sqrt(gaps.min(axis=1))).all() and (lower <= second).all()
+        before, cents = cents, [
+            (v[a == i].sum(axis=0) // (a == i).sum()).tolist() if (a == i).any() else c for i, c in enumerate(cents)
+        ]
+    assert searched[0] > 4000 and searched[-1] < 1000

@@ -1,0 +1,87 @@
+from __future__ import annotations
+
+import random
+
+import public_tokenizers
+import pytest
+from conftest import values
+from sentencepiece import SentencePieceProcessor
+from tidemark.llm import token_counts
+
+from .conftest import ODD
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return SentencePieceProcessor(model_file=PATH)
+
+
+def expected(library, rows, limit=4096):
+    out = []
+    for doc, text in rows:
+        n = len(library.encode(text or ""))
+        out.append((doc, len((text or "").encode()), n, n > limit))
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def counted(df, **options):
+    found = token_counts.count_tokens(df, PATH, **options)
+    return values(found, "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 700, "overlap": 60}, {"chunk": 64, "overlap": 64}])
+def test_whole_table(real_docs, library, sizes):
+    """Every count is the library's, with few chunks and with very many."""
+    docs, rows = real_docs
+    rows = [(d, t) for d, t, _ in rows]
+    if sizes:
+        docs, rows = docs.filter("doc_id < 250"), [r for r in rows if r[0] < 250]
+    assert counted(docs, **sizes) == expected(library, rows)
+
+
+def test_random_texts_in_tiny_chunks(spark, library):
+    rng = random.Random(5)
+    letters = "ab the's  \n\t éüß中文😀▁0123!?\x00\U0001f9ff"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    texts += ["".join(rng.choice("aabt heing ") for _ in range(rng.randint(1, 400))) for _ in range(200)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert counted(df, chunk=24, overlap=8) == expected(library, rows)
+
+
+def test_overlap_widens_where_nothing_aligns(spark, library, monkeypatch):
+    """Runs of one letter are merged from their start, so chunks of them are shifted."""
+    rows = [(1, "x" + "a" * 5000), (2, "=" * 3001), (3, "中" * 4000 + "a" * 4000), (4, " " * 3000 + "b")]
+    rounds = []
+    cut = token_counts._cut
+    monkeypatch.setattr(token_counts, "_cut", lambda p, c, o: rounds.append((c, o)) or cut(p, c, o))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert counted(df, chunk=97, overlap=5) == expected(library, rows)
+    assert len(rounds) > 2 and rounds[:2] == [(97, 5), (97, 20)]
+
+
+def test_one_document_goes_to_many_tasks(spark, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "GROUP_BYTES", 1 << 16)
+    text = " ".join(f"word{i % 997} and {i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert counted(df) == expected(library, [(1, text)])
+
+
+def test_odd_rows(odd_docs, no_docs, library):
+    assert counted(odd_docs) == expected(library, [r[:2] for r in ODD])
+    assert counted(odd_docs, chunk=50, overlap=10, limit=3) == expected(library, [r[:2] for r in ODD], 3)
+    assert counted(no_docs) == []
+
+
+def test_models_that_change_texts_are_not_cut(spark, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "may_be_cut", lambda path: False)
+    rows = [(1, "some words " * 500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert counted(df, chunk=20, overlap=10) == expected(library, rows)
+
+
+def test_bad_overlap(no_docs):
+    with pytest.raises(ValueError, match="overlap"):
+        token_counts.count_tokens(no_docs, PATH, chunk=10, overlap=11)

@@ -52,16 +52,17 @@ def without(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     return with_rows(df, name).join(dropped, name, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and there after lost executors."""
+def keep(df: DataFrame, name: str, layout: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and there after lost executors.
+    ``layout`` names columns that become folders, ``options`` those of the file format."""
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).partitionBy(*layout).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files below a table of :func:`keep` that nothing reads any more."""
+    """Delete the files of a table of :func:`keep` that nothing reads any more."""
     spark = df.sparkSession
     jvm = spark._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:

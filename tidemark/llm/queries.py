@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     bpe,
+    centroids,
+    divergence,
     embed_dups,
     exact_dups,
     lang_id,
@@ -21,6 +23,7 @@ from tidemark.llm import (
     pii,
     quality,
     secret_scan,
+    token_counts,
     warc,
 )
 
@@ -114,6 +117,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, width=64, scale=256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -127,9 +144,48 @@ QUERIES: dict[str, Query] = {
         op8_bpe_round_trip,
         op9_language_id,
         op10_quality,
+        op11_token_counts,
+        op12_centroid_clustering,
+        op13_source_divergence,
     )
 }
 
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """The plain algorithm: every vector against every centroid, round after round."""
+    gap = "CAST(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS BIGINT)"
+    steps = []
+    for j in range(rounds + 1):
+        steps.append(f"""
+        near{j} AS MATERIALIZED (
+            SELECT r, c, gap FROM (
+                SELECT k.r, c.c, {gap} AS gap, row_number() OVER (PARTITION BY k.r ORDER BY {gap}, c.c) AS n
+                FROM k, cents{j} c)
+            WHERE n = 1)""")
+        if j < rounds:
+            steps.append(f"""
+        cents{j + 1} AS MATERIALIZED (
+            SELECT c, coalesce(m.v, o.v) AS v FROM cents{j} o LEFT JOIN (
+                SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+                    SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+                    FROM near{j} JOIN parts USING (r) GROUP BY c, i)
+                GROUP BY c) m USING (c))""")
+    return f"""
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM k),
+        cents0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+                SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM k ORDER BY h, v LIMIT {k})),
+        {",".join(steps)}
+        SELECT k.vec_id, CAST(n.c AS INTEGER) AS cluster, n.gap AS distance,
+            CAST(sum(n.gap) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(n.gap) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM near{rounds} n JOIN k USING (r) JOIN cents{rounds} c ON c.c = n.c"""
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -174,4 +230,42 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
             doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
         FROM d WINDOW g AS (PARTITION BY h)""",
+    "op12_centroid_clustering": _clusters_sql(),
+    "op13_source_divergence": r"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        t AS MATERIALIZED (SELECT r, lang, source, unnest(terms) AS term FROM d),
+        kept AS MATERIALIZED (
+            SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        langs AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+        counts AS MATERIALIZED (
+            SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        totals AS (
+            SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM groups g LEFT JOIN counts c USING (lang, source)
+            GROUP BY ALL),
+        p AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.terms) AS HUGEINT) AS p
+            FROM totals g JOIN langs l USING (lang) JOIN kept k USING (lang)
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (
+            SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (n + 1) // (total + terms) AS HUGEINT) AS q
+            FROM kept JOIN langs USING (lang)),
+        gaps AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(g.value, 0) AS BIGINT) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN gaps g ON g.lang = a.lang AND g.source = a.source AND g.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT)
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+        WHERE part = 'pair' OR rank <= 200""",
 }
