@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import ROW, clean_text, keep, remove, slices, with_rows
@@ -139,8 +139,20 @@ def _encode(path: str, chunk: int, overlap: int) -> Callable:
     return work
 
 
-def _place(token: Column) -> Column:
-    return F.struct(token["b"].alias("b"), token["e"].alias("e"), token["id"].alias("id"))
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pair of neighbours the tokens that do not count: those of the first chunk after the
+    last common token, and those of the second up to it. Null where there is none."""
+    for batch in slices(batches):
+        found = []
+        columns = (batch.column(c).to_pylist() for c in ("n_before", "tail", "head"))
+        for n, tail, head in zip(*columns):
+            place = {(t["b"], t["e"], t["id"]): t["at"] for t in head}
+            common = [(t["b"], t["at"], place[k]) for t in tail if (k := (t["b"], t["e"], t["id"])) in place]
+            last = max(common, default=None)
+            found.append(None if last is None else n - last[1] + last[2])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_row"), pa.array(found, pa.int64())], names=["_row", "twice"]
+        )
 
 
 def _splice(coded: DataFrame) -> DataFrame:
@@ -148,16 +160,7 @@ def _splice(coded: DataFrame) -> DataFrame:
     common. Neighbours meet by row and number, so the chunks of one document spread."""
     before = coded.select("_row", (F.col("part") + 1).alias("part"), "tail", F.col("n").alias("n_before"))
     pairs = coded.select("_row", "part", "head").join(before, ["_row", "part"])
-    common = F.array_max(F.array_intersect(F.transform("tail", _place), F.transform("head", _place)))
-
-    def number(column: str) -> Column:
-        return F.get(F.filter(column, lambda t: _place(t) == F.col("common")), F.lit(0))["at"]
-
-    lost = pairs.withColumn("common", common).select(
-        "_row",
-        # tokens of the first chunk after the common one, and of the second up to it
-        (F.col("n_before") - number("tail") + number("head")).alias("twice"),
-    )
+    lost = pairs.select("_row", "n_before", "tail", "head").mapInArrow(_twice, f"_row {ROW}, twice bigint")
     sums = coded.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sum("n").alias("n")
     )
