@@ -47,11 +47,11 @@ def expected(rows, least_docs=3, top=200):
 def test_terms():
     text = "The CAT's Straße_42 naïve-É \x00\x7f日本 İ"
     wanted = ["the", "cat", "s", "straße", "naïve", "É", "日本", "İ"]
-    assert [t.decode() for t in divergence.terms_of(text, "x")] == [f"x\0{t}" for t in wanted]
+    assert [t.decode() for t in divergence.terms_of(text)] == wanted
     assert divergence.terms_of(" 12 ") == []
 
 
-@pytest.mark.parametrize("vocabulary", [1_000_000, 9_000])
+@pytest.mark.parametrize("vocabulary", [1_000_000, 3_000])
 def test_whole_table(spark, monkeypatch, vocabulary):
     """In one vocabulary, and in blocks of them."""
     monkeypatch.setattr(divergence, "VOCABULARY", vocabulary)

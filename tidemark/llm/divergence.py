@@ -4,8 +4,9 @@
 into an exact sparse vector of counts (its limit on terms is the largest integer, so it never
 cuts). A term is written behind its language, so one fit holds a vocabulary of its own for
 each. Fits are bounded all the same, as a vocabulary passes through the driver: terms are
-dealt by hash into as many blocks as keep each below ``VOCABULARY`` terms, and each block has
-its fit, over a table of the terms of its block.
+dealt by hash into as many blocks as keep each near ``VOCABULARY`` terms, and each block has
+its fit, over a table of the terms of its block. How many are needed is told by a sample of
+the terms; results do not depend on it.
 
 The vectors are summed by source without ever being dense: tasks add up the entries of a
 batch, and Spark adds those. From these sums everything else follows. A term that neither of
@@ -17,6 +18,7 @@ both have. All arithmetic is in integers and exact decimals.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import keep, remove, slices
 
-#: Most terms of one vocabulary (before rare ones are left out), as estimated by a sketch.
+#: Kept terms of one vocabulary, about.
 VOCABULARY = 1_000_000
+#: One in so many terms is looked at to tell how many are kept.
+SAMPLED = 64
 #: The largest integer.
 NO_LIMIT = (1 << 31) - 1
 UNIT = 1_000_000_000
@@ -38,21 +42,27 @@ TOP = 200
 #: Tasks that may share the documents of a block when they are dealt.
 SHARES = 64
 
-#: Stands between a language and a term; terms never hold it.
-BREAK = "\0"
+#: Stands between a language (in hexadecimal digits) and a term; terms never hold it.
+BREAK = "."
 #: Everything that is no letter of a term becomes a space, A-Z become a-z.
 LETTERS = bytes(
     b if b > 0x7F or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
-#: No byte of UTF-8.
-CUT = b"\xff"
 
 
-def terms_of(text: str, lang: str = "") -> list[bytes]:
-    """The terms of a text, each behind its language."""
-    own = text.encode("utf-8", "replace").translate(LETTERS).split()
-    head = CUT + (lang + BREAK).encode("utf-8", "replace")
-    return (head + head.join(own)).split(CUT)[1:] if own else []
+def terms_of(text: str) -> list[bytes]:
+    """The terms of a text, in order."""
+    return text.encode("utf-8", "replace").translate(LETTERS).split()
+
+
+def _head(lang: str) -> bytes:
+    return lang.encode("utf-8", "replace").hex().encode() + BREAK.encode()
+
+
+def _words(lang: str, terms: list[bytes]) -> str:
+    """The terms of a document as one text, each behind its language."""
+    head = _head(lang)
+    return (head + (b" " + head).join(terms)).decode("utf-8", "replace") if terms else ""
 
 
 def _empty(name: str) -> Column:
@@ -65,44 +75,54 @@ def _texts(df: DataFrame, lang_col: str, source_col: str, text_col: str) -> Data
     )
 
 
-def _blocks(texts: DataFrame) -> int:
-    """Into how many vocabularies the terms go; the only use of this estimate."""
+def _blocks(texts: DataFrame, least_docs: int) -> int:
+    """Into how many vocabularies the terms go, from the terms of one hash value in
+    ``SAMPLED``; nothing else depends on it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            found = set().union(*(terms_of(text, lang) for lang, text in pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+            found: Counter[bytes] = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                head = _head(lang)
+                found.update([head + t for t in set(terms_of(text)) if not zlib.crc32(t) % SAMPLED])
+            columns = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
 
-    terms = texts.select("lang", "text").mapInArrow(work, "term binary")
-    return 1 + terms.agg(F.approx_count_distinct("term").alias("n")).first().n // VOCABULARY
+    terms = texts.select("lang", "text").mapInArrow(work, "term binary, docs bigint")
+    kept = terms.groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).count()
+    return 1 + kept * SAMPLED // VOCABULARY
 
 
 def _terms(texts: DataFrame, blocks: int) -> DataFrame:
-    """``block, source, terms``: the terms of every document, in order, a row per block."""
+    """``block, source, words``: the terms of every document, in order, a row per block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
+            block_of: dict[bytes, int] = {}
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = terms_of(text, lang)
+                found = terms_of(text)
                 if blocks == 1:
-                    rows.append((0, source, found))
+                    rows.append((0, source, _words(lang, found)))
                     continue
                 dealt: dict[int, list[bytes]] = {}
                 for term in found:
-                    dealt.setdefault(zlib.crc32(term) % blocks, []).append(term)
-                rows += [(block, source, own) for block, own in dealt.items()]
-            kinds = [pa.int32(), pa.string(), pa.list_(pa.string())]
+                    block = block_of.get(term)
+                    if block is None:
+                        block = block_of[term] = (zlib.crc32(term) // SAMPLED) % blocks
+                    dealt.setdefault(block, []).append(term)
+                rows += [(block, source, _words(lang, own)) for block, own in dealt.items()]
+            kinds = [pa.int32(), pa.string(), pa.string()]
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["block", "source", "terms"]
+                [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["block", "source", "words"]
             )
 
-    found = texts.select("lang", "source", "text").mapInArrow(work, "block int, source string, terms array<string>")
+    found = texts.select("lang", "source", "text").mapInArrow(work, "block int, source string, words string")
+    found = found.filter("words <> ''")
     if blocks > 1:
         # few files per block, and no block in one task
-        found = found.repartition("block", F.pmod(F.xxhash64("terms"), F.lit(SHARES)))
+        found = found.repartition("block", F.pmod(F.xxhash64("words"), F.lit(SHARES)))
     return found
 
 
@@ -117,13 +137,22 @@ def _entries(vectors: DataFrame) -> DataFrame:
             sizes = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             place = at.flatten().to_numpy().astype(np.int64)
             owner = np.repeat(sources.indices.to_numpy().astype(np.int64), sizes)
-            count = values.flatten().to_numpy().astype(np.int64)
-            keys, group = np.unique((owner << 32) | place, return_inverse=True)
-            sums = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(sums, group, count)
-            names = sources.dictionary.take(pa.array(keys >> 32))
+            width = int(place.max(initial=0)) + 1
+            keys, count = owner * width + place, values.flatten().to_numpy()
+            if len(sources.dictionary) * width <= 4 * len(keys):
+                sums = np.bincount(keys, weights=count)
+                keys = np.flatnonzero(sums)
+                sums = sums[keys]
+            else:
+                keys, group = np.unique(keys, return_inverse=True)
+                sums = np.bincount(group, weights=count)
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["source", "at", "n"]
+                [
+                    sources.dictionary.take(pa.array(keys // width)),
+                    pa.array((keys % width).astype(np.int32)),
+                    pa.array(sums.astype(np.int64)),
+                ],
+                names=["source", "at", "n"],
             )
 
     parts = vectors.select("source", "v").mapInArrow(work, "source string, at int, n bigint")
@@ -133,18 +162,19 @@ def _entries(vectors: DataFrame) -> DataFrame:
 def _block_counts(rows: DataFrame, least_docs: int) -> DataFrame:
     """``lang, source, term, n`` for the kept terms of one block, where ``n`` is not 0."""
     spark = rows.sparkSession
+    docs = rows.select("source", F.split("words", " ").alias("terms"))
     # so many documents of nothing, so that a vocabulary is never empty
     none = spark.range(least_docs).select(F.array(F.lit(BREAK)).alias("terms"))
     learn = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least_docs), vocabSize=NO_LIMIT)
-    model = learn.fit(rows.select("terms").unionByName(none))
+    model = learn.fit(docs.select("terms").unionByName(none))
     words = pa.array(model.vocabulary, pa.string())
     table = pa.table({"at": pa.array(np.arange(len(words), dtype=np.int32)), "word": words})
     vocabulary = spark.createDataFrame(table).select(
         "at",
-        F.regexp_extract("word", f"(?s)^(.*){BREAK}", 1).alias("lang"),
+        F.decode(F.unhex(F.substring_index("word", BREAK, 1)), "UTF-8").alias("lang"),
         F.substring_index("word", BREAK, -1).alias("term"),
     )
-    sums = _entries(model.transform(rows))
+    sums = _entries(model.transform(docs))
     return sums.join(vocabulary.filter("term <> ''"), "at").select("lang", "source", "term", "n")
 
 
@@ -163,11 +193,11 @@ def term_counts(
     table without such terms, or without rows, gives an empty result.
     """
     texts = _texts(df, lang_col, source_col, text_col)
-    blocks = _blocks(texts)
+    blocks = _blocks(texts, least_docs)
     terms = _terms(texts, blocks)
     rows = keep(terms, "terms", layout=("block",), compression="zstd")
     found = [
-        keep(_block_counts(rows.filter(F.col("block") == block).select("source", "terms"), least_docs), "term_counts")
+        keep(_block_counts(rows.filter(F.col("block") == block).select("source", "words"), least_docs), "term_counts")
         for block in range(blocks)
     ]
     remove(rows)
