@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,8 @@ GROUP_BYTES = 4 << 20
 IDENTITY = "identity"
 USER_DEFINED = 4
 
-TOKEN = "struct<b: bigint, e: bigint, id: int, at: bigint>"
 PARTS = "doc_id bigint, _row {row}, n_bytes bigint, n_tokens bigint, part bigint, start bigint, text string"
-CODED = "doc_id bigint, _row {row}, n_bytes bigint, part bigint, n bigint, head array<{token}>, tail array<{token}>"
-TOKENS = pa.list_(
-    pa.struct([("b", pa.int64()), ("e", pa.int64()), ("id", pa.int32()), ("at", pa.int64())])
-)
+CODED = "doc_id bigint, _row {row}, n_bytes bigint, part bigint, n bigint, head array<bigint>, tail array<bigint>"
 
 
 @lru_cache(maxsize=2)
@@ -71,13 +68,15 @@ def may_be_cut(path: str) -> bool:
     )
 
 
-def tokens(path: str, text: str, start: int = 0) -> list[tuple[int, int, int, int]]:
-    """``(begin, end, id, number)`` of each token; ``start`` is where the text begins. Of a
+def tokens(path: str, text: str, start: int = 0) -> np.ndarray:
+    """Rows ``begin, end, id, number`` of the tokens; ``start`` is where the text begins. Of a
     letter that is spelled in bytes, the last byte has the letter's place, the others none."""
     found = model(path).encode(text, return_type="offset_mapping")
-    return [
-        (start + b, start + e, i, at) for at, (i, (b, e)) in enumerate(zip(found["ids"], found["offsets"]))
-    ]
+    out = np.empty((len(found["ids"]), 4), dtype=np.int64)
+    out[:, :2] = np.array(found["offsets"], dtype=np.int64).reshape(-1, 2) + start
+    out[:, 2] = found["ids"]
+    out[:, 3] = np.arange(len(out))
+    return out
 
 
 def _cut(path: str, chunk: int, overlap: int) -> Callable:
@@ -116,6 +115,12 @@ def _cut(path: str, chunk: int, overlap: int) -> Callable:
     return work
 
 
+def _flat(tables: list[np.ndarray]) -> pa.Array:
+    """Rows of tokens as lists of numbers, one after the other."""
+    sizes = np.cumsum([0, *(t.size for t in tables)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(tables).ravel()))
+
+
 def _encode(path: str, chunk: int, overlap: int) -> Callable:
     """The number of tokens of each chunk, and its tokens in what it shares with the one
     before (``head``) and the one after (``tail``)."""
@@ -125,14 +130,13 @@ def _encode(path: str, chunk: int, overlap: int) -> Callable:
             numbers, heads, tails = [], [], []
             for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist()):
                 found = tokens(path, text, start)
-                whole = [t for t in found if t[0] < t[1]]
                 numbers.append(len(found))
-                heads.append([t for t in whole if t[1] <= start + overlap])
-                tails.append([t for t in whole if t[0] >= start + chunk])
+                whole = found[found[:, 0] < found[:, 1]]
+                heads.append(whole[whole[:, 1] <= start + overlap])
+                tails.append(whole[whole[:, 0] >= start + chunk])
             kept = [batch.column(c) for c in ("doc_id", "_row", "n_bytes", "part")]
-            shared = [pa.array([[dict(zip(("b", "e", "id", "at"), t)) for t in c] for c in cs], TOKENS) for cs in (heads, tails)]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(numbers, pa.int64()), *shared],
+                [*kept, pa.array(numbers, pa.int64()), _flat(heads), _flat(tails)],
                 names=["doc_id", "_row", "n_bytes", "part", "n", "head", "tail"],
             )
 
@@ -142,14 +146,19 @@ def _encode(path: str, chunk: int, overlap: int) -> Callable:
 def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per pair of neighbours the tokens that do not count: those of the first chunk after the
     last common token, and those of the second up to it. Null where there is none."""
+
+    def tables(column: pa.Array) -> list[np.ndarray]:
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        return [t.reshape(-1, 4) for t in np.split(column.flatten().to_numpy(), ends)]
+
     for batch in slices(batches):
         found = []
-        columns = (batch.column(c).to_pylist() for c in ("n_before", "tail", "head"))
-        for n, tail, head in zip(*columns):
-            place = {(t["b"], t["e"], t["id"]): t["at"] for t in head}
-            common = [(t["b"], t["at"], place[k]) for t in tail if (k := (t["b"], t["e"], t["id"])) in place]
-            last = max(common, default=None)
-            found.append(None if last is None else n - last[1] + last[2])
+        before = batch.column("n_before").to_pylist()
+        for n, tail, head in zip(before, tables(batch.column("tail")), tables(batch.column("head"))):
+            # tokens of a text begin at different places
+            _, i, j = np.intersect1d(tail[:, 0], head[:, 0], assume_unique=True, return_indices=True)
+            same = np.flatnonzero((tail[i, 1:3] == head[j, 1:3]).all(axis=1))
+            found.append(int(n - tail[i[same[-1]], 3] + head[j[same[-1]], 3]) if len(same) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("_row"), pa.array(found, pa.int64())], names=["_row", "twice"]
         )
@@ -205,9 +214,7 @@ def count_tokens(
         long = parts.filter("part IS NOT NULL")
         if long.isEmpty():
             break
-        own = CODED.format(row=ROW, token=TOKEN)
-        # the table of this round, which later rounds do not read
-        coded = keep(long.mapInArrow(_encode(path, chunk, overlap), own), "token_parts")
+        coded = keep(long.mapInArrow(_encode(path, chunk, overlap), CODED.format(row=ROW)), "token_parts")
         spliced = keep(_splice(coded), "token_sums")
         remove(coded)
         done.append(spliced.filter("n_tokens IS NOT NULL").select("doc_id", "n_bytes", "n_tokens"))
