@@ -51,10 +51,11 @@ def test_terms():
     assert divergence.terms_of(" 12 ") == []
 
 
-@pytest.mark.parametrize("vocabulary", [1_000_000, 3_000])
+@pytest.mark.parametrize("vocabulary", [150_000, 3_000])
 def test_whole_table(spark, monkeypatch, vocabulary):
     """In one vocabulary, and in blocks of them."""
     monkeypatch.setattr(divergence, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(divergence, "COMPARED", vocabulary)
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     rows = [tuple(r) for r in docs.select("text", "lang", "source").collect()]
     assert values(divergence.diverge(docs), *COLUMNS) == expected(rows)

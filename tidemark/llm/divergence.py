@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import keep, remove, slices
 
 #: Kept terms of one vocabulary, about.
-VOCABULARY = 1_000_000
+VOCABULARY = 150_000
+#: Rows of shares that one task compares, about, and pairs of them at a time.
+COMPARED = 300_000
+PAIRS = 1 << 20
 #: One in so many terms is looked at to tell how many are kept.
 SAMPLED = 64
 #: The largest integer.
@@ -281,6 +284,49 @@ def _distinctive(words: DataFrame, of_lang: DataFrame, shares: DataFrame) -> Dat
     )
 
 
+def _shared(shares: pa.Table) -> pa.Table:
+    """``lang, source, item, s``: over the terms that two sources both have, the sum of
+    ``f(p, q) - f(p, 0) - f(0, q) + f(0, 0)``, for every two sources of some terms."""
+
+    def codes(column: str) -> tuple[np.ndarray, pa.Array]:
+        encoded = shares[column].combine_chunks().dictionary_encode()
+        return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+
+    def gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x - y) ** 2 // y
+
+    (lang, langs), (term, terms), (source, sources) = codes("lang"), codes("term"), codes("source")
+    order = np.argsort(lang * len(terms) + term, kind="stable")
+    lang, term, source = lang[order], term[order], source[order]
+    p, none = (shares[c].to_numpy()[order] for c in ("p", "none"))
+    first = np.flatnonzero(np.diff(lang * len(terms) + term, prepend=-1))
+    sizes = np.diff(np.append(first, len(order)))
+    start, width = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    out: dict[int, int] = {}
+    ends = np.cumsum(width)
+    begin = 0
+    while begin < len(order):
+        # so many rows that their pairs are not too many at a time
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, side="right")))
+        own = slice(begin, stop)
+        i = np.repeat(np.arange(begin, stop), width[own])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(width[own]) - width[own], width[own]) + start[i]
+        differ = source[i] != source[j]
+        i, j = i[differ], j[differ]
+        value = gap(p[i], p[j]) - gap(p[i], none[j]) - gap(none[i], p[j]) + gap(none[i], none[j])
+        pair, at = np.unique((lang[i] * len(sources) + source[i]) * len(sources) + source[j], return_inverse=True)
+        sums = np.zeros(len(pair), dtype=np.int64)
+        np.add.at(sums, at, value)
+        for k, v in zip(pair.tolist(), sums.tolist()):
+            out[k] = out.get(k, 0) + v
+        begin = stop
+    found = np.array(list(out), dtype=np.int64)
+    rest, b = np.divmod(found, max(1, len(sources)))
+    of, a = np.divmod(rest, max(1, len(sources)))
+    columns = [langs.take(pa.array(of)), sources.take(pa.array(a)), sources.take(pa.array(b))]
+    return pa.table([*columns, pa.array(list(out.values()), pa.int64())], names=["lang", "source", "item", "s"])
+
+
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
     """The sum of gaps over all kept terms, for every two sources of a language.
 
@@ -302,13 +348,14 @@ def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
         groups.select("lang", "source", F.col("none").alias("p0")), "lang"
     ).filter("source <> item")
     other = mirror.groupBy("lang", "source", "item").agg(F.sum(F.col("m") * _gap("p0", "q")).alias("s"))
-    right = shares.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none").alias("q0"))
+    # all sources of a term lie in one group
+    n_groups = 1 + shares.count() // COMPARED
+    group = F.pmod(F.xxhash64("lang", "term"), F.lit(n_groups)).alias("group")
     both = (
-        shares.select("lang", "term", "source", "p", F.col("none").alias("p0"))
-        .join(right, ["lang", "term"])
-        .filter("source <> item")
+        shares.groupBy(group)
+        .applyInArrow(_shared, "lang string, source string, item string, s bigint")
         .groupBy("lang", "source", "item")
-        .agg(F.sum(_gap("p", "q") - _gap("p", "q0") - _gap("p0", "q") + _gap("p0", "q0")).alias("s"))
+        .agg(F.sum("s").alias("s"))
     )
     base = pairs.select("lang", "source", "item", (-F.col("terms") * _gap("none", "q0")).alias("s"))
     sums = base.fillna({"s": 0}).unionByName(own).unionByName(other).unionByName(both)
