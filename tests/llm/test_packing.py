@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tidemark.llm import packing
 from tokenizers import Tokenizer
@@ -68,13 +70,39 @@ def test_odd_rows(odd_docs, no_docs, library):
     assert packing.pack(no_docs, PATH).count() == 0
 
 
-def test_words_may_be_cut_at_spaces(library, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
-    texts = ["a b", " a\n\nb ", "A\tB's  c", "é e ́x", "\x1cq\x85r s", "x<|endoftext|> y", "ΑΣ Σ", "１２ 3"]
-    own = packing.WordIds(PATH)
+@pytest.mark.parametrize("remembered", [None, 0, 600])
+def test_words_may_be_cut_at_spaces(library, remembered):
+    rng = random.Random(4)
+    letters = "ab the's ll're  \n\t éüß中文😀0123!?.,'\"<|>-_= \x1c\x85́​ΑΣ１"
+    texts = ["a b", " a\n\nb ", "A\tB's  c", "é e ́x", "\x1cq\x85r s", "x<|endoftext|> y", "ΑΣ Σ", "１２ 3", "", " "]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(3000)]
+    wanted = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    own = packing.WordIds(PATH, remembered)
     for _ in range(2):
-        found = [ids.tolist() for ids in own.encode(texts)]
-        assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        found = [ids.tolist() for i in range(0, len(texts), 700) for ids in own.encode(texts[i : i + 700])]
+        assert found == wanted
+        assert remembered is None or own.held() <= remembered + 64
+
+
+def test_long_words_are_not_remembered(library):
+    """5,000 words of 4,000 letters: a corpus without spaces."""
+    own = packing.WordIds(PATH, 1 << 20)
+    for start in range(0, 5000, 50):
+        texts = ["".join(chr(0x4E00 + (i * 7 + start + k) % 9000) for i in range(4000)) + " ok" for k in range(50)]
+        found = own.encode(texts)
+        if not start % 1000:
+            assert found[0].tolist() == library.encode(texts[0], add_special_tokens=False).ids
+    assert own.words.to_pylist() == ["ok"] and own.held() < 200
+
+
+def test_slices_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 10)
+    monkeypatch.setattr(packing, "SLICE_ROWS", 3)
+    texts = ["x" * n for n in (4, 6, 1, 30, 0, 0, 0, 0, 11, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [b.column(1).to_pylist() for b in packing._text_slices(iter([batch, batch.slice(0, 0)]))]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or (sum(map(len, p)) <= 10 and len(p) <= 3) for p in parts)
 
 
 def test_best_fit_and_fullest():

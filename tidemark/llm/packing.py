@@ -15,31 +15,42 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import clean_text, keep, slices
+from tidemark.llm.frames import clean_text, keep
 
 WINDOW = 4096
 OPEN = 32
 FAN_IN = 64
 END = 2
-#: Words whose ids a Python worker remembers, at about 400 bytes each. Others are encoded again
-#: when they return, so fewer cost time and nothing else.
-REMEMBERED = 500_000
+#: Bytes of words and ids that a Python worker remembers from task to task. Beyond them it begins
+#: anew, which costs time and nothing else.
+REMEMBERED = 24 << 20
+#: What a word takes besides its letters and ids: its ends in two arrays.
+WORD_BYTES = 12
+#: Longer words are not remembered.
+LONGEST = 64
 #: Unseen words that are encoded together.
 TOGETHER = 2000
+#: Rows and bytes of text that are cut into words together.
+SLICE_ROWS = 4096
+SLICE_BYTES = 4 << 20
 
 
 class WordIds:
     """Ids by a ``tokenizers`` file whose words end at spaces, remembered by word.
 
     The tokenizer drops white space and merges inside words only, so a text may be cut at
-    its spaces and line ends; what else counts as white space is left to the tokenizer.
+    its spaces and line ends; what else counts as white space is left to the tokenizer. Arrow
+    cuts the texts of a slice and numbers their words; each different word is looked up once,
+    and the ids of the texts are gathered from one array by the places of their words.
     """
 
     def __init__(self, path: str, remembered: int | None = None):
@@ -52,59 +63,110 @@ class WordIds:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[0] if self.special else None
-        self.seen: dict[str, bytes] = {}
+        self.forget()
 
-    def _alone(self, words: list[str]) -> list[bytes]:
+    def forget(self) -> None:
+        """Let go of all words."""
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        sizes = np.array([len(e.ids) for e in found], dtype=np.int64)
+        return np.concatenate([np.array(e.ids, dtype="<u4") for e in found]), sizes
 
-    def _new(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids of unseen words. A special token always ends what stands before it, so
-        one between words lets many be encoded as one text; words that hold one are not."""
+    def _new(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Unseen words in some order, their ids and how many each has. A special token always
+        ends what stands before it, so one between words lets many be encoded as one text; words
+        that hold one are not."""
         plain, odd = [], []
         for word in words:
             (odd if self.mark is None or any(s in word for s in self.special) else plain).append(word)
-        yield from zip(odd, self._alone(odd))
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
         mark = self.tokenizer.token_to_id(self.mark) if plain else None
         for start in range(0, len(plain), TOGETHER):
             own = plain[start : start + TOGETHER]
             (found,) = self.tokenizer.encode_batch_fast([self.mark.join(own)], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(own, ends):
-                yield word, raw[4 * at : 4 * end]
-                at = end + 1
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+            part = np.array(found.ids, dtype="<u4")
+            marks = np.flatnonzero(part == mark)
+            sizes.append(np.diff(np.concatenate([[-1], marks, [len(part)]])) - 1)
+            ids.append(np.delete(part, marks))
+        if odd:
+            more, many = self._alone(odd)
+            ids.append(more)
+            sizes.append(many)
+        return plain + odd, np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words: one array, and where each word's begin and end in it."""
+        number = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(number)
+        order, ids, sizes = self._new(words.filter(missing).to_pylist())
+        new = pa.array(order, pa.string())
+        pool = np.concatenate([self.ids, ids])
+        stops = np.concatenate([self.ends, len(self.ids) + np.cumsum(sizes)])
+        if len(order):
+            later = pc.add(pc.index_in(words, value_set=new), len(self.words))
+            number = pc.if_else(missing, later, number)
+        number = number.to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, stops_of = stops[number], stops[number + 1]
+        self._remember(new, ids, sizes)
+        return pool, starts, stops_of
+
+    def held(self) -> int:
+        """Bytes that the memory takes."""
+        return self.words.nbytes + self.ids.nbytes + self.ends.nbytes
+
+    def _remember(self, new: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the words of usual length. A worker that has no more room for the new ones begins
+        anew with them, or, where they alone are too many, keeps what fits."""
+        if not len(new):
+            return
+        letters = pc.binary_length(new).to_numpy(zero_copy_only=False)
+        cost = letters + WORD_BYTES + 4 * sizes
+        fits = letters <= LONGEST
+        if self.held() + int(cost[fits].sum()) > self.remembered:
+            self.forget()
+            fits &= np.cumsum(np.where(fits, cost, 0)) <= self.remembered
+        self.words = pa.concat_arrays([self.words, new.filter(pa.array(fits))])
+        self.ids = np.concatenate([self.ids, ids[np.repeat(fits, sizes)]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[fits])])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list(set().union(*cut) - self.seen.keys())
-        new = dict(self._new(missing))
-        room = self.remembered - len(self.seen)
-        if len(new) <= room:
-            self.seen.update(new)
-            get = self.seen.__getitem__
-        else:
-            for word in missing[: max(0, room)]:
-                self.seen[word] = new[word]
-            seen = self.seen
-
-            def get(word):
-                ids = new.get(word)
-                return seen[word] if ids is None else ids
-
-        return [np.frombuffer(b"".join(map(get, words)), dtype="<u4") for words in cut]
-
-
-_tokenizers: dict[tuple[str, int | None], WordIds] = {}
-
-
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        pool, starts, stops = self._places(words.dictionary)
+        index = words.indices.to_numpy()
+        sizes = (stops - starts)[index]
+        after = np.cumsum(sizes)
+        if not len(after) or not after[-1]:
+            return [np.zeros(0, dtype="<u4") for _ in range(len(texts))]
+        # each word's ids, one after the other: counting on from where they are in the pool
+        ids = pool[np.repeat(starts[index] - (after - sizes), sizes) + np.arange(after[-1])]
+        ends = np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))
+        return np.split(ids, np.concatenate([[0], after])[ends[:-1]])
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded rows and bytes of text (column 1), of one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+            stop = min(max(stop, start + 1), start + SLICE_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+@lru_cache(maxsize=2)
 def word_ids(path: str, remembered: int | None = None) -> WordIds:
-    key = (path, remembered)
-    if key not in _tokenizers:
-        _tokenizers[key] = WordIds(path, remembered)
-    return _tokenizers[key]
+    """One tokenizer per Python worker, with the words it has seen."""
+    return WordIds(path, remembered)
 
 
 class _Windows:
@@ -239,7 +301,7 @@ def pack(
     text is one token. ``start`` counts the ids of the document before the piece, ``offset``
     those of the sequence, ``doc_tokens`` all of the document's. ``value`` is what the given
     function makes of the ids of the piece: the ids themselves by default. ``remembered``
-    bounds the words whose ids a worker keeps (:data:`REMEMBERED`).
+    bounds the bytes of words and ids that a worker keeps (:data:`REMEMBERED`).
 
     Every row is packed, also when ids of documents repeat or are null (the pieces of such
     documents can then only be told apart by sequence and offset). Documents longer than a
@@ -252,11 +314,12 @@ def pack(
         tokenizer = word_ids(path, remembered)
         out = _Out(value, value_arrow, 0, TaskContext.get().partitionId())
         windows = _Windows(window, n_open, out.emit)
-        for batch in slices(batches):
+        for batch in _text_slices(batches):
             docs = batch.column(0).to_pylist()
-            for doc, ids in zip(docs, tokenizer.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(docs, tokenizer.encode(batch.column(1))):
                 windows.add((doc, 0, np.concatenate([ids, end]), len(ids) + 1))
             yield out.batch()
+        pa.default_memory_pool().release_unused()
         out.leave(windows.close())
         yield out.batch()
 
