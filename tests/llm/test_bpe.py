@@ -48,6 +48,26 @@ def test_odd_texts(library, monkeypatch):
         assert [b"".join(x[1] for x in r).decode() for r in found] == texts
 
 
+def test_long_words(library):
+    """Words without a break: random letters, runs, and digits of a key."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß中文字"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (513, 3000, 120_000)]
+    texts += ["a" * 5000, "ab" * 4001, "=" * 9000, "中" * 3000, "the" * 2000, "x" + "1" * 4000]
+    assert [[int(i) for s, _ in r for i in s.split(",")] for r in bpe.Encoder(PATH).encode(texts)] == wanted(library, texts)
+
+
+def test_memory_is_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 20)
+    encoder = bpe.Encoder(PATH)
+    for start in range(0, 3000, 30):
+        texts = ["".join(chr(0x4E00 + (i * 7 + start + k) % 9000) for i in range(300)) + f" w{start} ok" for k in range(30)]
+        found = encoder.encode(texts)
+        if not start % 900:
+            assert [int(i) for s, _ in found[0] for i in s.split(",")] == wanted(library, texts[:1])[0]
+    assert encoder.used <= 1 << 20 and max(map(len, encoder.seen)) <= bpe.LONGEST
+
+
 def test_every_token_is_whole():
     own = bpe.vocabulary(PATH)
     assert sum(not own.whole[i] for i in range(own.size) if i not in own.special.values()) == 0

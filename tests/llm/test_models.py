@@ -69,6 +69,149 @@ def test_known_only(odd_docs, language):
     assert values(kept, "doc_id") == values(odd_docs.filter("text rlike '[a-zé]'"), "doc_id")
 
 
+def test_settle_fills_and_rejects(spark, odd_docs, no_docs, language):
+    """The model decides: another one gives other languages, and other rows where they are named."""
+    rows = [(1, "the quick brown fox", None, 1), (2, "der schnelle braune fuchs und", " ", 2), (3, "the fox", "xx", 3), (4, "12", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _row int")
+    found = values(lang_id.settle(df, language), "doc_id", "lang", "_row")
+    assert [(i, lang) for i, lang, _ in found] == [(1, language.predict([rows[0][1]])[0][0]), (2, language.predict([rows[1][1]])[0][0]), (3, "xx")]
+    turned = lang_id.Model(lang_id.Votes(language.families.classes, -language.families.weights), language.within)
+    assert values(lang_id.settle(df, turned), "doc_id", "lang") != values(lang_id.settle(df, language), "doc_id", "lang")
+    only = values(lang_id.settle(df, language, languages=(found[0][1],)), "doc_id")
+    other = values(lang_id.settle(df, turned, languages=(found[0][1],)), "doc_id")
+    assert (1,) in only and only != other
+    nothing = lang_id.train(no_docs)
+    assert values(lang_id.settle(df, nothing), "doc_id", "lang") == [(1, None), (2, " "), (3, "xx")]
+    kept = lang_id.settle(odd_docs, language)
+    assert kept.columns == odd_docs.columns and values(kept, "doc_id") == values(lang_id.known_only(odd_docs, language), "doc_id")
+    assert lang_id.settle(no_docs, language).count() == 0
+
+
+def test_training_does_not_depend_on_partitions(spark, real_docs):
+    """Also where ids repeat with other texts and labels."""
+    docs, _ = real_docs
+    some = docs.filter("doc_id < 400").select("doc_id", "text", "lang")
+    moved = some.selectExpr("(doc_id * 7) % 400 AS doc_id", "text", "lang")
+    both = some.unionByName(moved)
+    one, two = (lang_id.train(both.repartition(n, "text")) for n in (3, 7))
+    assert np.array_equal(one.families.weights, two.families.weights)
+    assert all(np.array_equal(one.within[f].weights, two.within[f].weights) for f in one.within)
+
+
+def plain_features(text):
+    """Counts of letter groups by the letter, in a dictionary of places."""
+    letters = [32]
+    for c in text.lower():
+        code = ord(c)
+        code = 32 if code < 128 and not "a" <= c <= "z" else code
+        if code != 32 or letters[-1] != 32:
+            letters.append(code)
+    if letters[-1] != 32:
+        letters.append(32)
+    mask, counts = 2**64 - 1, {}
+    for i in range(len(letters)):
+        group = 0
+        for size, salt in ((1, 3), (2, 5), (3, 7)):
+            if i + size <= len(letters):
+                group = letters[i] if size == 1 else (group * 0x1F123BB5 + letters[i + size - 1]) & mask
+                place = ((group + salt) * 0x9E3779B97F4A7C15 & mask) >> 53
+                counts[place] = counts.get(place, 0) + 1
+    norm = sum(counts.values()) ** 0.5
+    return {k: n**0.5 / norm for k, n in counts.items()}
+
+
+def plain_chances(votes, x):
+    """Every pair of classes votes; softened, raised and scaled to one."""
+    n, k = len(votes.classes), 0
+    if n == 1:
+        return [1.0]
+    out = [0.0] * n
+    for a in range(n):
+        for b in range(a + 1, n):
+            w = votes.weights[k]
+            vote = 1 / (1 + np.exp(-4 * (sum(w[place] * v for place, v in x.items()) + w[-1])))
+            out[a] += vote
+            out[b] += 1 - vote
+            k += 1
+    out = [(v / (n - 1)) ** max(1, n - 1) for v in out]
+    return [v / sum(out) for v in out]
+
+
+def test_language_of_every_row_by_brute_force(real_docs, language):
+    docs, rows = real_docs
+    found = {r.doc_id: r for r in lang_id.identify(docs, language).collect()}
+    for doc, text, _ in rows:
+        text = text or ""
+        if not any(c.isalpha() for c in text):
+            assert (found[doc].lang_pred, found[doc].score) == ("und", 0.0)
+            continue
+        x = plain_features(text)
+        family = plain_chances(language.families, x)
+        f = max(range(len(family)), key=lambda i: family[i])
+        own = language.within[language.families.classes[f]]
+        chance = plain_chances(own, x)
+        k = max(range(len(chance)), key=lambda i: chance[i])
+        assert found[doc].lang_pred == own.classes[k]
+        assert abs(found[doc].score - family[f] * chance[k]) < 1e-9
+
+
+def plain_statistics(text):
+    """The statistics one by one, by loops over letters, words and lines."""
+    words = text.split()
+    if not words:
+        return [0.0] * 22
+    n, chars = len(words), len(text)
+    kinds = {w: words.count(w) if n < 200 else 0 for w in words}
+    if n >= 200:
+        for w in words:
+            kinds[w] += 1
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    pairs = {}
+    for pair in zip(words, words[1:]):
+        pairs[pair] = pairs.get(pair, 0) + 1
+    small = [c for c in text if ord(c) < 128]
+    table = {c: 0 for c in small}
+    for c in small:
+        table[c] += 1
+    upper, lower = sum("A" <= c <= "Z" for c in small), sum("a" <= c <= "z" for c in small)
+    runs, i = 0, 0
+    while i < chars:
+        j = i
+        while j < chars and text[j] == text[i]:
+            j += 1
+        if j - i >= 3 and not text[i].isspace():
+            runs += j - i
+        i = j
+    mean = sum(map(len, words)) / n
+    ends = sum(c in ".!?" for c in text)
+    return [
+        np.log(1 + n), upper / max(1, upper + lower), sum("0" <= c <= "9" for c in small) / chars,
+        sum(c in "|#$%&*<>{}[]\\^~=_@" for c in text) / chars, sum(c in "!?" for c in text) / chars,
+        sum(c == "|" for c in text) / n, (chars - len(small)) / chars, mean,
+        (sum((len(w) - mean) ** 2 for w in words) / n) ** 0.5, len(kinds) / n, max(kinds.values()) / n,
+        sum(c for c in pairs.values() if c > 1) / n, max(pairs.values(), default=0) / n,
+        1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), n / max(1, ends),
+        sum(w[0].isupper() for w in kinds) / len(kinds), sum(not w[-1].isalnum() for w in kinds) / len(kinds),
+        runs / chars, -sum(c / len(small) * np.log2(c / len(small)) for c in table.values()),
+        sum(len(w) <= 3 for w in kinds) / len(kinds), sum(c == "," for c in text) / n,
+    ]
+
+
+def test_quality_of_every_row_by_brute_force(real_docs, worth):
+    docs, rows = real_docs
+    found = {r.doc_id: r for r in quality.score(docs, worth).collect()}
+    for doc, text, _ in rows:
+        x = plain_statistics(text or "")
+        assert np.allclose(x, quality.statistics(text or ""))
+        x = quality.statistics(text or "")  # ranges are cut at values that rows have
+        total = 0.0
+        for i, value in enumerate(x):
+            total += worth.weights[i * quality.RANGES + sum(value > edge for edge in worth.edges[i])]
+        score = 1 / (1 + np.exp(-min(30, max(-30, (total - worth.border) / worth.scale))))
+        assert abs(found[doc].score - score) < 1e-9
+        assert found[doc].predicted == int(found[doc].score >= 0.5)
+
+
 def test_long_texts_are_read_whole():
     text = "abc " * 200_000
     assert np.allclose(lang_id.features(text), lang_id.features("abc " * 1000), atol=1e-2)

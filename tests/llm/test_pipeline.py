@@ -66,8 +66,28 @@ def test_unlabelled_documents_stay(spark, odd_docs, tmp_path):
         assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == {2, 6, 8, 9}
 
 
+def test_clashing_columns_pass_through_the_stages(spark, odd_docs):
+    table = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = keep(stage(spark, table, SF_DIR), name)
+        assert table.columns == odd_docs.columns
+    assert {r.doc_id for r in table.collect()} == {2, 6, 8, 9}
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert {r.doc_id for r in stage(spark, table, SF_DIR).collect()} == {2, 6, 8, 9}
+
+
+def test_tables_of_earlier_stages_are_deleted(spark, odd_docs, tmp_path):
+    odd_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    folder = os.path.dirname(os.path.dirname(pieces.inputFiles()[0].removeprefix("file://")))
+    before = set(glob.glob(f"{folder}/stage_*/*.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path))
+    new = set(glob.glob(f"{folder}/stage_*/*.parquet")) - before
+    assert new and all("stage_packing-" in path for path in new)
+
+
 def test_names():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
 
 

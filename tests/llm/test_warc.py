@@ -92,3 +92,18 @@ def test_broken_archives_are_errors(tmp_path):
 
 def test_folder_is_below_the_shared_one(spark):
     assert run_dir(spark, "warc").startswith((spark.conf.get("spark.checkpoint.dir", None) or "/"))
+
+
+def test_schemes_of_spark():
+    for given, wanted in (
+        ("s3a://bucket/x", "s3://bucket/x"),
+        ("s3n://bucket/x", "s3://bucket/x"),
+        ("wasbs://c@a/x", "abfss://c@a/x"),
+        ("/mnt/shared", "/mnt/shared"),
+        ("file:///tmp/x", "file:///tmp/x"),
+        ("hdfs://host:8020/x", "hdfs://host:8020/x"),
+    ):
+        assert warc.known_uri(given) == wanted
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        warc.file_system("nosuch://x/y")

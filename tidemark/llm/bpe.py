@@ -30,9 +30,19 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 NEVER = np.int64(1) << 40
 #: Cells of a matrix of words that is worked on at a time.
 CELLS = 1 << 21
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Bytes of chunks, ids and decoded texts that a Python worker remembers. Beyond them it begins
+#: anew, which costs time and nothing else.
+REMEMBERED = 96 << 20
+#: What a chunk takes besides its letters, ids and bytes: its objects and its place in the table.
+CHUNK_BYTES = 280
+#: Longer chunks are not remembered.
+LONGEST = 256
 MEMO_BITS = 20
+#: Words above this size are encoded one by one: so few take a step together that numpy does
+#: not pay.
+LONG_WORD = 512
+#: Pairs of tokens whose test is remembered for long words.
+LONG_MEMO = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,6 +89,8 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self._memo_keys = np.full(1 << MEMO_BITS, -1, dtype=np.int64)
         self._memo = np.zeros(1 << MEMO_BITS, dtype=bool)
+        self._ranks: dict[int, int] | None = None
+        self._pairs: dict[tuple[int, int], bool] = {}
         known = np.array(sorted(of.values()), dtype=np.int64)
         self.whole = self._whole(known)
         self._automaton(known)
@@ -174,6 +186,9 @@ class Vocabulary:
         out: list[list[int]] = [[] for _ in words]
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
         start = 0
+        while start < len(order) and len(words[order[start]]) > LONG_WORD:
+            out[order[start]] = self._encode_long(words[order[start]])
+            start += 1
         while start < len(order):
             width = len(words[order[start]])
             own = order[start : start + max(1, CELLS // width)]
@@ -217,6 +232,54 @@ class Vocabulary:
             for r, t in zip(rows.tolist(), ids.tolist()):
                 out[own[r]].append(t)
 
+    def _test_one(self, a: int, b: int) -> bool:
+        """:meth:`_test` for one pair of whole tokens."""
+        end_a = end_b = never = int(NEVER)
+        while True:
+            rank = self._ranks.get(a * self.size + b, never)
+            if rank < end_a and rank <= end_b and rank < never:
+                return False
+            rank_a, rank_b = self.rank.item(a), self.rank.item(b)
+            if rank_a < 0 and rank_b < 0:
+                return True
+            if rank_a > rank_b:
+                a, end_a = self.right.item(a), rank_a
+            else:
+                b, end_b = self.left.item(b), rank_b
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        """:meth:`_encode` for one word, step by step."""
+        if self._ranks is None:
+            self._ranks = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+        last, state, known = [-1] * (len(word) + 1), 0, self._pairs
+        step, first, after = self.step.item, self.first.item, self.after.item
+        for i, byte in enumerate(word):
+            state = step(state, byte)
+            match = first(state)
+            while True:
+                if match < 0:
+                    raise ValueError("the vocabulary cannot encode a byte of the text")
+                t = self.token.item(match)
+                begin = i + 1 - self.lengths.item(t)
+                if begin == 0:
+                    ok = self.whole.item(t)
+                else:
+                    key = (last[begin], t)
+                    ok = known.get(key)
+                    if ok is None:
+                        if len(known) >= LONG_MEMO:
+                            known.clear()
+                        ok = known[key] = self._test_one(*key)
+                if ok:
+                    last[i + 1] = t
+                    break
+                match = after(match)
+        out, end = [], len(word)
+        while end:
+            out.append(last[end])
+            end -= self.lengths.item(last[end])
+        return out[::-1]
+
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
 
@@ -232,8 +295,8 @@ class Encoder:
 
     A chunk is what lies between two single spaces, with the space before it: texts are
     always cut there, so chunks can be encoded each on its own. Texts with longer runs of
-    spaces are cut by the pattern itself. At most ``REMEMBERED`` chunks are remembered; the
-    others are worked out again when they return.
+    spaces are cut by the pattern itself. Chunks of usual length are remembered within
+    ``REMEMBERED`` bytes.
     """
 
     def __init__(self, path: str):
@@ -242,6 +305,7 @@ class Encoder:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.seen: dict[str, tuple[str, bytes]] = {}
+        self.used = 0
 
     def parts(self, text: str) -> list[str]:
         """The text cut at the strings of special tokens, which are kept as parts."""
@@ -267,18 +331,24 @@ class Encoder:
                     missing.update(chunks)
         missing -= self.seen.keys()
         new = self._work_out(list(missing))
-        room = REMEMBERED - len(self.seen)
-        if len(new) <= room:
+        usual = {c: x for c, x in new.items() if len(c) <= LONGEST}
+        cost = sum(4 * len(c) + len(x[0]) + len(x[1]) + CHUNK_BYTES for c, x in usual.items())
+        if len(usual) == len(new) and self.used + cost <= REMEMBERED:
             self.seen.update(new)
+            self.used += cost
             known = self.seen
         else:
-            for chunk in list(new)[: max(0, room)]:
-                self.seen[chunk] = new[chunk]
+            # what this slice needs, apart from what is remembered
             known = {**new}
             for parts in cut:
                 for chunks in parts:
                     if not isinstance(chunks, str):
                         known.update((c, self.seen[c]) for c in set(chunks) if c not in new)
+            if self.used + cost > REMEMBERED:
+                self.seen, self.used = {}, 0
+            if self.used + cost <= REMEMBERED:
+                self.seen.update(usual)
+                self.used += cost
         return [
             [x for chunks in parts for x in ([special[chunks]] if isinstance(chunks, str) else map(known.__getitem__, chunks))]
             for parts in cut
@@ -350,7 +420,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode and decode in one pass.
 
     The ids never leave the task: their digest is that of the decimal ids joined by commas,
-    and the decoded text is what the ids of the text give back.
+    and the decoded text is what the ids of the text give back. Null and empty texts have no
+    ids; rows are treated one by one, also where ids repeat or are null; there are no ties, as
+    an encoding is unique; texts of any length are read whole; an empty table gives no rows;
+    other columns are not touched.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.session import run_dir
 
 ROW = "struct<file: bigint, row: bigint>"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = "64MB"
+BATCH_BYTES = 8 << 20
 
 
 def with_rows(df: DataFrame, name: str = "_row") -> DataFrame:
@@ -75,8 +80,25 @@ def clean_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in batches of ``BATCH_BYTES``, unless the session has a
+    setting of its own. Both sides hold a batch at a time, so large ones are memory that an
+    executor never gives back; results do not depend on it."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, DEFAULT_BATCH):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    """The same rows in smaller batches, so that few texts are Python objects at a time. Memory
+    goes back to the system at the end of the task."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()

@@ -155,14 +155,16 @@ def train(
 ) -> Model:
     """Fit on about ``limit`` rows with a label whose id is not in fold 0 of ``folds``.
 
-    Only features of the sampled rows (``limit`` x ``SIZE`` numbers) reach the driver.
+    Rows without a label, and texts without a letter, are not learned from; of rows that repeat
+    an id, the one with the smallest digest of its text and smallest label is. The model is the
+    same however the table is partitioned. Without any such row nothing is learned. Only features of the sampled rows (``limit`` x ``SIZE`` numbers) reach the driver.
     """
     rows = df.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         clean_text(text_col).alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     ).filter((F.trim("lang") != "") & (F.col("lang") != UNKNOWN) & (fold(F.col("doc_id"), folds) != 0))
-    sample, _ = by_label(rows, "doc_id", "lang", limit)
+    sample, _ = by_label(rows, "doc_id", "lang", limit, (F.sha2("text", 256),))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -183,8 +185,10 @@ def identify(
     """``_row, doc_id, held_out, lang_pred, score`` for every row, from the whole text.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if
-    nothing was learned. ``held_out`` tells fold 0; a null id counts as an empty text there.
-    Narrow; ids may repeat, other columns are not touched.
+    nothing was learned. Of languages with equal chances the one that sorts first is taken.
+    ``held_out`` tells fold 0; a null id counts as an empty text there. Narrow; ids may repeat,
+    every row is predicted on its own, an empty table gives no rows, other columns are not
+    touched.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +209,45 @@ def identify(
     return found.withColumn("held_out", fold(F.col("doc_id"), folds) == 0)
 
 
+def settle(
+    df: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    languages: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """The rows of ``df`` whose text has a language, with that language where none was given.
+
+    Rejected are null texts and texts without a letter, and, where ``languages`` are named, texts
+    that the model finds to be in another one. A null or blank ``lang_col`` is filled with the
+    prediction; a language that was given stays, and all other columns pass as they are,
+    whatever their names. A low score is no reason to reject. If nothing was learned, texts
+    with a letter stay as they are. Narrow: rows, repeated ones too, are judged one by one, texts
+    of any length as a whole, equal chances as in :func:`identify`; an empty table stays empty.
+    """
+    names = [f.name for f in df.schema]
+    at, lang = names.index(text_col), names.index(lang_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            if model.within:
+                found = [language for language, _ in model.predict(texts)]
+                kept = [x != UNKNOWN and (languages is None or x in languages) for x in found]
+            else:
+                found, kept = [None] * len(texts), [has_letter(t) for t in texts]
+            given = batch.column(lang).to_pylist()
+            filled = [f if f is not None and not (g or "").strip() else g for g, f in zip(given, found)]
+            columns = list(batch.columns)
+            columns[lang] = pa.array(filled, columns[lang].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def known_only(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text can have a language; narrow.
+    """The rows of ``df`` whose text can have a language; narrow. Rows, repeated ones too, are
+    judged one by one; an empty table stays empty.
 
     All columns pass as they are. A text that is known but scored low stays, and so does
     every text with a letter if nothing was learned: only texts without a letter and null

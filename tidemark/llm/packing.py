@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import clean_text, keep
+from tidemark.llm.frames import clean_text, give_back, keep
 
 WINDOW = 4096
 OPEN = 32
@@ -319,7 +319,7 @@ def pack(
             for doc, ids in zip(docs, tokenizer.encode(batch.column(1))):
                 windows.add((doc, 0, np.concatenate([ids, end]), len(ids) + 1))
             yield out.batch()
-        pa.default_memory_pool().release_unused()
+        give_back()
         out.leave(windows.close())
         yield out.batch()
 

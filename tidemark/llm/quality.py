@@ -239,8 +239,10 @@ def score(
     """``_row, doc_id, held_out, score, predicted`` for every row, from the whole text.
 
     Null and empty texts have a score like any other (that of a text without a word); if
-    nothing was learned all scores are 0.5. A null id counts as an empty text for
-    ``held_out``. Narrow; ids may repeat, other columns are not touched.
+    nothing was learned all scores are 0.5. A worth at the border itself scores 0.5 and counts
+    as good; texts of any length are read whole. A null id counts as an empty text for
+    ``held_out``. Narrow; ids may repeat, an empty table gives no rows, other columns are not
+    touched.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

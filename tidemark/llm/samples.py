@@ -17,12 +17,15 @@ def fold(id_column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def by_label(rows: DataFrame, id_col: str, label: str, limit: int) -> tuple[DataFrame, dict]:
+def by_label(
+    rows: DataFrame, id_col: str, label: str, limit: int, ties: tuple[Column, ...] = ()
+) -> tuple[DataFrame, dict]:
     """About ``limit`` rows, as many of each label as there are or an equal share, and the
     number of rows of each label.
 
-    Rows are chosen by the hash of their id, so the sample is the same in every run; rows
-    that repeat an id are one. Only the counts of the labels reach the driver here.
+    Rows are chosen by the hash of their id, so the sample is the same in every run. Rows that
+    repeat an id are one: the one with the smallest ``ties`` and label. Only the counts of the
+    labels reach the driver here.
     """
     counts = rows.groupBy(label).count().limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
@@ -35,4 +38,6 @@ def by_label(rows: DataFrame, id_col: str, label: str, limit: int) -> tuple[Data
     chosen = [
         (F.col(label) == value) & (chance < int(min(1.0, share / n) * STEPS)) for value, n in sizes.items()
     ]
-    return rows.filter(reduce(lambda a, b: a | b, chosen)).dropDuplicates([id_col]), sizes
+    smallest = F.min_by(F.struct(*rows.columns), F.struct(*ties, F.col(label))).alias("_row")
+    sampled = rows.filter(reduce(lambda a, b: a | b, chosen)).groupBy(F.col(id_col).alias("_id")).agg(smallest)
+    return sampled.select("_row.*"), sizes

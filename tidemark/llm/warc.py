@@ -84,8 +84,26 @@ def header(lines: bytes) -> dict[str, str]:
     return out
 
 
+#: Schemes that Spark knows object stores by, and what pyarrow calls them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def known_uri(path: str) -> str:
+    """A path of Spark's as pyarrow takes it; anything without a scheme stays as it is."""
+    scheme, colon, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    """Where archives are read and written by pyarrow. Raises, before any work, what is wrong
+    with the folder."""
+    try:
+        return fs.FileSystem.from_uri(known_uri(path))
+    except (ValueError, OSError, NotImplementedError) as why:
+        raise ValueError(
+            f"archives cannot be kept in {path!r}: spark.checkpoint.dir has to name a folder that pyarrow can"
+            f" open as well (a path, file:, hdfs:, s3a:, gs:, abfss:): {why}"
+        ) from why
 
 
 def with_types(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
