@@ -15,7 +15,6 @@ from tidemark.session import run_dir
 
 ROW = "struct<file: bigint, row: bigint>"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-DEFAULT_BATCH = "64MB"
 BATCH_BYTES = 8 << 20
 
 
@@ -84,7 +83,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Have Spark hand texts to Python in batches of ``BATCH_BYTES``, unless the session has a
     setting of its own. Both sides hold a batch at a time, so large ones are memory that an
     executor never gives back; results do not depend on it."""
-    if spark.conf.get(BATCH_SETTING, None) in (None, DEFAULT_BATCH):
+    if spark.conf.get(BATCH_SETTING, None) is None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
