@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.operators.skew import anti_join, salted_join
+from tidemark.operators.skew import anti_join, salted_join, semi_join
 
 
 def with_order_flag(payments: DataFrame, orders: DataFrame) -> DataFrame:
@@ -93,6 +93,21 @@ def inconsistency_report(payments: DataFrame, orders: DataFrame) -> DataFrame:
     return F.broadcast(_summary(found)).join(found, F.col("total") > 0, "left")
 
 
+def open_inconsistencies(payments: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """:func:`inconsistencies` as a stream stands, without a bound on the wait for an order.
+
+    ``verdicts`` are the newest updates per order id of :func:`consistency` run over a stream
+    of orders and one of payments (in update mode): a payment is reported with the verdict that
+    its order is missing, and withdrawn by a later verdict once the order has come, whichever
+    side comes first. The stream keeps one row per order id, an order once; the payments
+    themselves stay in their table (``payments``), where those of one order may be any number. A
+    payment without an order id has no order and is reported at once.
+    """
+    missing = verdicts.filter("has_payment AND NOT has_order").select("order_id")
+    reported = semi_join(payments, missing, "order_id", unique=True)
+    return _detail(reported).unionByName(_detail(payments.filter("order_id IS NULL")))
+
+
 def stream_inconsistencies(
     payments: DataFrame,
     orders: DataFrame,
@@ -101,7 +116,8 @@ def stream_inconsistencies(
     order_time: str = "order_date",
     salts: int = 16,
 ) -> DataFrame:
-    """Payments of a stream whose order does not show up within ``within`` of them.
+    """Payments of a stream whose order does not show up within ``within`` of them, before or
+    after; an order further away counts as missing. :func:`open_inconsistencies` has no bound.
 
     The verdict waits until the watermark rules out a later order, since the two topics
     are not in step. The payments of one order are dealt over ``salts`` tasks, for which

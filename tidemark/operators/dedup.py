@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RECORD_ORDER = ("partition", "offset")
+#: Tasks over which a stream deals the replays of a key.
+SALTS = 32
 
 
 def without_key(df: DataFrame, key: str) -> DataFrame:
@@ -44,19 +46,69 @@ def new_only(
 
 
 def dedup_stream(
-    stream: DataFrame, key: str, time_col: str | None = None, within: str | None = None
+    stream: DataFrame,
+    key: str,
+    time_col: str | None = None,
+    within: str | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """One record per key of a stream, the first that arrives. Keys are never forgotten; the
-    state (keep it on disk) grows with their number.
+    """One record per key of a stream in append mode, the first that arrives (any of those
+    that arrive in one batch). Keys are never forgotten; the state (keep it on disk) grows
+    with their number.
+
+    The replays of a key are dealt over ``salts`` tasks by the task they come from. Each of
+    those passes on the first record it sees, once and for all, so the task that knows the
+    key itself sees ``salts`` of its records at most; a key is remembered twice for that.
 
     With ``within`` a key is forgotten that long after its event time, and a later replay
-    passes again. Spark sends all records of a key to one task here; :func:`first_of_stream`
-    folds them before.
+    passes again; all records of a key go to one task then, as event times of different tasks
+    must not decide which is forgotten. :func:`once_of_stream` decides by position.
     """
     keyed = stream.filter(F.col(key).isNotNull())
-    if within is None:
-        return keyed.dropDuplicates([key])
-    return keyed.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+    if within is not None:
+        return keyed.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+    if salts > 1:
+        dealt = keyed.withColumn("_salt", F.spark_partition_id() % salts)
+        keyed = dealt.dropDuplicates([key, "_salt"]).drop("_salt")
+    return keyed.dropDuplicates([key])
+
+
+def _earliest(stream: DataFrame, key: str, order_by: tuple[str, ...]) -> Column:
+    """All columns but the key of the record that comes first. Columns of any type may be
+    carried, only those of the position are compared."""
+    # a struct compares field by field and a null is the smallest, so places without a value go last
+    order = [f for c in order_by for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    return F.min_by(F.struct(*[c for c in stream.columns if c != key]), F.struct(*order))
+
+
+def _unpacked(folded: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return folded.select(*[F.col(c) if c == key else F.col(f"_first.{c}") for c in columns])
+
+
+def once_of_stream(
+    stream: DataFrame, key: str, order_by: tuple[str, ...] = RECORD_ORDER
+) -> DataFrame:
+    """The first record of every key, passed on once (in update mode): with the batch in which
+    the key shows up first, and of that batch the first by position.
+
+    A batch has one time, which the checkpoint keeps for a second try. A key is new if all of
+    its records so far have the time of this batch. Both are aggregates, as is the earliest
+    record, so the replays of a key are one row per task before the shuffle, and a key with
+    half of all records loads no task. The state (keep it on disk) is one record per key.
+    """
+    now = F.current_timestamp()
+    folded = (
+        stream.filter(F.col(key).isNotNull())
+        .withColumn("_batch_time", now)
+        .groupBy(key)
+        .agg(
+            _earliest(stream, key, order_by).alias("_first"),
+            F.min("_batch_time").alias("_since"),
+            F.max("_batch_time").alias("_until"),
+        )
+    )
+    new = folded.filter((F.col("_since") == F.col("_until")) & (F.col("_until") == now))
+    return _unpacked(new, key, stream.columns)
 
 
 def first_of_stream(
@@ -68,11 +120,6 @@ def first_of_stream(
     The earliest record is an aggregate, so all records of a key in a batch are one row
     before the shuffle, and the state is one record per key.
     """
-    others = [c for c in stream.columns if c not in (key, *order_by)]
-    # a struct compares field by field and a null is the smallest, so places without a value go last
-    order = [f for c in order_by for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
-    earliest = F.min(F.struct(*order, F.struct(*others).alias("_rest"))).alias("_first")
-    keyed = stream.filter(F.col(key).isNotNull()).groupBy(key).agg(earliest)
-    return keyed.select(
-        key, *[F.col(f"_first.{c}") for c in order_by], *[F.col(f"_first._rest.{c}") for c in others]
-    ).select(*stream.columns)
+    keyed = stream.filter(F.col(key).isNotNull())
+    folded = keyed.groupBy(key).agg(_earliest(stream, key, order_by).alias("_first"))
+    return _unpacked(folded, key, stream.columns)

@@ -13,6 +13,8 @@ from tidemark.functions.columns import notification_text, or_default
 from tidemark.sinks.writers import row_id
 
 CHANNELS = ("EMAIL", "SMS", "PUSH")
+#: What :func:`route_failures` adds.
+ROUTE_COLUMNS = ("topic", "next_attempt", "next_delay_ms")
 
 
 def _by_method(method: Column, values: dict[str, str]) -> Column:
@@ -34,7 +36,8 @@ def notification_rows(
 ) -> DataFrame:
     """Audit rows of consumed orders: who consumed the record, from where, with what
     result. ``method`` names the consumer method and decides group and message. The ``id``
-    comes from the position of the record itself, also where the row leaves it empty."""
+    comes from the position of the record itself, also where the row leaves it empty; without a
+    position there is none, and :func:`tidemark.sinks.writers.split_by_id` sets the row apart."""
     method = F.lit(method) if isinstance(method, str) else method
     status = F.lit(status) if isinstance(status, str) else status
     groups = {m: group for m, (group, _) in fixed.CONSUMER_METHODS.items()}

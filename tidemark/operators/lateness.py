@@ -8,7 +8,7 @@ window has been closed for ``grace``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -52,6 +52,12 @@ def with_stream_time(
     )
 
 
+def is_late(time: Column, stream_time: Column, size: str = fixed.WINDOW_SIZE, grace: str = fixed.GRACE) -> Column:
+    """Whether the window of ``time`` has been closed for ``grace`` at ``stream_time``."""
+    closes = F.window(time, size)["end"] + F.expr(f"INTERVAL {grace}")
+    return F.coalesce(closes <= stream_time, F.lit(False))
+
+
 def judge_lateness(
     df: DataFrame,
     size: str = fixed.WINDOW_SIZE,
@@ -60,10 +66,8 @@ def judge_lateness(
     **position,
 ) -> DataFrame:
     """Add ``stream_time`` and ``is_late``."""
-    closes = F.window(F.col(time_col), size)["end"] + F.expr(f"INTERVAL {grace}")
     timed = with_stream_time(df, time_col, **position)
-    late = F.coalesce(closes <= F.col("stream_time"), F.lit(False))
-    return timed.withColumn("is_late", late)
+    return timed.withColumn("is_late", is_late(F.col(time_col), F.col("stream_time"), size, grace))
 
 
 def late_events(df: DataFrame, *args, **kwargs) -> DataFrame:

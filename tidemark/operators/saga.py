@@ -476,3 +476,77 @@ def latest_status(changes: DataFrame) -> DataFrame:
             "reason",
         )
     )
+
+
+# --- tables kept by the events --------------------------------------------------------
+
+
+#: The events whose payload is a row of a table: orders, payments, reservations.
+_ROWS_OF = {
+    fixed.ORDER_PLACED: "placed",
+    fixed.PAYMENT_PROCESSED: "paid",
+    fixed.INVENTORY_RESERVED: "reserved",
+    fixed.PAYMENT_REFUNDED: "refunded",
+    fixed.ORDER_CANCELLED: "cancelled",
+}
+
+
+def courses(events: DataFrame) -> DataFrame:
+    """What the events of each order (:func:`dispatch_all`) say so far: one row per order, with
+    a struct of the payload of each kind of event, null while there is none.
+
+    Of repeated events the earliest counts, and the order of arrival does not matter, so the
+    fold is the same in one batch and in many; on a stream (in update mode) its state is the
+    state machine of the order. Events of one order are one row per task before the shuffle.
+    Events without an order id belong to no order.
+    """
+    kind, at = F.col("metadata.event_type"), F.col("metadata.timestamp")
+    folds = []
+    for event_type, name in _ROWS_OF.items():
+        payload = [f.name for f in schemas.PAYLOADS[event_type] if f.name != "order_id"]
+        row = F.struct(*payload, F.col("metadata.transaction_id").alias("transaction_id"))
+        # null where the event is another one, and nulls are passed over
+        rank = F.struct(F.coalesce(at, F.lit(0).cast("timestamp")), F.to_json(row))
+        folds.append(F.min_by(row, F.when(kind == event_type, rank)).alias(name))
+    return events.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(*folds)
+
+
+def _order_status() -> Column:
+    """CANCELLED is final: no event takes it back, and none is needed twice."""
+    failed = F.coalesce(F.col("paid.status") == fixed.FAILED, F.lit(False))
+    ended = failed | F.col("cancelled").isNotNull() | F.col("refunded").isNotNull()
+    return F.when(ended, fixed.CANCELLED).otherwise(fixed.PENDING)
+
+
+def orders_of(found: DataFrame) -> DataFrame:
+    """The order table of :func:`courses`: orders that were placed."""
+    fields = ("customer_id", "product_id", "quantity", "total_amount")
+    return found.filter("placed IS NOT NULL").select(
+        "order_id",
+        *[F.col(f"placed.{c}") for c in fields],
+        _order_status().alias("status"),
+        "placed.order_date",
+        "placed.transaction_id",
+    )
+
+
+def payments_of(found: DataFrame) -> DataFrame:
+    """The payment table of :func:`courses`. REFUNDED is final."""
+    status = F.when(F.col("refunded").isNotNull(), fixed.REFUNDED).otherwise(F.col("paid.status"))
+    return found.filter("paid IS NOT NULL").select(
+        "paid.payment_id",
+        "order_id",
+        "paid.customer_id",
+        "paid.amount",
+        status.alias("status"),
+        "paid.processed_at",
+        "paid.transaction_id",
+    )
+
+
+def reservations_of(found: DataFrame) -> DataFrame:
+    """The reservation table of :func:`courses`."""
+    fields = ("product_id", "quantity", "status", "reserved_at", "transaction_id")
+    return found.filter("reserved IS NOT NULL").select(
+        "reserved.reservation_id", "order_id", *[F.col(f"reserved.{c}") for c in fields]
+    )

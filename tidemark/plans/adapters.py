@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark import fixed, schemas
 from tidemark.functions import headers as hdr
 from tidemark.functions.columns import whole_seconds_ms
-from tidemark.operators.payments import with_ids
+from tidemark.operators.payments import order_events as order_events_of_payments
+from tidemark.operators.payments import payment_events, publish, with_ids
 from tidemark.sinks.writers import to_records
 
 # The stored prices run to 500,000, so the limits of the order tables are scaled.
@@ -101,9 +102,9 @@ def out_of_order(orders: DataFrame) -> DataFrame:
     return orders.withColumn("arrival", F.col("event_id") + delay)
 
 
-def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payment_requests_of(rows: DataFrame) -> DataFrame:
     """``orders`` rows as paid orders with a record position."""
-    rows = table(spark, sf_dir, "orders").select(
+    rows = rows.select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         _numbered("customer", "o_custkey").alias("customer_id"),
         F.lit(fixed.DEFAULT_PRODUCT).alias("product_id"),
@@ -118,10 +119,26 @@ def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ids(rows)
 
 
-def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payment_requests_of(table(spark, sf_dir, "orders"))
+
+
+def signed(requests: DataFrame) -> DataFrame:
     """Payment requests of which every fiftieth has a negative amount."""
     amount = F.when(F.col("o_orderkey") % 50 == 0, -F.col("amount")).otherwise(F.col("amount"))
-    return payment_requests(spark, sf_dir).withColumn("amount", amount.cast("decimal(18,2)"))
+    return requests.withColumn("amount", amount.cast("decimal(18,2)"))
+
+
+def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed(payment_requests(spark, sf_dir))
+
+
+def two_sides(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(orders, payments)``. Orders in state O come without a payment; the others are paid
+    without a transaction, so that large ones leave a payment without an order."""
+    paid = publish(requests.filter("order_status <> 'O'"), atomic=False, limit=PAYMENT_LIMIT)
+    order_only = requests.filter("order_status = 'O'").select("order_id")
+    return order_only.unionByName(order_events_of_payments(paid).select("order_id")), payment_events(paid)
 
 
 def saga_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

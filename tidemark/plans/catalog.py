@@ -21,6 +21,7 @@ from tidemark.operators import (
     dedup,
     delivery,
     enrich,
+    folds,
     lateness,
     lookup,
     payments,
@@ -28,7 +29,7 @@ from tidemark.operators import (
     sla,
 )
 from tidemark.plans import adapters as a
-from tidemark.session import use_utc
+from tidemark.session import run_dir, use_utc
 from tidemark.sinks import writers
 from tidemark.sources import records
 
@@ -67,6 +68,65 @@ def query(fn: Query) -> Query:
     return run
 
 
+def _two_largest(rows):
+    """The two largest amounts of each customer, which differ."""
+    rows = rows.drop_duplicates().sort_values(["customer_id", "total_amount"])
+    return rows.groupby("customer_id", sort=True).tail(2)
+
+
+def _second(states):
+    found = states.groupby("customer_id", sort=True)["total_amount"]
+    second = found.min().where(found.size() > 1)
+    return second.rename("second_amount").reset_index()
+
+
+@query
+def customer_second_amounts(spark, d):
+    """A fold of the user's own: the second largest amount that a customer ever paid."""
+    return folds.fold_by(
+        a.order_events(spark, d).select("customer_id", "total_amount").filter("total_amount IS NOT NULL"),
+        ["customer_id"],
+        add=lambda rows: rows,
+        merge=_two_largest,
+        state="total_amount decimal(18,2)",
+        finish=_second,
+        result="second_amount decimal(18,2)",
+    )
+
+
+@query
+def notifications_without_position(spark, d):
+    """Rows that cannot be stored: their record has no place in the log."""
+    lost = F.when(F.col("event_id") % 11 != 0, F.col("partition"))
+    rows = delivery.notification_rows(a.order_events(spark, d).withColumn("partition", lost))
+    _, rejected = writers.split_by_id(rows)
+    return rejected.select("order_id", "customer_id", "message", "msg_offset")
+
+
+@query
+def orders_sent_with_hook(spark, d):
+    """A hook sees the records before they are sent and adds a header."""
+    folder = run_dir(spark, "hooked")
+
+    def stamp(df):
+        return hdr.stamp(df.withColumn("headers", F.array().cast(schemas.HEADERS)), F.lit(RANGE_START_MS))
+
+    orders = a.order_events(spark, d).select(*a.ORDER_COLUMNS, *POSITION)
+    writers.write_events(orders, folder, fixed.TOPIC_ORDERS, hook=stamp)
+    return records.header_rows(records.read_files(spark, folder), "key", "partition", "offset")
+
+
+@query
+def saga_fallback_events(spark, d):
+    """Orders without an amount: a failed payment event, and no row in the payment table."""
+    amount = F.when(F.col("o_orderkey") % 50 != 0, F.col("total_amount")).cast("decimal(18,2)")
+    orders = a.saga_orders(spark, d).withColumn("total_amount", amount)
+    ran = saga.run_saga(orders, a.PAYMENT_LIMIT, a.INVENTORY_LIMIT).filter("total_amount IS NULL")
+    rows = saga.payment_table(ran).select("order_id", F.lit(True).alias("in_table"))
+    log = saga.event_log(ran).select("seq", "topic", F.col("key").alias("order_id"), F.col("metadata.event_type"))
+    return log.join(rows, "order_id", "left").select("seq", "topic", "order_id", "event_type", "in_table")
+
+
 # --- sources and sinks ------------------------------------------------------------------
 
 
@@ -469,15 +529,7 @@ def payments_refused(spark, d):
 
 
 def _two_sides(spark, d):
-    """Orders in state O come without a payment; the others are paid without a
-    transaction, so that large ones leave a payment without an order."""
-    requests = a.payment_requests(spark, d)
-    paid = payments.publish(
-        requests.filter("order_status <> 'O'"), atomic=False, limit=a.PAYMENT_LIMIT
-    )
-    order_only = requests.filter("order_status = 'O'").select("order_id")
-    orders = order_only.unionByName(payments.order_events(paid).select("order_id"))
-    return orders, payments.payment_events(paid)
+    return a.two_sides(a.payment_requests(spark, d))
 
 
 @query

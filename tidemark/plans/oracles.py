@@ -514,9 +514,60 @@ _STREAMED = {
     "customer_order_counts_from_state": "customer_order_counts",
     "customer_total_amounts_from_state": "customer_total_amounts",
     "customer_windowed_counts_streamed": "customer_windowed_counts",
+    "count_for_customers_live": "count_for_customers",
+    "windowed_counts_range_live": "windowed_counts_range",
+    "customer_order_counts_as_of": "customer_order_counts",
+    "customer_order_count_changes": "customer_order_counts",
+    "windowed_counts_with_grace_streamed": "windowed_counts_with_grace",
+    "payments_committed_streamed": "payments_committed",
+    "inconsistencies_streamed": "inconsistencies",
+    "saga_orders_streamed": "saga_orders",
+    "saga_payments_streamed": "saga_payments",
+    "saga_inventory_streamed": "saga_inventory",
 }
 for _name, _batch in _STREAMED.items():
     _BODIES[_name] = _BODIES[_batch]
-_BODIES["orders_deduped_streamed"] = _BODIES["orders_first_per_key"]
+for _name in ("orders_deduped_streamed", "orders_once_streamed"):
+    _BODIES[_name] = _BODIES["orders_first_per_key"]
+
+_POSITIONED = "event_id % 11 <> 0"
+_BODIES |= {
+    "order_keys_deduped_streamed": (["oe"], "SELECT order_id FROM oe"),
+    "orders_restarted_streamed": (["oe"], f"""SELECT {_ORDER}, "partition", "offset" FROM oe"""),
+    "retries_waited_streamed": (
+        ["oe"],
+        """SELECT order_id, customer_id, order_date, 2 AS attempt FROM oe WHERE event_type = 'error'
+           AND order_date + INTERVAL 1 SECOND <= (SELECT max(order_date) FROM oe)""",
+    ),
+    "orders_dual_written": (
+        ["oe"],
+        f"""SELECT order_id, "partition" * 4398046511104 + "offset" AS id, 'table' AS place FROM oe WHERE {_POSITIONED}
+            UNION ALL SELECT order_id, NULL, 'rejected' FROM oe WHERE NOT ({_POSITIONED})
+            UNION ALL SELECT order_id, NULL, 'topic' FROM oe""",
+    ),
+    "notifications_without_position": (
+        ["oe"],
+        f"""SELECT order_id, customer_id, 'Order confirmation email sent' AS message, "offset" AS msg_offset
+            FROM oe WHERE NOT ({_POSITIONED})""",
+    ),
+    "customer_second_amounts": (
+        ["oe"],
+        """SELECT customer_id, max(total_amount) FILTER (rn = 2) AS second_amount FROM (
+             SELECT customer_id, total_amount,
+                    dense_rank() OVER (PARTITION BY customer_id ORDER BY total_amount DESC) AS rn
+             FROM oe WHERE total_amount IS NOT NULL) GROUP BY customer_id""",
+    ),
+    "orders_sent_with_hook": (
+        ["oe"],
+        """SELECT order_id AS key, "partition", "offset", 'intercepted-at' AS header, '1704412800000' AS value FROM oe""",
+    ),
+    "saga_fallback_events": (
+        ["pr"],
+        """SELECT seq, CASE seq WHEN 1 THEN 'orders' ELSE 'payments' END AS topic, order_id,
+                  CASE seq WHEN 1 THEN 'OrderPlaced' ELSE 'PaymentProcessed' END AS event_type,
+                  CAST(NULL AS BOOLEAN) AS in_table
+           FROM pr, (VALUES (1), (2)) AS s(seq) WHERE o_orderkey % 50 = 0""",
+    ),
+}
 
 ORACLES = {name: _with(ctes, body) for name, (ctes, body) in _BODIES.items()}

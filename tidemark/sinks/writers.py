@@ -111,7 +111,8 @@ def row_id(
     and different for every other record, topic and consumer.
 
     Four bits hold the consumer, three the topic, 14 the partition and 42 the offset. A
-    record without a position, or one that does not fit, ends the query: it has no id.
+    record without a position, or one that does not fit, has no id: null. Such rows are not
+    stored but set apart (:func:`split_by_id`).
     """
 
     def place(value: str | Column, names: tuple[str, ...]) -> Column:
@@ -124,9 +125,13 @@ def row_id(
         (at >= 0) & (of >= 0) & partition.between(0, 2**14 - 1) & offset.between(0, 2**42 - 1)
     )
     number = ((of * 8 + at) * 2**14 + partition.cast("bigint")) * F.lit(2**42) + offset
-    return F.when(fits, number).otherwise(
-        F.raise_error("a stored row needs a known topic and consumer and a record position").cast("bigint")
-    )
+    return F.when(fits, number)
+
+
+def split_by_id(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(stored, rejected)``: rows with an id, and those whose record has no position, a
+    position out of bounds, or an unknown topic or consumer."""
+    return rows.filter("id IS NOT NULL"), rows.filter("id IS NULL")
 
 
 def table_rows(

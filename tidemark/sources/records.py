@@ -175,6 +175,36 @@ def header_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(hdr.as_map()).alias("header", "value"))
 
 
+def committed_stream(
+    events: DataFrame,
+    commits: DataFrame,
+    key: str = "transaction_id",
+    event_time: str | None = None,
+    commit_time: str | None = None,
+    within: str | None = None,
+) -> DataFrame:
+    """The events of a stream whose transaction was committed, by a stream of commits (in
+    append mode).
+
+    An event waits in the state until the commit of its transaction arrives, on either side
+    of it, and passes once; what is never committed never passes. Commits may repeat. The
+    state (keep it on disk) holds events and transactions; with ``within``, events and commits
+    further apart than that by ``event_time`` and ``commit_time`` do not meet, and both are let
+    go of after it.
+    """
+    known = commits.filter(F.col(key).isNotNull())
+    if within is None:
+        done = known.select(F.col(key).alias("_committed")).dropDuplicates(["_committed"])
+        met = F.col(key) == F.col("_committed")
+        return events.join(done, met, "inner").select(*events.columns)
+    done = known.select(F.col(key).alias("_committed"), F.col(commit_time).alias("_at")).withWatermark("_at", within)
+    done = done.dropDuplicatesWithinWatermark(["_committed"])
+    near = F.expr(
+        f"`{key}` = _committed AND _at BETWEEN `{event_time}` - INTERVAL {within} AND `{event_time}` + INTERVAL {within}"
+    )
+    return events.withWatermark(event_time, within).join(done, near, "inner").select(*events.columns)
+
+
 def committed_only(
     events: DataFrame, commits: DataFrame, key: str = "transaction_id", unique: bool = False
 ) -> DataFrame:

@@ -26,19 +26,27 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+
 @contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
+def state_on_disk(spark: SparkSession, changes: bool = False) -> Iterator[None]:
     """Queries started inside keep their keyed state in RocksDB rather than in executor
-    memory. The session has its own setting again afterwards."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    memory; with ``changes`` they also store what each batch changed
+    (:func:`tidemark.streaming.live.changes`). The session has its own settings again
+    afterwards."""
+    wanted = {STATE_STORE: ROCKSDB} | ({CHANGELOG: "true"} if changes else {})
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 # --- stream -> stream -------------------------------------------------------------------
@@ -69,24 +77,28 @@ def windowed_count_updates(
     return analytics.windowed_counts(analytics.with_grace(orders, time_col, grace), size, time_col)
 
 
-def new_notifications(orders: DataFrame, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER) -> DataFrame:
+def new_notifications(
+    orders: DataFrame, method: str = fixed.IDEMPOTENT_ORDER_CONSUMER, salts: int = 1
+) -> DataFrame:
     """A notification row for the first record of every order of a stream. Which orders were
-    seen is keyed state, so a batch reads nothing but its own records."""
-    return delivery.notification_rows(dedup.dedup_stream(orders, "order_id"), method)
+    seen is keyed state, so a batch reads nothing but its own records. ``salts`` deals the replays
+    of an order over so many tasks (:func:`tidemark.operators.dedup.dedup_stream`)."""
+    return delivery.notification_rows(dedup.dedup_stream(orders, "order_id", salts=salts), method)
 
 
-def new_payments(payments_in: DataFrame, now: Column | None = None) -> DataFrame:
+def new_payments(payments_in: DataFrame, now: Column | None = None, salts: int = 1) -> DataFrame:
     """A payment row for the first record of every payment of a stream."""
-    return delivery.payment_rows(dedup.dedup_stream(payments_in, "payment_id"), now=now)
+    return delivery.payment_rows(dedup.dedup_stream(payments_in, "payment_id", salts=salts), now=now)
 
 
 def saga_events(
     orders: DataFrame,
     payment_limit=fixed.PAYMENT_LIMIT,
     inventory_limit=fixed.INVENTORY_LIMIT,
+    salts: int = 1,
 ) -> DataFrame:
     """The events of every step for a stream of placed orders, each order once."""
-    once = dedup.dedup_stream(orders, "order_id")
+    once = dedup.dedup_stream(orders, "order_id", salts=salts)
     return saga.event_log(saga.run_saga(once, payment_limit, inventory_limit))
 
 
@@ -260,7 +272,9 @@ def dual_write(
 ) -> BatchWriter:
     """Write each batch of orders to a table and to a topic.
 
-    A batch that fails between the two is run again and replaces both.
+    A batch that fails between the two is run again and replaces both. Orders whose record
+    has no position cannot be rows of the table; they go to ``<table_path>_rejected``, also
+    batch by batch, and to the topic.
     """
 
     fields = [f.name for f in schemas.ORDER_PLACED]
@@ -269,7 +283,9 @@ def dual_write(
         orders = batch.select("partition", "offset", *fields).persist()
         try:
             rows = writers.table_rows(records.with_record_metadata(orders), topic, now=now)
-            writers.append_rows(rows, table_path, batch_id, writer)
+            stored, rejected = writers.split_by_id(rows)
+            writers.append_rows(stored, table_path, batch_id, writer)
+            writers.append_rows(rejected, f"{table_path}_rejected", batch_id, writer)
             out = writers.to_records(orders, topic, columns=fields)
             writers.append_rows(out, topic_path, batch_id, writer)
         finally:
