@@ -30,9 +30,9 @@ WINDOW = 4096
 OPEN = 32
 FAN_IN = 64
 END = 2
-#: Bytes of words and ids that a Python worker remembers from task to task. Beyond them it begins
-#: anew, which costs time and nothing else.
-REMEMBERED = 24 << 20
+#: Bytes of words and ids that a Python worker remembers from task to task. Beyond them it keeps
+#: those that have just come again, which costs time and nothing else.
+REMEMBERED = 32 << 20
 #: What a word takes besides its letters and ids: its ends in two arrays.
 WORD_BYTES = 12
 #: Longer words are not remembered.
@@ -111,24 +111,35 @@ class WordIds:
             number = pc.if_else(missing, later, number)
         number = number.to_numpy(zero_copy_only=False).astype(np.int64)
         starts, stops_of = stops[number], stops[number + 1]
-        self._remember(new, ids, sizes)
+        self._remember(new, ids, sizes, number[~missing.to_numpy(zero_copy_only=False)])
         return pool, starts, stops_of
 
     def held(self) -> int:
         """Bytes that the memory takes."""
         return self.words.nbytes + self.ids.nbytes + self.ends.nbytes
 
-    def _remember(self, new: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Keep the words of usual length. A worker that has no more room for the new ones begins
-        anew with them, or, where they alone are too many, keeps what fits."""
+    def _only(self, numbers: np.ndarray) -> None:
+        """Let go of all words but those of some numbers."""
+        starts, sizes = self.ends[numbers], np.diff(self.ends)[numbers]
+        after = np.cumsum(sizes)
+        place = np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+        self.words, self.ids = self.words.take(pa.array(numbers)), self.ids[place]
+        self.ends = np.concatenate([[0], after])
+
+    def _remember(self, new: pa.Array, ids: np.ndarray, sizes: np.ndarray, again: np.ndarray) -> None:
+        """Keep the words of usual length. A worker that has no more room for the new ones goes on
+        with the words that have just come ``again``, which are the frequent ones, and with as
+        many of the new as fit."""
         if not len(new):
             return
         letters = pc.binary_length(new).to_numpy(zero_copy_only=False)
         cost = letters + WORD_BYTES + 4 * sizes
         fits = letters <= LONGEST
         if self.held() + int(cost[fits].sum()) > self.remembered:
-            self.forget()
-            fits &= np.cumsum(np.where(fits, cost, 0)) <= self.remembered
+            self._only(again)
+            if self.held() > self.remembered // 2:
+                self.forget()
+            fits &= np.cumsum(np.where(fits, cost, 0)) <= self.remembered - self.held()
         self.words = pa.concat_arrays([self.words, new.filter(pa.array(fits))])
         self.ids = np.concatenate([self.ids, ids[np.repeat(fits, sizes)]])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[fits])])
