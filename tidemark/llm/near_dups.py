@@ -232,7 +232,8 @@ def near_duplicates(
 
     Null and blank texts have fingerprint 0 and are linked like any other. Rows without an
     id belong to a component but never name it; a component of such rows only has a null id,
-    and its first row is kept. An empty table gives an empty result. Other columns of ``df``
+    and its first row is kept. Texts of any length are hashed whole. An empty table gives an
+    empty result. Other columns of ``df``
     are not touched, whatever their names.
     """
     if not 0 <= max_bits <= 62:

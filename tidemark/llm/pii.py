@@ -387,7 +387,8 @@ def find(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "t
     """``_row, doc_id, spans`` for every row; ``base`` tells the patterns' spans from added ones.
 
     Narrow. Null and empty texts have no spans; ids may be null or repeat; whole texts are
-    read, however long. Other columns are not touched.
+    read, however long. Spans with the same start come in the order of their kinds. An empty
+    table gives no rows. Other columns are not touched.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +409,9 @@ def redact(df: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``df`` with ``<KIND>`` in place of every span of its texts; null texts stay null.
 
     Of overlapping spans the first, then the longest, is replaced, the rest as far as it
-    stands out. All other columns are passed on as they are.
+    stands out; of equal spans the kind that is listed first. Rows are treated one by one, also
+    repeated ones; whole texts are read, however long; an empty table stays empty. All other
+    columns are passed on as they are.
     """
     schema = df.schema
     at = [f.name for f in schema].index(text_col)

@@ -106,7 +106,8 @@ def scan(
 
     Null and empty texts have no spans. Rows without an owner or repository count as one
     more holder together. Ids may be null or repeat; other columns are not touched; whole
-    texts are read, and candidates of any length are hashed and judged whole.
+    texts are read, and candidates of any length are hashed and judged whole. Spans with the
+    same start come in the order of their kinds. An empty table gives no rows.
     """
     kind = pa.list_(
         pa.struct(

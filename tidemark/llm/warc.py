@@ -364,8 +364,8 @@ def archive(
     of at least ``least_bytes`` bytes, the one with the smallest id is a response and the
     others revisit it; smaller ones are all responses. Rows that repeat that id with that
     payload are responses too, as is every row of a group without any id; a row without an
-    id revisits the page that has one. An empty table gives no records; other columns are not
-    touched.
+    id revisits the page that has one. Payloads of any length are written and read a piece at a
+    time and compared whole. An empty table gives no records; other columns are not touched.
     """
     spark: SparkSession = pages.sparkSession
     folder = run_dir(spark, "warc")
