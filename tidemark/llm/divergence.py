@@ -85,9 +85,11 @@ def _blocks(texts: DataFrame, least_docs: int) -> int:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found: Counter[bytes] = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs = [terms_of(text) for text in batch.column(1).to_pylist()]
+            sampled = {t for t in set().union(*docs) if not zlib.crc32(t) % SAMPLED}
+            for lang, own in zip(batch.column(0).to_pylist(), docs):
                 head = _head(lang)
-                found.update([head + t for t in set(terms_of(text)) if not zlib.crc32(t) % SAMPLED])
+                found.update([head + t for t in sampled.intersection(own)])
             columns = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
 
@@ -102,19 +104,19 @@ def _terms(texts: DataFrame, blocks: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            block_of: dict[bytes, int] = {}
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = terms_of(text)
+            docs = [terms_of(text) for text in batch.column(2).to_pylist()]
+            block_of = {t: (zlib.crc32(t) // SAMPLED) % blocks for t in (set().union(*docs) if blocks > 1 else ())}
+            for lang, source, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), docs):
                 if blocks == 1:
                     rows.append((0, source, _words(lang, found)))
                     continue
-                dealt: dict[int, list[bytes]] = {}
-                for term in found:
-                    block = block_of.get(term)
-                    if block is None:
-                        block = block_of[term] = (zlib.crc32(term) // SAMPLED) % blocks
-                    dealt.setdefault(block, []).append(term)
-                rows += [(block, source, _words(lang, own)) for block, own in dealt.items()]
+                own = np.fromiter(map(block_of.__getitem__, found), dtype=np.int64, count=len(found))
+                order = np.argsort(own, kind="stable")
+                dealt = np.array(found, dtype=object)[order]
+                ends = np.cumsum(np.bincount(own, minlength=blocks)).tolist()
+                for block, (start, stop) in enumerate(zip([0, *ends], ends)):
+                    if start < stop:
+                        rows.append((block, source, _words(lang, dealt[start:stop].tolist())))
             kinds = [pa.int32(), pa.string(), pa.string()]
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
