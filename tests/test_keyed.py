@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -51,6 +52,10 @@ def second(n):
     return AT + timedelta(seconds=n)
 
 
+def second_us(n):
+    return n * 1_000_000
+
+
 def test_failures_come_back_after_their_wait_and_end_as_dead_letters(spark, feed, tmp_path):
     """Three attempts, one and two seconds apart, on the clock of the stream; every run is a
     restart. ``bad`` always fails, ``once`` only the first time."""
@@ -142,6 +147,39 @@ def test_grace_by_the_record_rule(spark, feed, tmp_path, batches):
     assert values(counts, "*") == values(lateness.windowed_counts_with_grace(table), "*")
 
 
+def test_the_records_of_a_partition_wait_outside_memory():
+    """In any order of parts, with equal places, and with a time from the batch before."""
+
+    class State:
+        exists, get = True, (second_us(500),)
+
+        def update(self, value):
+            self.get = value
+
+    rng = random.Random(5)
+    rows = [(second_us(rng.randrange(1000)), rng.randrange(1500), rng.randrange(2)) for _ in range(20_000)]
+    text = "x" * 2000
+
+    def parts():
+        for start in range(0, len(rows), 500):
+            part = pd.DataFrame(rows[start : start + 500], columns=["_time", "_at0", "_at1"])
+            yield part.assign(**{keyed.PACKED: [f"{start + i}:{text}" for i in range(len(part))]})
+
+    state, found = State(), {}
+    tracemalloc.start()
+    try:
+        for out in keyed._newest_so_far((True, "0"), parts(), state):
+            found.update((int(packed.split(":")[0]), newest) for packed, newest in zip(out[keyed.PACKED], out["_newest"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    now, wanted = second_us(500), {}
+    for i in sorted(range(len(rows)), key=lambda i: rows[i][1:]):
+        now = wanted[i] = max(now, rows[i][0])
+    assert found == wanted and state.get == (now,)
+    assert peak < 15 << 20  # of 40 MB of texts
+
+
 # --- commits ----------------------------------------------------------------------------
 
 EVENT = "payment_id string, transaction_id string, at timestamp"

@@ -7,10 +7,12 @@ the key; the columns they do not look at travel as one JSON text each.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,18 +157,37 @@ def wait_until_due(
 
 
 def _newest_so_far(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds to each record the newest time of its partition up to it, over all batches."""
-    rows = pd.concat(list(parts))
-    order = [c for c in rows.columns if c.startswith("_at")]
-    rows = rows.sort_values(order, kind="stable")
-    times = rows["_time"].to_numpy(dtype=np.int64)
+    """Adds to each record the newest time of its partition up to it, over all batches.
+
+    Only the places and times of the records are held, as numbers; the records themselves wait
+    in a file of the task until all places are known.
+    """
     if not key[0]:  # never in line: its own time
-        newest = times
-    else:
+        for rows in parts:
+            yield pd.DataFrame({PACKED: rows[PACKED].to_numpy(), "_newest": rows["_time"].to_numpy(dtype=np.int64)})
+        return
+    with tempfile.TemporaryFile() as waiting:
+        shape = pa.schema([(PACKED, pa.string())])
+        numbers: list[np.ndarray] = []
+        with pa.ipc.new_stream(waiting, shape, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+            for rows in parts:
+                order = [c for c in rows.columns if c.startswith("_at")]
+                numbers.append(rows[["_time", *order]].to_numpy(dtype=np.int64).T)
+                sink.write_batch(pa.RecordBatch.from_arrays([pa.array(rows[PACKED], pa.string())], schema=shape))
+        times, *places = np.concatenate(numbers, axis=1)
+        numbers.clear()
+        line = np.lexsort(places[::-1])  # of equal places, the one that came first
         before = state.get[0] if state.exists else NEVER
-        newest = np.maximum(np.maximum.accumulate(times), before)
-        state.update((int(newest[-1]),))
-    yield pd.DataFrame({PACKED: rows[PACKED].to_numpy(), "_newest": newest})
+        newest = np.empty_like(times)
+        newest[line] = np.maximum(np.maximum.accumulate(times[line]), before)
+        state.update((int(newest[line[-1]]),))
+        del times, places, line
+        waiting.seek(0)
+        start = 0
+        for batch in pa.ipc.open_stream(waiting):
+            stop = start + batch.num_rows
+            yield pd.DataFrame({PACKED: batch.column(0).to_pandas(), "_newest": newest[start:stop]})
+            start = stop
 
 
 def with_stream_time(
@@ -181,8 +202,8 @@ def with_stream_time(
 
     The state is one time per partition. The records of a partition are taken in order within
     a batch, so a batch has to hold whole stretches of it, as those of a log do; the
-    partition is the unit of work, as it is for the source, and a batch of it has to fit
-    into a task (bound the batches: ``maxOffsetsPerTrigger``, ``maxBytesPerTrigger``).
+    partition is the unit of work, as it is for the source. A task holds three or more numbers
+    per record of a batch in memory and the records in a temporary file of its own.
     Records without a partition or place are dealt over groups of their own and keep their
     own time.
     """
