@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
-from conftest import values
+from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -276,6 +276,30 @@ def test_a_cancelled_order_stays_cancelled(spark, make_orders):
     assert saga.orders_of(alone).count() == 0 and saga.payments_of(alone).count() == 1
 
 
+def test_a_saga_holds_and_moves_each_event_once(spark, make_orders, tmp_path):
+    """Events are sorted by order as one row each, and only the columns of a table are folded;
+    of events at one time the one with the smallest values counts."""
+    placed = make_orders([("o1", "c2", 1, "10"), ("o1", "c1", 1, "9"), ("o2", "c1", 1, "1500")])
+    events = saga.dispatch_all(saga.envelope_json(saga.event_log(saga.run_saga(placed, 1000, 500))))
+    found = saga.courses(events)
+    plan = plan_of(found)
+    assert "max_by" not in plan and "min_by" not in plan
+    sort = plan[plan.rindex("Sort [order_id") :]
+    assert "to_json" not in sort.split("from_json")[0]
+    path = str(tmp_path / "updates")
+    for batch in (0, 1):
+        jobs.updates_table(path, writer="w")(found, batch)
+    for table_of in (saga.orders_of, saga.payments_of, saga.reservations_of):
+        narrow = jobs.latest_updates(spark, path, ["order_id"], lambda updates: table_of(updates, *jobs.PLACE))
+        assert values(narrow, "*") == values(table_of(found).select(narrow.columns), "*")
+        wide = jobs.latest_updates(spark, path, ["order_id"])
+        assert values(narrow, "*") == values(table_of(wide).select(narrow.columns), "*")
+        assert plan_of(narrow).count("batch_id") and "reservation_id" not in plan_of(
+            jobs.latest_updates(spark, path, ["order_id"], lambda updates: saga.payments_of(updates, *jobs.PLACE))
+        )
+    assert values(saga.orders_of(found), "order_id", "customer_id") == [("o1", "c1"), ("o2", "c1")]
+
+
 # --- folds of users ---------------------------------------------------------------------
 
 

@@ -495,20 +495,26 @@ def courses(events: DataFrame) -> DataFrame:
     """What the events of each order (:func:`dispatch_all`) say so far: one row per order, with
     a struct of the payload of each kind of event, null while there is none.
 
-    Of repeated events the earliest counts, and the order of arrival does not matter, so the
-    fold is the same in one batch and in many; on a stream (in update mode) its state is the
+    Of repeated events the earliest counts, of those the one with the smallest values, and the
+    order of arrival does not matter, so the fold is the same in one batch and in many; on a stream (in update mode) its state is the
     state machine of the order. Events of one order are one row per task before the shuffle.
     Events without an order id belong to no order.
     """
     kind, at = F.col("metadata.event_type"), F.col("metadata.timestamp")
-    folds = []
+    rows = {}
     for event_type, name in _ROWS_OF.items():
         payload = [f.name for f in schemas.PAYLOADS[event_type] if f.name != "order_id"]
-        row = F.struct(*payload, F.col("metadata.transaction_id").alias("transaction_id"))
+        row = F.struct(
+            F.coalesce(at, F.lit(0).cast("timestamp")).alias("_at"),
+            *payload,
+            F.col("metadata.transaction_id").alias("transaction_id"),
+        )
         # null where the event is another one, and nulls are passed over
-        rank = F.struct(F.coalesce(at, F.lit(0).cast("timestamp")), F.to_json(row))
-        folds.append(F.min_by(row, F.when(kind == event_type, rank)).alias(name))
-    return events.filter(F.col("order_id").isNotNull()).groupBy("order_id").agg(*folds)
+        rows[name] = F.when(kind == event_type, row)
+    # an event has one row and is sorted as that
+    events = events.filter(F.col("order_id").isNotNull()).select("order_id", *[r.alias(n) for n, r in rows.items()])
+    found = events.groupBy("order_id").agg(*[F.min(n).alias(n) for n in rows])
+    return found.select("order_id", *[F.col(n).dropFields("_at").alias(n) for n in rows])
 
 
 def _order_status() -> Column:
@@ -518,8 +524,8 @@ def _order_status() -> Column:
     return F.when(ended, fixed.CANCELLED).otherwise(fixed.PENDING)
 
 
-def orders_of(found: DataFrame) -> DataFrame:
-    """The order table of :func:`courses`: orders that were placed."""
+def orders_of(found: DataFrame, *extra: str) -> DataFrame:
+    """The order table of :func:`courses`: orders that were placed, with ``extra`` columns."""
     fields = ("customer_id", "product_id", "quantity", "total_amount")
     return found.filter("placed IS NOT NULL").select(
         "order_id",
@@ -527,11 +533,12 @@ def orders_of(found: DataFrame) -> DataFrame:
         _order_status().alias("status"),
         "placed.order_date",
         "placed.transaction_id",
+        *extra,
     )
 
 
-def payments_of(found: DataFrame) -> DataFrame:
-    """The payment table of :func:`courses`. REFUNDED is final."""
+def payments_of(found: DataFrame, *extra: str) -> DataFrame:
+    """The payment table of :func:`courses`, with ``extra`` columns. REFUNDED is final."""
     status = F.when(F.col("refunded").isNotNull(), fixed.REFUNDED).otherwise(F.col("paid.status"))
     return found.filter("paid IS NOT NULL").select(
         "paid.payment_id",
@@ -541,12 +548,13 @@ def payments_of(found: DataFrame) -> DataFrame:
         status.alias("status"),
         "paid.processed_at",
         "paid.transaction_id",
+        *extra,
     )
 
 
-def reservations_of(found: DataFrame) -> DataFrame:
-    """The reservation table of :func:`courses`."""
+def reservations_of(found: DataFrame, *extra: str) -> DataFrame:
+    """The reservation table of :func:`courses`, with ``extra`` columns."""
     fields = ("product_id", "quantity", "status", "reserved_at", "transaction_id")
     return found.filter("reserved IS NOT NULL").select(
-        "reserved.reservation_id", "order_id", *[F.col(f"reserved.{c}") for c in fields]
+        "reserved.reservation_id", "order_id", *[F.col(f"reserved.{c}") for c in fields], *extra
     )

@@ -219,29 +219,32 @@ def inconsistencies_streamed(spark, d):
     return consistency.open_inconsistencies(table, jobs.latest_updates(spark, out, ["order_id"]))
 
 
-def _courses(spark: SparkSession, d: str) -> DataFrame:
-    """The events of all orders as records of a stream, some of them twice; what they come to."""
+def _courses(spark: SparkSession, d: str, table_of) -> DataFrame:
+    """The events of all orders as records of a stream, some of them twice; the table of what
+    they come to. A later update of an order has all that an earlier one has, so rows are taken
+    from the updates before these are folded."""
     orders = _request_stream(spark, d).withColumnRenamed("amount", "total_amount")
     log = saga.event_log(saga.run_saga(orders, a.PAYMENT_LIMIT, a.INVENTORY_LIMIT))
     sent = saga.envelope_json(log)
     again = sent.filter(F.crc32(F.encode("key", "UTF-8")) % 7 == 0)
     found = saga.courses(saga.dispatch_all(sent.unionByName(again)))
-    return jobs.latest_updates(spark, _updates(spark, found, run_dir(spark, "courses")), ["order_id"])
+    out = _updates(spark, found, run_dir(spark, "courses"))
+    return jobs.latest_updates(spark, out, ["order_id"], lambda updates: table_of(updates, *jobs.PLACE))
 
 
 @query
 def saga_orders_streamed(spark, d):
-    return saga.orders_of(_courses(spark, d))
+    return _courses(spark, d, saga.orders_of)
 
 
 @query
 def saga_payments_streamed(spark, d):
-    return saga.payments_of(_courses(spark, d))
+    return _courses(spark, d, saga.payments_of)
 
 
 @query
 def saga_inventory_streamed(spark, d):
-    return saga.reservations_of(_courses(spark, d))
+    return _courses(spark, d, saga.reservations_of)
 
 
 @query

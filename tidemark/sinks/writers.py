@@ -167,8 +167,8 @@ def writer_of(batch: DataFrame) -> str:
     return found
 
 
-def append_rows(rows: DataFrame, path: str, batch_id: int, writer: str | None = None) -> None:
-    """Append one batch to a table. Writing the same batch again replaces it, so a
+def append_rows(rows: DataFrame, path: str, batch_id: int, writer: str | None = None, **options: str) -> None:
+    """Append one batch to a table, with ``options`` of the file format. Writing the same batch again replaces it, so a
     retried batch leaves no double rows.
 
     A batch is known by its number and its ``writer`` (by default the streaming query that
@@ -181,4 +181,4 @@ def append_rows(rows: DataFrame, path: str, batch_id: int, writer: str | None =
     known = children(spark, path, "writer=")
     own = next((w for w in known if w.partition("-")[2] == name), None)
     own = own or f"{len(known):06d}-{name}"
-    rows.write.mode("overwrite").parquet(f"{path}/writer={own}/batch_id={batch_id}")
+    rows.write.options(**options).mode("overwrite").parquet(f"{path}/writer={own}/batch_id={batch_id}")

@@ -208,7 +208,7 @@ def updates_table(path: str, writer: str | None = None) -> BatchWriter:
     """Keep the updates of each batch; :func:`latest_updates` folds them by key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writers.append_rows(batch, path, batch_id, writer)
+        writers.append_rows(batch, path, batch_id, writer, compression="zstd")
 
     return write
 
@@ -218,9 +218,10 @@ PLACE = ("writer", "batch_id")
 COMPACTED = "_compacted"
 
 
-def _newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+def _newest(updates: DataFrame, keys: list[str], place: tuple[str, ...] = ()) -> DataFrame:
+    """The newest row per key, with the columns of ``place``, each of which is kept once."""
     values = [c for c in updates.columns if c not in (*keys, *PLACE)]
-    newest = F.max_by(F.struct(*values, *PLACE), F.struct(*PLACE)).alias("_v")
+    newest = F.max_by(F.struct(*values, *place), F.struct(*PLACE)).alias("_v")
     return updates.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
@@ -239,10 +240,14 @@ def _updates(spark: SparkSession, path: str) -> DataFrame:
     return later.filter(after).unionByName(before.select(*later.columns))
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def latest_updates(
+    spark: SparkSession, path: str, keys: list[str], of: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """The newest row per key of an updates table: of the writer that came last, the last
-    batch."""
-    return _newest(_updates(spark, path), keys).drop(*PLACE)
+    batch. ``of`` names the columns that are wanted, row by row, so that no others are moved; it
+    keeps the keys and ``PLACE``, and may leave out rows only where later ones of the key stay."""
+    updates = _updates(spark, path)
+    return _newest(updates if of is None else of(updates), keys)
 
 
 def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
@@ -258,7 +263,7 @@ def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
         return
     writer, batch_id = last_two[1]
     until = F.struct(*PLACE) <= F.struct(F.lit(writer).alias("writer"), F.lit(batch_id).alias("batch_id"))
-    folded = _newest(_updates(spark, path).filter(until), keys)
+    folded = _newest(_updates(spark, path).filter(until), keys, PLACE)
     number = len(writers.children(spark, f"{path}/{COMPACTED}", "until="))
     folded.write.parquet(f"{path}/{COMPACTED}/until={number:06d}~{writer}~{batch_id}")
 
