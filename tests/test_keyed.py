@@ -206,6 +206,19 @@ def test_committed_events_whenever_their_marker_comes(spark, feed, tmp_path, wit
     assert run() == [("p1",), ("p2",), ("p4",), ("p6",)]  # t2 and t4 never commit
 
 
+def test_the_rows_of_the_state_are_not_counted(spark):
+    """A count that costs a read for every write, unless the session asks for it."""
+    with jobs.state_on_disk(spark):
+        assert spark.conf.get(jobs.COUNT_ROWS) == "false"
+    assert spark.conf.get(jobs.COUNT_ROWS, None) is None
+    spark.conf.set(jobs.COUNT_ROWS, "true")
+    try:
+        with jobs.state_on_disk(spark):
+            assert spark.conf.get(jobs.COUNT_ROWS) == "true"
+    finally:
+        spark.conf.unset(jobs.COUNT_ROWS)
+
+
 # --- verdicts that are withdrawn ----------------------------------------------------------
 
 PAID = "payment_id string, order_id string, customer_id string"
