@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -80,6 +81,41 @@ def test_odd_rows(odd_docs, no_docs):
     assert values(divergence.diverge(no_docs), *COLUMNS) == []
 
 
+def test_rows_grow_with_terms_and_not_with_documents_or_blocks():
+    """Counts by binary digit, documents up to as many as are asked for, each term in one block."""
+    rng = random.Random(2)
+    docs = [(rng.choice(["en", "de"]), rng.choice(["x", "y", ""]), [b"t%d" % rng.randrange(40) ** 2 for _ in range(30)]) for _ in range(900)]
+    for blocks in (1, 6):
+        gathered = divergence._Gathered(blocks, 3)
+        counts, found, block_of = Counter(), Counter(), defaultdict(set)
+        for lang, source, terms in docs:
+            gathered.add(lang, source, terms)
+        rows = list(gathered.rows())
+        for block, source, weight, words in rows:
+            assert words and len(set(words.split(" "))) == len(words.split(" "))
+            for word in words.split(" "):
+                block_of[word.partition(".")[2]].add(block)
+                if source is None:
+                    found[word] += 1
+                else:
+                    counts[source, word] += weight
+        wanted = Counter((s, f"{lang.encode().hex()}.{t.decode()}") for lang, s, terms in docs for t in terms)
+        assert counts == wanted
+        assert found == Counter({word: 3 for _, word in wanted})  # all are in more documents than that
+        assert {len(b) for b in block_of.values()} == {1}
+        assert len(rows) < len(docs) / 2
+
+
+def test_many_small_gatherings(spark, monkeypatch):
+    """A term that reaches its documents only over several tasks and gatherings."""
+    monkeypatch.setattr(divergence, "GATHERED", 0)
+    monkeypatch.setattr(divergence, "ROW_TERMS", 2)
+    rows = [(f"all all part{i % 5} own{i} " + "often " * i, "en", f"s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
+    for least in (1, 2, 3, 12, 13):
+        assert values(divergence.diverge(df, least_docs=least), *COLUMNS) == expected(rows, least)
+
+
 def test_shares_are_exact(spark):
     from pyspark.sql import functions as F
 

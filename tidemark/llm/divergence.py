@@ -1,8 +1,11 @@
 """How the sources of a language differ in their words, term by term and pair by pair.
 
-``CountVectorizer`` learns the terms in enough documents of a language and turns each document
-into an exact sparse vector of counts (its limit on terms is the largest integer, so it never
-cuts). A term is written behind its language, so one fit holds a vocabulary of its own for
+Tasks gather their documents first, so that each term is handled once per task and not once per
+occurrence: the count of a term in a source becomes rows of binary digits (a row per digit
+holds the terms whose count has it), the number of its documents as many rows as there are,
+``least_docs`` at most, which leaves the same terms. ``CountVectorizer`` learns the terms in enough
+of these and turns each row into an exact sparse vector (its limit on terms is the largest
+integer, so it never cuts). A term is written behind its language, so one fit holds a vocabulary of its own for
 each. Fits are bounded all the same, as a vocabulary passes through the driver: terms are
 dealt by hash into as many blocks as keep each near ``VOCABULARY`` terms, and each block has
 its fit, over a table of the terms of its block. How many are needed is told by a sample of
@@ -21,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,10 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import keep, remove, slices
+from tidemark.llm.frames import give_back, keep, remove, slices
 
 #: Kept terms of one vocabulary, about.
-VOCABULARY = 150_000
+VOCABULARY = 100_000
 #: Rows of shares that one task compares, about, and pairs of them at a time.
 COMPARED = 300_000
 PAIRS = 1 << 20
@@ -42,8 +46,11 @@ NO_LIMIT = (1 << 31) - 1
 UNIT = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
-#: Tasks that may share the documents of a block when they are dealt.
+#: Tasks that may share the rows of a block when they are dealt.
 SHARES = 64
+#: Counts that a task gathers before it gives rows, about, and terms of one row.
+GATHERED = 800_000
+ROW_TERMS = 500
 
 #: Stands between a language (in hexadecimal digits) and a term; terms never hold it.
 BREAK = "."
@@ -62,12 +69,6 @@ def _head(lang: str) -> bytes:
     return lang.encode("utf-8", "replace").hex().encode() + BREAK.encode()
 
 
-def _words(lang: str, terms: list[bytes]) -> str:
-    """The terms of a document as one text, each behind its language."""
-    head = _head(lang)
-    return (head + (b" " + head).join(terms)).decode("utf-8", "replace") if terms else ""
-
-
 def _empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -98,33 +99,78 @@ def _blocks(texts: DataFrame, least_docs: int) -> int:
     return 1 + kept * SAMPLED // VOCABULARY
 
 
-def _terms(texts: DataFrame, blocks: int) -> DataFrame:
-    """``block, source, words``: the terms of every document, in order, a row per block."""
+class _Gathered:
+    """What a task has read since it last gave rows: per source the counts of its terms, and in
+    how many documents a term is, up to ``least_docs``. Terms stand behind their language."""
+
+    def __init__(self, blocks: int, least_docs: int):
+        self.blocks, self.least_docs = blocks, least_docs
+        self.counts: dict[tuple[str, str], Counter[bytes]] = {}
+        self.docs: dict[str, Counter[bytes]] = {}
+
+    def add(self, lang: str, source: str, terms: list[bytes]) -> None:
+        self.counts.setdefault((lang, source), Counter()).update(terms)
+        self.docs.setdefault(lang, Counter()).update(set(terms))
+
+    def size(self) -> int:
+        return sum(map(len, self.counts.values())) + sum(map(len, self.docs.values()))
+
+    def rows(self) -> Iterator[tuple[int, str | None, int, str]]:
+        """``block, source, weight, words``. The count of a term is the sum of the weights of
+        the rows that it is in, one per binary digit; rows without a source have a term as often
+        as it has documents, or ``least_docs`` times."""
+        for lang, found in self.docs.items():
+            for enough in range(1, self.least_docs + 1):
+                names = [t for t, n in found.items() if n >= enough]
+                if not names:
+                    break
+                yield from self._dealt(lang, None, 0, names)
+        for (lang, source), found in self.counts.items():
+            names = np.fromiter(found, dtype=object, count=len(found))
+            n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            for digit in range(int(n.max(initial=0)).bit_length()):
+                yield from self._dealt(lang, source, 1 << digit, names[(n >> digit & 1).astype(bool)].tolist())
+
+    def _dealt(self, lang: str, source: str | None, weight: int, terms: list[bytes]) -> Iterator[tuple]:
+        head = _head(lang)
+        of_block: list[list[bytes]] = [[] for _ in range(self.blocks)]
+        if self.blocks == 1:
+            of_block[0] = terms
+        else:
+            for t in terms:
+                of_block[zlib.crc32(t) // SAMPLED % self.blocks].append(t)
+        for block, own in enumerate(of_block):
+            for start in range(0, len(own), ROW_TERMS):
+                words = head + (b" " + head).join(own[start : start + ROW_TERMS])
+                yield block, source, weight, words.decode("utf-8", "replace")
+
+
+def _terms(texts: DataFrame, blocks: int, least_docs: int) -> DataFrame:
+    """``block, source, weight, words``: the terms of the documents, gathered by task, as
+    :class:`_Gathered` gives them: few rows with each term once, however often it is there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            docs = [terms_of(text) for text in batch.column(2).to_pylist()]
-            block_of = {t: (zlib.crc32(t) // SAMPLED) % blocks for t in (set().union(*docs) if blocks > 1 else ())}
-            for lang, source, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), docs):
-                if blocks == 1:
-                    rows.append((0, source, _words(lang, found)))
-                    continue
-                own = np.fromiter(map(block_of.__getitem__, found), dtype=np.int64, count=len(found))
-                order = np.argsort(own, kind="stable")
-                dealt = np.array(found, dtype=object)[order]
-                ends = np.cumsum(np.bincount(own, minlength=blocks)).tolist()
-                for block, (start, stop) in enumerate(zip([0, *ends], ends)):
-                    if start < stop:
-                        rows.append((block, source, _words(lang, dealt[start:stop].tolist())))
-            kinds = [pa.int32(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["block", "source", "words"]
-            )
+        names = ["block", "source", "weight", "words"]
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.string()]
+
+        def given() -> Iterator[pa.RecordBatch]:
+            rows = gathered.rows()
+            while some := list(islice(rows, 512)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), kinds)], names=names)
 
-    found = texts.select("lang", "source", "text").mapInArrow(work, "block int, source string, words string")
-    found = found.filter("words <> ''")
+        gathered = _Gathered(blocks, least_docs)
+        for batch in slices(batches):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if found := terms_of(text):
+                    gathered.add(lang, source, found)
+            if gathered.size() > GATHERED:
+                yield from given()
+                gathered = _Gathered(blocks, least_docs)
+        yield from given()
+
+    found = texts.select("lang", "source", "text").mapInArrow(
+        work, "block int, source string, weight bigint, words string"
+    )
     if blocks > 1:
         # few files per block, and no block in one task
         found = found.repartition("block", F.pmod(F.xxhash64("words"), F.lit(SHARES)))
@@ -132,18 +178,20 @@ def _terms(texts: DataFrame, blocks: int) -> DataFrame:
 
 
 def _entries(vectors: DataFrame) -> DataFrame:
-    """``source, at, n``: sums of the entries of sparse vectors (``source, v``)."""
+    """``source, at, n``: sums of the entries of sparse vectors (``source, weight, v``)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources = batch.column(0).dictionary_encode()
-            vector = batch.column(1)
+            vector = batch.column(2)
             at, values = vector.field("indices"), vector.field("values")
             sizes = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             place = at.flatten().to_numpy().astype(np.int64)
             owner = np.repeat(sources.indices.to_numpy().astype(np.int64), sizes)
             width = int(place.max(initial=0)) + 1
-            keys, count = owner * width + place, values.flatten().to_numpy()
+            weight = np.repeat(batch.column(1).to_numpy(), sizes)
+            # exact: no sum of a batch comes near 2^53
+            keys, count = owner * width + place, values.flatten().to_numpy() * weight
             if len(sources.dictionary) * width <= 4 * len(keys):
                 sums = np.bincount(keys, weights=count)
                 keys = np.flatnonzero(sums)
@@ -160,14 +208,15 @@ def _entries(vectors: DataFrame) -> DataFrame:
                 names=["source", "at", "n"],
             )
 
-    parts = vectors.select("source", "v").mapInArrow(work, "source string, at int, n bigint")
+    parts = vectors.select("source", "weight", "v").mapInArrow(work, "source string, at int, n bigint")
     return parts.groupBy("source", "at").agg(F.sum("n").alias("n"))
 
 
 def _block_counts(rows: DataFrame, least_docs: int) -> DataFrame:
     """``lang, source, term, n`` for the kept terms of one block, where ``n`` is not 0."""
     spark = rows.sparkSession
-    docs = rows.select("source", F.split("words", " ").alias("terms"))
+    found = rows.select("source", "weight", F.split("words", " ").alias("terms"))
+    docs, counts = found.filter("source IS NULL"), found.filter("source IS NOT NULL")
     # so many documents of nothing, so that a vocabulary is never empty
     none = spark.range(least_docs).select(F.array(F.lit(BREAK)).alias("terms"))
     learn = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least_docs), vocabSize=NO_LIMIT)
@@ -179,7 +228,7 @@ def _block_counts(rows: DataFrame, least_docs: int) -> DataFrame:
         F.decode(F.unhex(F.substring_index("word", BREAK, 1)), "UTF-8").alias("lang"),
         F.substring_index("word", BREAK, -1).alias("term"),
     )
-    sums = _entries(model.transform(docs))
+    sums = _entries(model.transform(counts))
     return sums.join(vocabulary.filter("term <> ''"), "at").select("lang", "source", "term", "n")
 
 
@@ -199,12 +248,13 @@ def term_counts(
     """
     texts = _texts(df, lang_col, source_col, text_col)
     blocks = _blocks(texts, least_docs)
-    terms = _terms(texts, blocks)
+    terms = _terms(texts, blocks, least_docs)
     rows = keep(terms, "terms", layout=("block",), compression="zstd")
-    found = [
-        keep(_block_counts(rows.filter(F.col("block") == block).select("source", "words"), least_docs), "term_counts")
-        for block in range(blocks)
-    ]
+    found = []
+    for block in range(blocks):
+        own = rows.filter(F.col("block") == block).select("source", "weight", "words")
+        found.append(keep(_block_counts(own, least_docs), "term_counts"))
+        give_back()  # the driver's copy of the vocabulary
     remove(rows)
     return reduce(DataFrame.unionByName, found)
 
