@@ -116,6 +116,52 @@ def test_many_small_gatherings(spark, monkeypatch):
         assert values(divergence.diverge(df, least_docs=least), *COLUMNS) == expected(rows, least)
 
 
+def test_terms_of_all_tasks_meet_before_they_are_counted(spark):
+    """Each digit of a count once, in however many tasks a term is."""
+    names = [f"{'often ' * (i % 4)}all part{'vwxyz'[i % 5]} own{chr(0x430 + i)}" for i in range(40)]
+    rows = [(text, lang, f"s{i % 3}") for i, text in enumerate(names) for lang in ("en", "de")]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(6)
+    found, docs = Counter(), Counter()
+    for r in divergence._terms(divergence._texts(df, "lang", "source", "text"), 3).collect():
+        for word in r.words.split(" "):
+            found[r.source, r.weight, word] += 1
+            docs[word] += r.source is None
+    assert {n for (source, *_), n in found.items() if source is not None} == {1}
+    counts = Counter()
+    for source, weight, word in found:
+        if source is not None:
+            counts[source, word] += weight
+    heads = {lang: f"{lang.encode().hex()}." for lang in ("en", "de")}
+    assert counts == Counter((s, heads[lang] + t) for text, lang, s in rows for t in text.split())
+    whole = Counter(heads[lang] + t for text, lang, _ in rows for t in set(text.split()))
+    assert docs == Counter({word: min(n, 3) for word, n in whole.items()})
+
+
+def test_parts_hold_what_was_gathered():
+    """Through parts and back, over blocks and rows of few terms."""
+    rng = random.Random(3)
+    first, again = divergence._Gathered(5, 3), divergence._Gathered(5, 3)
+    for _ in range(60):
+        terms = [b"t" * (rng.randrange(12) ** 2 + 1) for _ in range(40)] + [b"own" * rng.randrange(1, 400)]
+        first.add(rng.choice(["en", ""]), rng.choice(["x", ""]), terms)
+    for _ in range(2):
+        for _, lang, source, words, n in first.parts():
+            assert 1 not in n
+            again.add_part(lang, source, words.split(b" "), n.tolist(), len(n))
+    assert again.counts == {key: Counter({t: 2 * n for t, n in own.items()}) for key, own in first.counts.items()}
+    assert again.docs == {key: Counter({t: 2 * n for t, n in own.items()}) for key, own in first.docs.items()}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_fits_of_shares_of_blocks(spark, monkeypatch, blocks):
+    """Blocks that are too large for one vocabulary have several, smaller ones share one."""
+    monkeypatch.setattr(divergence, "BLOCKS", blocks)
+    monkeypatch.setattr(divergence, "VOCABULARY", 12)
+    rows = [(f"a b c d e f g h i j k l m n o part{'vwxyz'[i % 5]} own{chr(0x430 + i)}", "en", f"s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
+    assert values(divergence.diverge(df), *COLUMNS) == expected(rows)
+
+
 def test_shares_are_exact(spark):
     from pyspark.sql import functions as F
 

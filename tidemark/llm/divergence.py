@@ -1,15 +1,15 @@
 """How the sources of a language differ in their words, term by term and pair by pair.
 
-Tasks gather their documents first, so that each term is handled once per task and not once per
-occurrence: the count of a term in a source becomes rows of binary digits (a row per digit
-holds the terms whose count has it), the number of its documents as many rows as there are,
-``least_docs`` at most, which leaves the same terms. ``CountVectorizer`` learns the terms in enough
-of these and turns each row into an exact sparse vector (its limit on terms is the largest
-integer, so it never cuts). A term is written behind its language, so one fit holds a vocabulary of its own for
-each. Fits are bounded all the same, as a vocabulary passes through the driver: terms are
-dealt by hash into as many blocks as keep each near ``VOCABULARY`` terms, and each block has
-its fit, over a table of the terms of its block. How many are needed is told by a sample of
-the terms; results do not depend on it.
+Texts are read once. Tasks gather their documents first and the gathered terms are gathered again
+by hash, so that each term is handled once per source and not once per occurrence or task: the
+count of a term in a source becomes rows of binary digits (a row per digit holds the terms whose
+count has it), the number of its documents as many rows as there are, ``least_docs`` at most, which
+leaves the same terms. ``CountVectorizer`` learns the terms in enough of these and turns each row
+into an exact sparse vector (its limit on terms is the largest integer, so it never cuts). A term is
+written behind its language, so one fit holds a vocabulary of its own for each. Fits are bounded
+all the same, as a vocabulary passes through the driver: terms are dealt by hash into ``BLOCKS``
+blocks, and a fit has as many blocks, or such a share of one, as cannot have more than about
+``VOCABULARY`` kept terms. Results do not depend on either number, nor on when tasks give rows.
 
 The vectors are summed by source without ever being dense: tasks add up the entries of a
 batch, and Spark adds those. From these sums everything else follows. A term that neither of
@@ -23,7 +23,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -33,21 +32,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.frames import give_back, keep, remove, slices
+from tidemark.session import run_dir
 
-#: Kept terms of one vocabulary, about.
+#: Kept terms of one vocabulary, at most, and blocks of terms that are dealt out.
 VOCABULARY = 100_000
+BLOCKS = 64
 #: Rows of shares that one task compares, about, and pairs of them at a time.
 COMPARED = 300_000
 PAIRS = 1 << 20
-#: One in so many terms is looked at to tell how many are kept.
-SAMPLED = 64
 #: The largest integer.
 NO_LIMIT = (1 << 31) - 1
 UNIT = 1_000_000_000
 LEAST_DOCS = 3
 TOP = 200
-#: Tasks that may share the rows of a block when they are dealt.
-SHARES = 64
 #: Counts that a task gathers before it gives rows, about, and terms of one row.
 GATHERED = 800_000
 ROW_TERMS = 500
@@ -79,26 +76,6 @@ def _texts(df: DataFrame, lang_col: str, source_col: str, text_col: str) -> Data
     )
 
 
-def _blocks(texts: DataFrame, least_docs: int) -> int:
-    """Into how many vocabularies the terms go, from the terms of one hash value in
-    ``SAMPLED``; nothing else depends on it."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found: Counter[bytes] = Counter()
-            docs = [terms_of(text) for text in batch.column(1).to_pylist()]
-            sampled = {t for t in set().union(*docs) if not zlib.crc32(t) % SAMPLED}
-            for lang, own in zip(batch.column(0).to_pylist(), docs):
-                head = _head(lang)
-                found.update([head + t for t in sampled.intersection(own)])
-            columns = [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "docs"])
-
-    terms = texts.select("lang", "text").mapInArrow(work, "term binary, docs bigint")
-    kept = terms.groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).count()
-    return 1 + kept * SAMPLED // VOCABULARY
-
-
 class _Gathered:
     """What a task has read since it last gave rows: per source the counts of its terms, and in
     how many documents a term is, up to ``least_docs``. Terms stand behind their language."""
@@ -107,14 +84,46 @@ class _Gathered:
         self.blocks, self.least_docs = blocks, least_docs
         self.counts: dict[tuple[str, str], Counter[bytes]] = {}
         self.docs: dict[str, Counter[bytes]] = {}
+        self.enough: dict[str, set[bytes]] = {}
 
     def add(self, lang: str, source: str, terms: list[bytes]) -> None:
         self.counts.setdefault((lang, source), Counter()).update(terms)
-        self.docs.setdefault(lang, Counter()).update(set(terms))
+        docs, enough = self.docs.setdefault(lang, Counter()), self.enough.setdefault(lang, set())
+        few = set(terms) - enough
+        docs.update(few)
+        enough.update([t for t in few if docs[t] >= self.least_docs])
+
+    def add_part(self, lang: str, source: str | None, terms: list[bytes], n: list[int], many: int) -> None:
+        """Take what another task has given as one of its :meth:`parts`."""
+        if source is None:
+            found = self.docs.setdefault(lang, Counter())
+        else:
+            found = self.counts.setdefault((lang, source), Counter())
+        before = found.get
+        for term, more in zip(terms[:many], n):
+            found[term] = before(term, 0) + more
+        found.update(terms[many:])
 
     def size(self) -> int:
         return sum(map(len, self.counts.values())) + sum(map(len, self.docs.values()))
 
+    def parts(self) -> Iterator[tuple[int, str, str | None, bytes, np.ndarray]]:
+        """``block, lang, source, words, n``: terms, and the counts of the first of them or, without
+        a source, the numbers of their documents; the other terms have 1."""
+        every = [(*key, found) for key, found in self.counts.items()]
+        for lang, source, found in every + [(lang, None, found) for lang, found in self.docs.items()]:
+            names = np.fromiter(found, dtype=object, count=len(found))
+            n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+            block = np.fromiter(map(zlib.crc32, found), dtype=np.int64, count=len(found)) % self.blocks
+            # small integers are sorted in linear time
+            order = np.argsort((2 * block + (n == 1)).astype(np.min_scalar_type(2 * self.blocks)), kind="stable")
+            names, n = names[order], n[order]
+            ends = np.cumsum(np.bincount(block, minlength=self.blocks)).tolist()
+            for at, (first, end) in enumerate(zip([0, *ends], ends)):
+                for start in range(first, end, ROW_TERMS):
+                    own = slice(start, min(start + ROW_TERMS, end))
+                    yield at, lang, source, b" ".join(names[own].tolist()), n[own][n[own] != 1]
+
     def rows(self) -> Iterator[tuple[int, str | None, int, str]]:
         """``block, source, weight, words``. The count of a term is the sum of the weights of
         the rows that it is in, one per binary digit; rows without a source have a term as often
@@ -138,43 +147,76 @@ class _Gathered:
             of_block[0] = terms
         else:
             for t in terms:
-                of_block[zlib.crc32(t) // SAMPLED % self.blocks].append(t)
+                of_block[zlib.crc32(t) % self.blocks].append(t)
         for block, own in enumerate(of_block):
             for start in range(0, len(own), ROW_TERMS):
                 words = head + (b" " + head).join(own[start : start + ROW_TERMS])
                 yield block, source, weight, words.decode("utf-8", "replace")
 
 
-def _terms(texts: DataFrame, blocks: int, least_docs: int) -> DataFrame:
-    """``block, source, weight, words``: the terms of the documents, gathered by task, as
-    :class:`_Gathered` gives them: few rows with each term once, however often it is there."""
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 512)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), kinds)], names=names)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "source", "weight", "words"]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.string()]
 
-        def given() -> Iterator[pa.RecordBatch]:
-            rows = gathered.rows()
-            while some := list(islice(rows, 512)):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*some), kinds)], names=names)
+def _terms(texts: DataFrame, least_docs: int) -> DataFrame:
+    """``block, source, weight, words``: the terms of the documents as :class:`_Gathered` gives
+    them, gathered by task and then by block: few rows with each term once, however often it is
+    there and in however many tasks."""
+    blocks = BLOCKS
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "lang", "source", "words", "n"]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64())]
         gathered = _Gathered(blocks, least_docs)
         for batch in slices(batches):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if found := terms_of(text):
                     gathered.add(lang, source, found)
             if gathered.size() > GATHERED:
-                yield from given()
+                yield from _batches(gathered.parts(), names, kinds)
+                gathered = _Gathered(blocks, least_docs)
+        yield from _batches(gathered.parts(), names, kinds)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "source", "weight", "words"]
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.string()]
+        gathered = _Gathered(blocks, least_docs)
+        for batch in slices(batches):
+            lists = batch.column(3)
+            n, size = lists.flatten().to_numpy().tolist(), lists.value_lengths().to_pylist()
+            start = 0
+            for lang, source, words, many in zip(*(c.to_pylist() for c in batch.columns[:3]), size):
+                gathered.add_part(lang, source, words.split(b" "), n[start : start + many], many)
+                start += many
+            if gathered.size() > GATHERED:
+                yield from _batches(gathered.rows(), names, kinds)
                 gathered = _Gathered(blocks, least_docs)
-        yield from given()
+        yield from _batches(gathered.rows(), names, kinds)
 
-    found = texts.select("lang", "source", "text").mapInArrow(
-        work, "block int, source string, weight bigint, words string"
+    parts = texts.select("lang", "source", "text").mapInArrow(
+        gather, "block int, lang string, source string, words binary, n array<bigint>"
     )
-    if blocks > 1:
-        # few files per block, and no block in one task
-        found = found.repartition("block", F.pmod(F.xxhash64("words"), F.lit(SHARES)))
-    return found
+    dealt = parts.repartition("block").select("lang", "source", "words", "n")
+    return dealt.mapInArrow(merge, "block int, source string, weight bigint, words string")
+
+
+def _vocabularies(rows: DataFrame, least_docs: int) -> list[tuple[list[int], int, int]]:
+    """``blocks, share, shares``: the blocks of each fit, or the share of a block that is too large
+    for one. A term is kept by ``least_docs`` of its rows, which bounds the kept terms of a block."""
+    words = F.size(F.split("words", " "))
+    found = rows.filter("source IS NULL").groupBy("block").agg(F.sum(words).alias("n")).orderBy("block").collect()
+    fits, whole, size = [], [], 0
+    for block, n in ((r.block, r.n // least_docs) for r in found):
+        if n > VOCABULARY:
+            shares = -(-n // VOCABULARY)
+            fits += [([block], share, shares) for share in range(shares)]
+            continue
+        if whole and size + n > VOCABULARY:
+            fits.append((whole, 0, 1))
+            whole, size = [], 0
+        whole, size = [*whole, block], size + n
+    return [*fits, (whole, 0, 1)] if whole else fits
 
 
 def _entries(vectors: DataFrame) -> DataFrame:
@@ -212,10 +254,13 @@ def _entries(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("source", "at").agg(F.sum("n").alias("n"))
 
 
-def _block_counts(rows: DataFrame, least_docs: int) -> DataFrame:
-    """``lang, source, term, n`` for the kept terms of one block, where ``n`` is not 0."""
+def _fit_counts(rows: DataFrame, share: int, shares: int, least_docs: int) -> DataFrame:
+    """``lang, source, term, n`` for the kept terms of one fit, where ``n`` is not 0."""
     spark = rows.sparkSession
-    found = rows.select("source", "weight", F.split("words", " ").alias("terms"))
+    terms = F.split("words", " ")
+    if shares > 1:
+        terms = F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(shares)) == share)
+    found = rows.select("source", "weight", terms.alias("terms"))
     docs, counts = found.filter("source IS NULL"), found.filter("source IS NOT NULL")
     # so many documents of nothing, so that a vocabulary is never empty
     none = spark.range(least_docs).select(F.array(F.lit(BREAK)).alias("terms"))
@@ -247,23 +292,28 @@ def term_counts(
     table without such terms, or without rows, gives an empty result.
     """
     texts = _texts(df, lang_col, source_col, text_col)
-    blocks = _blocks(texts, least_docs)
-    terms = _terms(texts, blocks, least_docs)
-    rows = keep(terms, "terms", layout=("block",), compression="zstd")
-    found = []
-    for block in range(blocks):
-        own = rows.filter(F.col("block") == block).select("source", "weight", "words")
-        found.append(keep(_block_counts(own, least_docs), "term_counts"))
+    spark = texts.sparkSession
+    rows = keep(_terms(texts, least_docs), "terms", layout=("block",), compression="zstd")
+    columns = "lang string, source string, term string, n bigint"
+    path = run_dir(spark, "term_counts")
+    spark.createDataFrame([], columns).write.parquet(path)
+    for blocks, share, shares in _vocabularies(rows, least_docs):
+        own = rows.filter(F.col("block").isin(blocks)).select("source", "weight", "words")
+        _fit_counts(own, share, shares, least_docs).write.mode("append").parquet(path)
         give_back()  # the driver's copy of the vocabulary
     remove(rows)
-    return reduce(DataFrame.unionByName, found)
+    return spark.read.schema(columns).parquet(path)
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
-    """``1 + floor(UNIT * (count + 1) / (total + terms))``, exact for every count of 64 bits."""
+    """``1 + floor(UNIT * (count + 1) / (total + terms))``, exact for every count of 64 bits; where
+    64 bits hold all parts, without decimals."""
     above = F.lit(UNIT).cast("decimal(10,0)") * (count.cast("decimal(19,0)") + F.lit(1).cast("decimal(1,0)"))
     below = total.cast("decimal(19,0)") + terms.cast("decimal(19,0)")
-    return F.call_function("div", above.cast("decimal(38,0)"), below.cast("decimal(38,0)")) + 1
+    exact = F.call_function("div", above.cast("decimal(38,0)"), below.cast("decimal(38,0)"))
+    count, total, terms = (c.cast("bigint") for c in (count, total, terms))
+    small = (count < 9 * UNIT) & (total < 1 << 62) & (terms < 1 << 62)
+    return F.when(small, F.call_function("div", UNIT * (count + 1), total + terms)).otherwise(exact) + 1
 
 
 def _gap(p: str, q: str) -> Column:
@@ -297,7 +347,7 @@ def diverge(
     """
     counts = term_counts(df, lang_col, source_col, text_col, least_docs)
     every = _texts(df, lang_col, source_col, text_col).select("lang", "source").distinct()
-    words = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    words = keep(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "term_sums")
     of_lang = words.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_terms"))
     nothing = {"total": 0, "terms": 0, "own_terms": 0}
