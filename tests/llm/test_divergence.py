@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import values
+from pyspark.ml.feature import CountVectorizerModel
 from tidemark.llm import divergence
 
 from .conftest import ODD, SF_DIR
@@ -162,6 +163,18 @@ def test_fits_of_shares_of_blocks(spark, monkeypatch, blocks):
     assert values(divergence.diverge(df), *COLUMNS) == expected(rows)
 
 
+def test_vocabularies_are_not_read_by_the_driver(spark, monkeypatch):
+    """Tasks ask the model for the place of a term."""
+
+    def refuse(model):
+        raise AssertionError("a vocabulary was read")
+
+    monkeypatch.setattr(CountVectorizerModel, "vocabulary", property(refuse))
+    rows = [(f"all all part{'vwxyz'[i % 5]} own{chr(0x430 + i)}", "en", f"s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
+    assert values(divergence.diverge(df, least_docs=2), *COLUMNS) == expected(rows, 2)
+
+
 def test_shares_are_exact(spark):
     from pyspark.sql import functions as F
 

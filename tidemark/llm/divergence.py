@@ -7,9 +7,10 @@ count has it), the number of its documents as many rows as there are, ``least_do
 leaves the same terms. ``CountVectorizer`` learns the terms in enough of these and turns each row
 into an exact sparse vector (its limit on terms is the largest integer, so it never cuts). A term is
 written behind its language, so one fit holds a vocabulary of its own for each. Fits are bounded
-all the same, as a vocabulary passes through the driver: terms are dealt by hash into ``BLOCKS``
-blocks, and a fit has as many blocks, or such a share of one, as cannot have more than about
-``VOCABULARY`` kept terms. Results do not depend on either number, nor on when tasks give rows.
+all the same, as ``CountVectorizer`` learns a vocabulary in the driver's JVM: terms are dealt by hash
+into ``BLOCKS`` blocks, and a fit has as many blocks, or such a share of one, as cannot have more than
+about ``VOCABULARY`` kept terms. Nothing else of it is in the driver: tasks get the place of a term from
+the model. Results do not depend on either number, nor on when tasks give rows.
 
 The vectors are summed by source without ever being dense: tasks add up the entries of a
 batch, and Spark adds those. From these sums everything else follows. A term that neither of
@@ -31,7 +32,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import give_back, keep, remove, slices
+from tidemark.llm.frames import keep, remove, slices
 from tidemark.session import run_dir
 
 #: Kept terms of one vocabulary, at most, and blocks of terms that are dealt out.
@@ -266,15 +267,15 @@ def _fit_counts(rows: DataFrame, share: int, shares: int, least_docs: int) -> Da
     none = spark.range(least_docs).select(F.array(F.lit(BREAK)).alias("terms"))
     learn = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least_docs), vocabSize=NO_LIMIT)
     model = learn.fit(docs.select("terms").unionByName(none))
-    words = pa.array(model.vocabulary, pa.string())
-    table = pa.table({"at": pa.array(np.arange(len(words), dtype=np.int32)), "word": words})
-    vocabulary = spark.createDataFrame(table).select(
-        "at",
-        F.decode(F.unhex(F.substring_index("word", BREAK, 1)), "UTF-8").alias("lang"),
-        F.substring_index("word", BREAK, -1).alias("term"),
+    # each term by itself, so that the model tells its place and the driver hands out no words
+    alone = docs.select(F.explode("terms").alias("term")).distinct().select("term", F.array("term").alias("terms"))
+    vocabulary = model.transform(alone).select(
+        F.explode(F.unwrap_udt("v")["indices"]).alias("at"),
+        F.decode(F.unhex(F.substring_index("term", BREAK, 1)), "UTF-8").alias("lang"),
+        F.substring_index("term", BREAK, -1).alias("term"),
     )
     sums = _entries(model.transform(counts))
-    return sums.join(vocabulary.filter("term <> ''"), "at").select("lang", "source", "term", "n")
+    return sums.join(vocabulary, "at").select("lang", "source", "term", "n")
 
 
 def term_counts(
@@ -300,7 +301,6 @@ def term_counts(
     for blocks, share, shares in _vocabularies(rows, least_docs):
         own = rows.filter(F.col("block").isin(blocks)).select("source", "weight", "words")
         _fit_counts(own, share, shares, least_docs).write.mode("append").parquet(path)
-        give_back()  # the driver's copy of the vocabulary
     remove(rows)
     return spark.read.schema(columns).parquet(path)
 
