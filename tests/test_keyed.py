@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import glob
 import random
+import time
 import tracemalloc
 from datetime import datetime, timedelta
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.operators import analytics, consistency, delivery, folds, lateness, saga
+from tidemark.plans import adapters, streamed
+from tidemark.plans.catalog import QUERIES
 from tidemark.sinks import writers
 from tidemark.sources import records
 from tidemark.streaming import jobs, keyed
@@ -219,6 +223,40 @@ def test_the_rows_of_the_state_are_not_counted(spark):
         spark.conf.unset(jobs.COUNT_ROWS)
 
 
+def test_streams_with_state_spare_the_disk(spark, feed, tmp_path):
+    """The state is compressed, and shuffle files do not outlive their batch, unless the session
+    asks for something else."""
+    names = (jobs.STATE_COMPRESSION, jobs.CLEAN_SHUFFLES)
+    with jobs.state_on_disk(spark):
+        assert [spark.conf.get(n) for n in names] == ["zstd", "true"]
+    assert [spark.conf.get(n, None) for n in names] == [None, None]
+    spark.conf.set(jobs.STATE_COMPRESSION, "lz4")
+    try:
+        with jobs.state_on_disk(spark):
+            assert [spark.conf.get(n) for n in names] == ["lz4", "true"]
+        assert spark.conf.get(jobs.STATE_COMPRESSION) == "lz4"
+    finally:
+        spark.conf.unset(jobs.STATE_COMPRESSION)
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffles():
+        folders = env.blockManager().diskBlockManager().localDirs()
+        return {f for d in folders for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+
+    before = shuffles()
+    for batch in range(3):
+        feed("numbers", "k bigint, v bigint", [(k, batch) for k in range(100)])
+    folded = feed("numbers", "k bigint, v bigint").groupBy("k").agg(F.sum("v").alias("v"))
+    path = str(tmp_path / "out")
+    finish(spark, lambda: jobs.run_updates(folded, jobs.updates_table(path), str(tmp_path / "p"), every=None))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert values(jobs.latest_updates(spark, path, ["k"]), "v") == [(3,)] * 100
+
+
 # --- verdicts that are withdrawn ----------------------------------------------------------
 
 PAID = "payment_id string, order_id string, customer_id string"
@@ -313,6 +351,45 @@ def test_a_saga_holds_and_moves_each_event_once(spark, make_orders, tmp_path):
     assert values(saga.orders_of(found), "order_id", "customer_id") == [("o1", "c1"), ("o2", "c1")]
 
 
+@pytest.mark.parametrize(
+    "name, table_of, kinds",
+    [
+        ("saga_orders_streamed", saga.orders_of, {"placed", "paid", "cancelled", "refunded"}),
+        ("saga_payments_streamed", saga.payments_of, {"paid", "refunded"}),
+        ("saga_inventory_streamed", saga.reservations_of, {"reserved"}),
+    ],
+)
+def test_a_saga_keeps_what_its_table_needs(spark, tmp_path, monkeypatch, name, table_of, kinds):
+    """In its state and in its updates; over a batch per file, with orders that come again, some
+    of them with other amounts, and without an amount or a key."""
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp"
+    high, over = float(adapters.INVENTORY_LIMIT) + 1, float(adapters.PAYMENT_LIMIT) + 1
+    files = [
+        [(1, 1, "O", 10.0, second(1)), (2, 1, "F", high, second(1)), (3, 2, "F", over, second(1)), (7, 2, "F", 5.5, second(2))],
+        [(1, 1, "O", 10.0, second(1)), (2, 1, "F", 10.0, second(5)), (4, 3, "P", None, second(2)), (5, None, "F", high, second(2))],
+        [(3, 2, "F", 10.0, second(0)), (None, 1, "F", 10.0, second(3)), (6, 4, None, high, None), (7, 2, "F", 5.25, second(2))],
+    ]
+    table = tmp_path / "orders.parquet"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(table))
+    run = tmp_path / "run"
+    monkeypatch.setattr(streamed, "BATCH_BYTES", 1)
+    monkeypatch.setattr(streamed, "run_dir", lambda spark, name: str(run))
+    found = QUERIES[name](spark, str(tmp_path))
+
+    orders = adapters.payment_requests(spark, str(tmp_path)).withColumnRenamed("amount", "total_amount")
+    log = saga.event_log(saga.run_saga(orders, adapters.PAYMENT_LIMIT, adapters.INVENTORY_LIMIT))
+    wanted = table_of(saga.courses(saga.dispatch_all(saga.envelope_json(log))))
+    assert sorted(found.columns) == sorted(wanted.columns)
+    assert values(found, *wanted.columns) == values(wanted, *wanted.columns)
+
+    state = spark.read.format("statestore").load(f"{run}/progress").schema["value"].dataType
+    assert len(state) == len(kinds)
+    updates = spark.read.parquet(f"{run}/out")
+    assert set(updates.columns) == {*wanted.columns, *jobs.PLACE}
+    assert updates.select("batch_id").distinct().count() == len(files)
+
+
 # --- folds of users ---------------------------------------------------------------------
 
 

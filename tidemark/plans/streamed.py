@@ -223,14 +223,15 @@ def inconsistencies_streamed(spark, d):
 def _courses(spark: SparkSession, d: str, table_of) -> DataFrame:
     """The events of all orders as records of a stream, some of them twice; the table of what
     they come to. A later update of an order has all that an earlier one has, so rows are taken
-    from the updates before these are folded."""
+    from the updates before these are kept: neither the state nor the files of the updates hold
+    what the table does not need."""
     orders = _request_stream(spark, d).withColumnRenamed("amount", "total_amount")
     log = saga.event_log(saga.run_saga(orders, a.PAYMENT_LIMIT, a.INVENTORY_LIMIT))
     sent = saga.envelope_json(log)
     again = sent.filter(F.crc32(F.encode("key", "UTF-8")) % 7 == 0)
     found = saga.courses(saga.dispatch_all(sent.unionByName(again)))
-    out = _updates(spark, found, run_dir(spark, "courses"))
-    return jobs.latest_updates(spark, out, ["order_id"], lambda updates: table_of(updates, *jobs.PLACE))
+    out = _updates(spark, table_of(found), run_dir(spark, "courses"))
+    return jobs.latest_updates(spark, out, ["order_id"])
 
 
 @query

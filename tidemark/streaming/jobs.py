@@ -29,17 +29,22 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 #: A count of rows for the progress reports, for which every write is a read as well.
 COUNT_ROWS = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+#: The state is on disk twice, in the store of its task and in the checkpoint.
+STATE_COMPRESSION = "spark.sql.streaming.stateStore.rocksdb.compression"
+#: Shuffle files go when the batch that wrote them ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SPARING = {COUNT_ROWS: "false", STATE_COMPRESSION: "zstd", CLEAN_SHUFFLES: "true"}
 
 
 @contextmanager
 def state_on_disk(spark: SparkSession, changes: bool = False) -> Iterator[None]:
     """Queries started inside keep their keyed state in RocksDB rather than in executor
     memory; with ``changes`` they also store what each batch changed
-    (:func:`tidemark.streaming.live.changes`). The rows of the state are not counted, unless
-    the session asks for that. The session has its own settings again afterwards."""
+    (:func:`tidemark.streaming.live.changes`). Unless the session asks for something else, the
+    rows of the state are not counted, it is compressed with zstd, and the shuffle files of a
+    batch are removed when it ends. The session has its own settings again afterwards."""
     wanted = {STATE_STORE: ROCKSDB} | ({CHANGELOG: "true"} if changes else {})
-    if spark.conf.get(COUNT_ROWS, None) is None:
-        wanted[COUNT_ROWS] = "false"
+    wanted |= {name: value for name, value in SPARING.items() if spark.conf.get(name, None) is None}
     before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
